@@ -80,16 +80,15 @@ METADATA_FIELDS = {
 
 
 def normalize_metadata(metadata_json: Column) -> dict[str, Column]:
-    """Typed columns from a JSON object written in either spelling; zero counts as absent."""
+    """Typed columns from a JSON object written in either spelling; a zero depth counts as absent."""
     fields = {
         snake: truthy(
-            F.nullif(F.get_json_object(metadata_json, f"$.{camel}"), F.lit("0")),
-            F.nullif(F.get_json_object(metadata_json, f"$.{snake}"), F.lit("0")),
+            F.get_json_object(metadata_json, f"$.{camel}"), F.get_json_object(metadata_json, f"$.{snake}")
         )
         for snake, camel in METADATA_FIELDS.items()
     }
     fields["section_hierarchy"] = F.coalesce(fields["section_hierarchy"], F.lit("[]"))
-    fields["structural_depth"] = fields["structural_depth"].try_cast("int")
+    fields["structural_depth"] = F.nullif(fields["structural_depth"].try_cast("int"), F.lit(0))
     return fields
 
 

@@ -36,12 +36,17 @@ def synthetic_iv(node_id: Column, run_id: Column, content: Column) -> Column:
     return F.unhex(F.substring(digest, 1, 2 * IV_BYTES))
 
 
+def _base64(value: Column) -> Column:
+    """Base64 on one line (the built-in breaks lines every 76 characters)."""
+    return F.replace(F.base64(value), F.lit("\r\n"), F.lit(""))
+
+
 def encrypt_content(content: Column, key: Column, iv: Column) -> dict[str, Column]:
     """Ciphertext with tag, IV and version as separate columns; the plain text is dropped by callers."""
     sealed = F.aes_encrypt(content, key, F.lit("GCM"), F.lit("DEFAULT"), iv)
     return {
-        "encrypted_content": F.base64(F.substring(sealed, IV_BYTES + 1, 2_147_483_647)),
-        "content_iv": F.base64(iv),
+        "encrypted_content": _base64(F.substring(sealed, IV_BYTES + 1, 2_147_483_647)),
+        "content_iv": _base64(iv),
         "crypto_version": F.lit(CRYPTO_VERSION),
     }
 

@@ -2,3 +2,6 @@
 
 import suite.text_queries  # noqa: F401
 import suite.chunk_queries  # noqa: F401
+import suite.layout_queries  # noqa: F401
+import suite.catalog_queries  # noqa: F401
+import suite.retrieval_queries  # noqa: F401

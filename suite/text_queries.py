@@ -29,13 +29,14 @@ def marked_lines(v: Views):
         before, _, after = marker.partition("{}")
         prefix = F.concat(F.lit(before), page, F.lit(after)) if "{}" in marker else F.lit(marker)
         text = F.when(c("line_index") == slot, F.concat(prefix, c("text"))).otherwise(text)
-    return v.lines.withColumn("text", text)
+    unnumbered = (c("line_index") == 0) & (c("page_number") % 2 == 0)
+    return v.lines.withColumn("text", F.when(unnumbered, F.lit("Confidential Draft")).otherwise(text))
 
 
 _case = " ".join(
     f"WHEN {i} THEN '" + m.replace("{}", "' || page_number || '") + "' || text" for i, m in enumerate(MARKERS, start=1)
 )
-view("v_marked", f"SELECT * REPLACE (CASE line_index {_case} ELSE text END AS text) FROM v_lines")
+view("v_marked", f"SELECT * REPLACE (CASE CASE WHEN line_index = 0 AND page_number % 2 = 0 THEN -1 ELSE line_index END WHEN -1 THEN 'Confidential Draft' {_case} ELSE text END AS text) FROM v_lines")
 LINE = ["document_id", "page_number", "line_index"]
 
 

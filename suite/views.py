@@ -196,10 +196,8 @@ class Views:
     def nodes(self) -> DataFrame:
         """One leaf per embedding, 25 to a document, with text from the documents table."""
         docs = self.table("documents")
-        total = docs.agg(F.count("*").alias("n_docs"))
-        vectors = self.table("embeddings").crossJoin(F.broadcast(total))  # one-row total
         doc_no = F.floor(F.col("vec_id") / 25)
-        leaves = vectors.withColumn("doc_id", F.col("vec_id") % F.col("n_docs"))
+        leaves = self.table("embeddings").withColumn("doc_id", F.col("vec_id") % F.lit(docs.count()))
         return leaves.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").select(
             F.concat(F.lit("leaf-"), F.col("vec_id").cast("string")).alias("id"),
             F.concat(F.lit("doc-"), doc_no.cast("string")).alias("document_id"),
