@@ -5,3 +5,4 @@ import suite.chunk_queries  # noqa: F401
 import suite.layout_queries  # noqa: F401
 import suite.catalog_queries  # noqa: F401
 import suite.retrieval_queries  # noqa: F401
+import suite.tree_queries  # noqa: F401
