@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from arbora.functions import fixed_values as V
 from arbora.functions import trees
 from arbora.operators.scan import prefix_scan
+from arbora.session import cut_lineage
 
 # A mixture fit sees at most this many vectors. Longer groups are fitted in blocks.
 FIT_LIMIT = 4096
@@ -126,6 +127,7 @@ def cluster_embeddings(
         F.when(single, 1).otherwise(k).alias("__k"),
         F.ceil(F.col("__size") / limit).cast("int").alias("__blocks"),
     )
+    plan = cut_lineage(plan)  # one small row per key, read three times
     planned = nodes.select(*keys, "id", "ord", "embedding").join(plan, keys)
 
     whole = planned.where(F.col("__k") == 1).select(*keys, "id", "ord", F.lit(0).alias("block"), F.lit(0).alias("label"))
@@ -139,6 +141,7 @@ def cluster_embeddings(
 
     if plan.where((F.col("__k") > 1) & (F.col("__k") < F.col("__blocks"))).limit(1).count():
         labelled = labelled.unionByName(_cluster_block_centroids(planned, keys, block, limit))
+    labelled = cut_lineage(labelled)  # the fits must not run again for the numbering
     return number_clusters(labelled, keys, ["block", "label"]).select(*keys, "id", "ord", "cluster_no")
 
 
@@ -236,8 +239,10 @@ def cluster_by_partition(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """Cluster inside layout partitions; nodes need ``layout_partition``."""
     enclave = F.col("party_enclave") if "party_enclave" in nodes.columns else None
     parted = nodes.withColumn("partition", partition_of(F.col("layout_partition"), enclave))
-    sizes = parted.groupBy("document_id", "partition").agg(
-        F.count(F.lit(1)).alias("size"), F.min("ord").alias("first_ord")
+    sizes = cut_lineage(
+        parted.groupBy("document_id", "partition").agg(
+            F.count(F.lit(1)).alias("size"), F.min("ord").alias("first_ord")
+        )
     )
     many = sizes.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_partitions")).join(targets, "document_id")
     quotas = allocate_cluster_counts(sizes, targets).join(many.select("document_id", "n_partitions", "target"), "document_id")
@@ -249,6 +254,7 @@ def cluster_by_partition(nodes: DataFrame, targets: DataFrame) -> DataFrame:
         F.when(merged, 0).otherwise(F.col("first_ord")).alias("lead"),
         F.when(merged, 1).when(F.col("n_partitions") <= 1, F.col("target")).otherwise(F.col("quota")).alias("k"),
     )
+    groups = cut_lineage(groups)  # a handful of rows per document
     grouped = parted.join(groups.drop("k"), ["document_id", "partition"]).drop("partition")
     inner = groups.select("document_id", "group", F.col("k").alias("target")).distinct()
     fitted = cluster_embeddings(grouped, inner, ["document_id", "group"]).withColumnRenamed("cluster_no", "label")

@@ -108,7 +108,7 @@ def best_merge_target(diagnostics: DataFrame) -> DataFrame:
     Overlapping partners are found through the pages both touch, the nearest
     disjoint ones by carrying the last seen span end (or start) along the pages.
     """
-    sources = merge_candidates(diagnostics).where(F.col("pool").isNotNull())
+    sources = cut_lineage(merge_candidates(diagnostics).where(F.col("pool").isNotNull()))
     first = F.coalesce("page_start", "page_end", F.lit(0))
     last = F.coalesce("page_end", first)
     partners = diagnostics.select(
@@ -195,13 +195,13 @@ def merge_tiny_clusters(members: DataFrame, components: DataFrame) -> DataFrame:
 def build_cluster_plan(members: DataFrame) -> dict[str, DataFrame]:
     """Diagnostics, merge targets and normalised clusters for labelled members."""
     raw = cut_lineage(cluster_diagnostics(members))
-    targets = best_merge_target(raw)
+    targets = cut_lineage(best_merge_target(raw))
     marked = raw.join(targets.select(*CLUSTER, "merge_target"), CLUSTER, "left")
-    normalized = merge_tiny_clusters(members, merge_components(raw, targets))
+    normalized = merge_tiny_clusters(members, cut_lineage(merge_components(raw, targets)))
     return {
         "raw_diagnostics": marked,
         "normalized_members": normalized,
-        "normalized_diagnostics": cluster_diagnostics(normalized),
+        "normalized_diagnostics": cut_lineage(cluster_diagnostics(normalized)),
         "tiny_merge_diagnostics": marked.where("is_tiny").select(
             *CLUSTER, "cluster_id", "word_count", cluster_labels(F.col("merge_target")).alias("merge_target_id")
         ),

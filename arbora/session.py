@@ -40,17 +40,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint folder and continue from there.
-
-    Used where a later step reads the same rows more than once (two-level scans)
-    or where a loop would let the plan grow with every round.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints, reachable by every executor."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared checkpoint folder and continue from there.
+
+    Used where a later step reads the same rows more than once (two-level scans)
+    or where a loop would let the plan grow with every round.  A written table
+    also gives the planner the true size of the rows, where a checkpointed plan
+    keeps estimates that multiply with every join of the loop.
+    """
+    spark = df.sparkSession
+    path = work_folder(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,3 +6,4 @@ import suite.layout_queries  # noqa: F401
 import suite.catalog_queries  # noqa: F401
 import suite.retrieval_queries  # noqa: F401
 import suite.tree_queries  # noqa: F401
+import suite.source_queries  # noqa: F401
