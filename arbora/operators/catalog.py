@@ -181,12 +181,12 @@ def stage_progress(events: DataFrame) -> DataFrame:
     from arbora.operators.scan import prefix_scan
 
     named = events.join(F.broadcast(stages(events.sparkSession)), "stage_no")
-    by_day = F.unix_date(F.to_date("ts")).cast("bigint")
+    hour = F.floor(F.unix_micros("ts") / 3_600_000_000).cast("bigint")
     seen = prefix_scan(
         named.withColumn("__back", -F.unix_micros("ts")),
         ["document_id", "run_id"],
         ["__back", "event_id"],
-        -by_day,
+        -hour,
         lags={"next_ts": F.col("ts")},
     )
     return seen.withColumn("seconds", (F.unix_micros("next_ts") - F.unix_micros("ts")) / F.lit(1e6)).drop("__back")

@@ -131,8 +131,15 @@ def cluster_embeddings(
     planned = nodes.select(*keys, "id", "ord", "embedding").join(plan, keys)
 
     whole = planned.where(F.col("__k") == 1).select(*keys, "id", "ord", F.lit(0).alias("block"), F.lit(0).alias("label"))
-    block = F.least(F.floor(F.col("ord") / limit).cast("int"), F.col("__blocks") - 1)
-    shared = planned.where((F.col("__k") > 1) & (F.col("__k") >= F.col("__blocks"))).withColumn("block", block)
+    several = planned.where(F.col("__k") > 1)
+    short = several.where(F.col("__blocks") == 1).withColumn("block", F.lit(0))
+    # Long keys: positions inside the key, so that no block exceeds the limit.
+    placed = prefix_scan(
+        several.where(F.col("__blocks") > 1), keys, ["ord"], F.floor(F.col("ord") / 4096).cast("bigint"), sums={"__at": F.lit(1)}
+    )
+    long = placed.withColumn("block", F.floor((F.col("__at") - 1) / limit).cast("int")).drop("__at")
+    blocked = short.unionByName(long)
+    shared = blocked.where(F.col("__k") >= F.col("__blocks"))
     quota = F.floor((F.col("block") + 1) * F.col("__k") / F.col("__blocks")) - F.floor(
         F.col("block") * F.col("__k") / F.col("__blocks")
     )
@@ -140,20 +147,18 @@ def cluster_embeddings(
     labelled = whole.unionByName(fitted)
 
     if plan.where((F.col("__k") > 1) & (F.col("__k") < F.col("__blocks"))).limit(1).count():
-        labelled = labelled.unionByName(_cluster_block_centroids(planned, keys, block, limit))
+        labelled = labelled.unionByName(_cluster_block_centroids(blocked, keys, limit))
     labelled = cut_lineage(labelled)  # the fits must not run again for the numbering
     return number_clusters(labelled, keys, ["block", "label"]).select(*keys, "id", "ord", "cluster_no")
 
 
-def _cluster_block_centroids(planned: DataFrame, keys: list[str], block: Column, limit: int) -> DataFrame:
+def _cluster_block_centroids(blocked: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Few clusters over very many vectors: fit blocks finely, then cluster their centroids."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    coarse = planned.where((F.col("__k") > 1) & (F.col("__k") < F.col("__blocks"))).withColumns(
-        {"block": block, "quota": F.lit(BLOCK_COMPONENTS)}
-    )
-    micro = _fit_blocks(coarse, keys)
+    coarse = blocked.where(F.col("__k") < F.col("__blocks")).withColumn("quota", F.lit(min(BLOCK_COMPONENTS, max(2, limit // 4))))
+    micro = cut_lineage(_fit_blocks(coarse, keys))
     mean = Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))
     centroids = (
         micro.join(coarse.select(*keys, "id", "embedding", "__k"), [*keys, "id"])
@@ -290,7 +295,7 @@ def ivf_probe(questions: DataFrame, listed: DataFrame, centroids: np.ndarray, np
 
     ``centroids`` is one small matrix, one row per list, and travels with the task.
     """
-    from arbora.operators.retrieval import match_nodes_batch
+    from arbora.operators.retrieval import best_matches, describe_matches
 
     unit = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
 
@@ -300,4 +305,5 @@ def ivf_probe(questions: DataFrame, listed: DataFrame, centroids: np.ndarray, np
         return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :nprobe].astype(np.int32)))
 
     probes = questions.withColumn("list_id", F.explode(nearest_lists("question_embedding")))
-    return match_nodes_batch(probes, listed, k, scope=("owner_id", "list_id"))
+    found = best_matches(probes, listed, ("owner_id", "list_id"), k, False)
+    return describe_matches(found, questions, listed, ("owner_id",))

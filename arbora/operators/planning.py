@@ -209,7 +209,7 @@ def build_cluster_plan(members: DataFrame) -> dict[str, DataFrame]:
 
 
 def ordered_members(members: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``ord`` renumbered densely per document along ``by`` (first entry a small cluster number)."""
-    segment = F.floor(F.col(by[0]) / 1024).cast("bigint")
+    """``ord`` renumbered densely per document along ``by``: a cluster number and a position."""
+    segment = F.col(by[0]).cast("bigint") * 1_000_000_000 + F.floor(F.col(by[1]) / 4096)
     numbered = prefix_scan(members, ["document_id"], list(by), segment, sums={"__n": F.lit(1)})
     return numbered.withColumn("ord", F.col("__n") - 1).drop("__n")
