@@ -192,6 +192,7 @@ def carry_party(
     express this: the last deciding unit, then the last event of either kind.
     """
     segment = page_segment() if segment is None else segment
+    units = cut_lineage(units)  # scored once, read by both scans
     tied = F.size("leaders") > 1
     decided = F.when(~tied, F.coalesce(F.try_element_at("leaders", F.lit(1)), F.lit(V.NEUTRAL_PARTY)))
     anchored = prefix_scan(units, keys, order, segment, carries={"__anchor": decided})
@@ -222,7 +223,7 @@ def adversarial_chunks(
 ) -> DataFrame:
     """Chunks that never cross a change of speaking party."""
     slim = units.select("document_id", *ORDER, "text")
-    voiced = cut_lineage(carry_party(cut_lineage(with_leaders(slim, rules))))
+    voiced = cut_lineage(carry_party(with_leaders(slim, rules)))
     runs = cut_lineage(party_enclaves(voiced))
     windows = word_windows(runs, ["document_id", "enclave_index", "party"], target=target, overlap=overlap)
     return global_chunk_index(windows, "enclave_index").select(

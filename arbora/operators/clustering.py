@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions import fixed_values as V
 from arbora.functions import trees
-from arbora.operators.scan import prefix_scan
+from arbora.operators.scan import grouped_segment, ordinal_segment, prefix_scan
 from arbora.session import cut_lineage
 
 # A mixture fit sees at most this many vectors. Longer groups are fitted in blocks.
@@ -92,8 +92,7 @@ def number_clusters(labelled: DataFrame, keys: Sequence[str], labels: Sequence[s
     firsts = labelled.groupBy(*keys, *labels).agg(
         F.min("ord").alias("__first"), *[F.min(lead).alias(lead) for _ in extra]
     )
-    block = F.floor(F.col("__first") / 4096).cast("bigint")
-    segment = block if not lead else F.col(lead).cast("bigint") * 1_000_000_000 + block
+    segment = grouped_segment(F.col(lead), F.col("__first")) if lead else ordinal_segment("__first")
     numbered = prefix_scan(firsts, keys, [*extra, "__first"], segment, sums={"__n": F.lit(1)})
     names = numbered.select(*keys, *labels, (F.col("__n") - 1).cast("int").alias("cluster_no"))
     return labelled.join(names, [*keys, *labels])
@@ -135,7 +134,7 @@ def cluster_embeddings(
     short = several.where(F.col("__blocks") == 1).withColumn("block", F.lit(0))
     # Long keys: positions inside the key, so that no block exceeds the limit.
     placed = prefix_scan(
-        several.where(F.col("__blocks") > 1), keys, ["ord"], F.floor(F.col("ord") / 4096).cast("bigint"), sums={"__at": F.lit(1)}
+        several.where(F.col("__blocks") > 1), keys, ["ord"], ordinal_segment("ord"), sums={"__at": F.lit(1)}
     )
     long = placed.withColumn("block", F.floor((F.col("__at") - 1) / limit).cast("int")).drop("__at")
     blocked = short.unionByName(long)

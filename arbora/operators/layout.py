@@ -21,42 +21,42 @@ def group_words_into_lines(words: DataFrame, tolerance: float = V.LINE_TOLERANCE
     Words are taken by (top, x0); a word joins the open line while its top lies
     within ``tolerance`` of the median top of that line.  Tops arrive in rising
     order, so the median is read from the middle of the line's slice and the
-    running state is just (start of open line, line number).
+    running state is only the list of line starts.
     """
     placed = words.groupBy(*PAGE).agg(
         F.array_sort(F.collect_list(F.struct("top", "x0", "x1", "bottom", "text"))).alias("ws")
-    )
+    ).withColumn("tops", F.transform("ws", lambda w: w["top"]))
 
     def middle(start: Column, size: Column) -> Column:
-        low = F.element_at(F.col("ws"), (start + F.floor((size - 1) / 2) + 1).cast("int"))["top"]
-        high = F.element_at(F.col("ws"), (start + F.floor(size / 2) + 1).cast("int"))["top"]
+        low = F.element_at(F.col("tops"), (start + F.floor((size - 1) / 2) + 1).cast("int"))
+        high = F.element_at(F.col("tops"), (start + F.floor(size / 2) + 1).cast("int"))
         return (low + high) / 2
 
-    def step(state: Column, i: Column) -> Column:
-        near = F.abs(F.element_at(F.col("ws"), i + 1)["top"] - middle(state["start"], i - state["start"])) <= tolerance
-        line = F.when(near, state["line"]).otherwise(state["line"] + 1)
-        return F.struct(
-            F.when(near, state["start"]).otherwise(i).alias("start"),
-            line.alias("line"),
-            F.concat(state["lines"], F.array(line)).alias("lines"),
-        )
+    def step(starts: Column, i: Column) -> Column:
+        start = F.element_at(starts, -1)
+        near = F.abs(F.element_at(F.col("tops"), i + 1) - middle(start, i - start)) <= tolerance
+        return F.when(near, starts).otherwise(F.array_append(starts, i))
 
-    first = F.struct(F.lit(0).alias("start"), F.lit(0).alias("line"), F.array(F.lit(0)).alias("lines"))
     rest = F.when(F.size("ws") > 1, F.sequence(F.lit(1), F.size("ws") - 1)).otherwise(F.array().cast("array<int>"))
-    numbered = placed.select(
-        *PAGE, F.explode(F.arrays_zip(F.col("ws").alias("w"), F.aggregate(rest, first, step, lambda s: s["lines"]).alias("line_no"))).alias("z")
-    ).select(*PAGE, "z.line_no", "z.w.*")
-    lines = numbered.groupBy(*PAGE, "line_no").agg(
-        F.array_sort(F.collect_list(F.struct("x0", "top", "text"))).alias("ws"),
-        F.min("x0").alias("x0"),
-        F.max("x1").alias("x1"),
-        F.min("top").alias("top"),
-        F.max("bottom").alias("bottom"),
-    )
-    joined = F.array_join(F.transform("ws", lambda w: w["text"]), " ")
-    return (
-        lines.select(*PAGE, "line_no", text.clean_inline(joined).alias("text"), *BOX).where(F.col("text") != "")
-    )
+    started = placed.withColumn("starts", F.aggregate(rest, F.array(F.lit(0)), step))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("ws")))
+    spans = F.zip_with("starts", ends, lambda s, e: F.slice(F.col("ws"), s + 1, e - s))
+    lines = started.select(*PAGE, F.posexplode(spans).alias("line_no", "ws"))
+
+    def each(name: str) -> Column:
+        return F.transform("ws", lambda w: w[name])
+
+    by_x = F.array_sort(F.transform("ws", lambda w: F.struct(w["x0"], w["top"], w["text"])))
+    joined = F.array_join(F.transform(by_x, lambda w: w["text"]), " ")
+    return lines.select(
+        *PAGE,
+        "line_no",
+        text.clean_inline(joined).alias("text"),
+        F.array_min(each("x0")).alias("x0"),
+        F.array_min(each("top")).alias("top"),
+        F.array_max(each("x1")).alias("x1"),
+        F.array_max(each("bottom")).alias("bottom"),
+    ).where(F.col("text") != "")
 
 
 def gap_before(lines: DataFrame, order: tuple[str, ...] = ("line_no",)) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from arbora.functions import fixed_values as V
 from arbora.functions import text, trees
 from arbora.operators.clustering import cluster_labels
-from arbora.operators.scan import prefix_scan
+from arbora.operators.scan import grouped_segment, ordinal_segment, prefix_scan
 from arbora.session import cut_lineage
 
 CLUSTER = ["document_id", "cluster_no"]
@@ -146,7 +146,7 @@ def best_merge_target(diagnostics: DataFrame) -> DataFrame:
             marks,
             pool,
             ["at", "kind", "cluster_no"],
-            F.floor(F.col("at") / 1024).cast("bigint"),
+            ordinal_segment("at"),
             carries={"seen": F.when(F.col("kind") == 1, F.struct("at", "rank_key"))},
         )
         return seen.where((F.col("kind") == 0) & F.col("seen").isNotNull()).select(
@@ -181,7 +181,7 @@ def merge_components(diagnostics: DataFrame, targets: DataFrame) -> DataFrame:
     rooted = links.join(ends, ["document_id", "ptr"]).select(*CLUSTER, "root")
     smallest = rooted.groupBy("document_id", "root").agg(F.min("cluster_no").alias("__first"))
     numbered = prefix_scan(
-        smallest, ["document_id"], ["__first"], F.floor(F.col("__first") / 4096).cast("bigint"), sums={"__n": F.lit(1)}
+        smallest, ["document_id"], ["__first"], ordinal_segment("__first"), sums={"__n": F.lit(1)}
     )
     names = numbered.select("document_id", "root", (F.col("__n") - 1).cast("int").alias("merged_no"))
     return rooted.join(names, ["document_id", "root"]).select(*CLUSTER, "merged_no")
@@ -210,6 +210,6 @@ def build_cluster_plan(members: DataFrame) -> dict[str, DataFrame]:
 
 def ordered_members(members: DataFrame, by: Sequence[str]) -> DataFrame:
     """``ord`` renumbered densely per document along ``by``: a cluster number and a position."""
-    segment = F.col(by[0]).cast("bigint") * 1_000_000_000 + F.floor(F.col(by[1]) / 4096)
+    segment = grouped_segment(F.col(by[0]), F.col(by[1]))
     numbered = prefix_scan(members, ["document_id"], list(by), segment, sums={"__n": F.lit(1)})
     return numbered.withColumn("ord", F.col("__n") - 1).drop("__n")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGES_PER_SEGMENT = 256
+ROWS_PER_SEGMENT = 4096
 SEGMENT = "__segment"
 
 
@@ -24,10 +25,15 @@ def page_segment(page: str | Column = "page_number") -> Column:
     return F.floor(column / F.lit(PAGES_PER_SEGMENT)).cast("bigint")
 
 
-def ordinal_segment(ordinal: str | Column, size: int = 4096) -> Column:
+def ordinal_segment(ordinal: str | Column) -> Column:
     """Segment id for rows numbered by a dense ordinal."""
     column = F.col(ordinal) if isinstance(ordinal, str) else ordinal
-    return F.floor(column / F.lit(size)).cast("bigint")
+    return F.floor(column / F.lit(ROWS_PER_SEGMENT)).cast("bigint")
+
+
+def grouped_segment(group: Column, ordinal: Column) -> Column:
+    """Segment id for rows ordered by a small group number, then by a dense ordinal."""
+    return group.cast("bigint") * 1_000_000_000 + ordinal_segment(ordinal)
 
 
 def prefix_scan(

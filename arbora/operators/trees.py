@@ -19,7 +19,7 @@ from arbora.functions.labels import truthy
 from arbora.functions.protection import stable_id
 from arbora.operators import clustering, planning
 from arbora.operators.providers import extractive_summaries, hashed_embeddings
-from arbora.operators.scan import ordinal_segment, prefix_scan
+from arbora.operators.scan import grouped_segment, ordinal_segment, prefix_scan
 from arbora.session import cut_lineage
 
 HIERARCHY = "array<struct<key:string,title:string,depth:int>>"
@@ -113,7 +113,7 @@ def _start(leaves: DataFrame) -> DataFrame:
 
 def _edges(members: DataFrame, parent: Column, group: list[str]) -> DataFrame:
     """(document, child, parent, member_no): the parent of every member and its place among siblings."""
-    segment = F.floor(F.col("ord") / 4096).cast("bigint")
+    segment = ordinal_segment("ord")
     numbered = prefix_scan(members, group, ["ord"], segment, sums={"__n": F.lit(1)})
     return numbered.select("document_id", "id", parent.alias("parent_id"), (F.col("__n") - 1).cast("int").alias("member_no"))
 
@@ -305,7 +305,7 @@ def build_structural_tree(
         following = made.select(F.lit(0).alias("__kind"), *CURRENT).unionByName(
             named.where(F.col("group_path").isNull()).select(F.lit(1).alias("__kind"), *CURRENT)
         )
-        segment = F.col("__kind").cast("bigint") * 1_000_000_000 + F.floor(F.col("ord") / 4096)
+        segment = grouped_segment(F.col("__kind"), F.col("ord"))
         placed = prefix_scan(following, ["document_id"], ["__kind", "ord"], segment, sums={"__n": F.lit(1)})
         current = cut_lineage(placed.withColumn("ord", F.col("__n") - 1).select(*CURRENT))
 
@@ -357,7 +357,7 @@ def node_sort_key() -> Column:
 def order_roots(roots: DataFrame) -> DataFrame:
     """``root_no``: position of each root in its document."""
     key = F.col("__key")
-    segment = F.coalesce(-F.col("level").cast("bigint") * 1_000_000_000, F.lit(0)) + F.floor(key["b"] / 4096)
+    segment = grouped_segment(F.coalesce(-F.col("level"), F.lit(0)), key["b"])
     numbered = prefix_scan(roots.withColumn("__key", node_sort_key()), ["document_id"], ["__key"], segment, sums={"__n": F.lit(1)})
     return numbered.withColumn("root_no", (F.col("__n") - 1).cast("int")).drop("__n", "__key")
 
