@@ -231,10 +231,15 @@ def repeated_block_texts(blocks: DataFrame) -> DataFrame:
 
 
 def remove_repeated_furniture(blocks: DataFrame) -> DataFrame:
-    """Anti join of candidates against the repeated texts; other blocks never match."""
-    repeated = repeated_block_texts(blocks).select("document_id", "folded")
-    keyed = blocks.withColumn("folded", F.when(_candidate(), _folded()))
-    return keyed.join(repeated, ["document_id", "folded"], "left_anti").drop("folded")
+    """Anti join of candidates against the repeated texts.
+
+    Other blocks carry a false flag and their own place as key: they never match
+    and spread evenly instead of meeting under one empty key.
+    """
+    repeated = repeated_block_texts(blocks).select("document_id", F.lit(True).alias("edge"), "folded")
+    place = F.concat_ws("|", "page_number", "reading_order") if "reading_order" in blocks.columns else F.lit("")
+    keyed = blocks.withColumns({"edge": _candidate(), "folded": F.when(_candidate(), _folded()).otherwise(place)})
+    return keyed.join(repeated, ["document_id", "edge", "folded"], "left_anti").drop("edge", "folded")
 
 
 def resolve_reading_order(blocks: DataFrame) -> DataFrame:

@@ -102,11 +102,11 @@ def word_windows(
     stride = target - overlap
     segment = page_segment() if segment is None else segment
 
-    counted = units.withColumn("__n", text.word_count(F.col("text")).cast("bigint")).where("__n > 0")
+    counted = units.withColumn("__n", text.word_count(F.col("text")).cast("bigint"))
     slim = counted.select(*dict.fromkeys([*keys, *order, "page_number", "text", "__n"]))
     placed = prefix_scan(
         slim, keys, order, segment, sums={"__end": F.col("__n")}, totals={"__total": F.col("__n")}
-    )
+    ).where("__n > 0")
 
     start, end, total = F.col("__end") - F.col("__n"), F.col("__end"), F.col("__total")
     full = F.when(total < target, F.lit(0)).otherwise(F.floor((total - target) / stride) + 1).cast("bigint")

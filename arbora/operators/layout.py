@@ -166,9 +166,11 @@ def repeated_furniture_keys(lines: DataFrame) -> DataFrame:
 def classify_furniture(lines: DataFrame, keys: DataFrame) -> DataFrame:
     """``furniture``: PAGE_HEADER or PAGE_FOOTER for repeated edge lines and page numbers."""
     zone = geometry.line_zone(F.col("top"), F.col("bottom"), F.col("height"))
-    zoned = lines.withColumns(
-        {"__zone": zone, "furniture_key": F.when(zone.isNotNull(), text.furniture_key(F.col("text")))}
+    # Lines outside the zones never match; their page spreads them over the join.
+    key = F.when(zone.isNotNull(), text.furniture_key(F.col("text"))).otherwise(
+        F.concat(F.lit("|"), F.col("page_number").cast("string"))
     )
+    zoned = lines.withColumns({"__zone": zone, "furniture_key": key})
     known = keys.select("document_id", "furniture_key", F.lit(True).alias("__repeated"))
     matched = zoned.join(known, ["document_id", "furniture_key"], "left")
     hit = F.col("__repeated").isNotNull() | text.is_page_number(F.col("text"))

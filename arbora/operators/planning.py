@@ -60,6 +60,7 @@ def cluster_diagnostics(members: DataFrame) -> DataFrame:
             "cluster_id": cluster_labels(F.col("cluster_no")),
             "is_tiny": tiny,
             "is_summarizable": enough,
+            "is_below_summary_minimum": ~enough,
             "status": F.when(~enough, "invalid").when(tiny, "tiny").otherwise("summarizable"),
         }
     )

@@ -472,9 +472,11 @@ def synthesize_root(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     roots = order_roots(tree_roots(nodes, edges))
     stats = tree_stats(nodes, nodes.select("document_id").distinct())
     shown = truthy(F.col("content"))
+    named = [truthy(F.col(n)) for n in ("clause_title", "section_key", "section_parent_key") if n in roots.columns]
+    roots = roots.withColumn("__title", F.coalesce(*named, text.title_from_content(F.col("content"))))
     grouped = roots.groupBy("document_id").agg(
         F.count(F.lit(1)).alias("n_roots"),
-        F.min_by(F.struct("id", "node_type", "level", "content", "page_start", "page_end"), "root_no").alias("first"),
+        F.min_by(F.struct("id", "node_type", "level", "content", "page_start", "page_end", "__title"), "root_no").alias("first"),
         F.min_by(shown, F.when(shown.isNotNull(), F.col("root_no"))).alias("content"),
         F.min(F.nullif("page_start", F.lit(0))).alias("page_start"),
         F.max(F.nullif("page_end", F.lit(0))).alias("page_end"),
@@ -488,7 +490,7 @@ def synthesize_root(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(only, F.col("first.id")).otherwise(F.concat(F.lit("root-"), F.col("document_id"))).alias("id"),
         F.when(only, kind).otherwise("root_summary").alias("node_type"),
         F.when(only, F.col("first.level")).otherwise(top + 1).alias("level"),
-        F.when(only, text.title_from_content(F.col("first.content"))).otherwise("Document Summary").alias("title"),
+        F.when(only, F.col("first.__title")).otherwise("Document Summary").alias("title"),
         F.when(only, F.col("first.content"))
         .otherwise(F.coalesce("content", F.lit("Traceable summary tree for this document.")))
         .alias("content"),
