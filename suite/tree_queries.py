@@ -411,6 +411,77 @@ def c8(v):
     return tree.select(DOC, "id", "node_type", "level", "cluster_id", "parent_id", "member_no", "page_start", "page_end")
 
 
+view(
+    "v_plan",
+    """SELECT document_id, CASE WHEN len(shrink) > 1 AND shrink[-1] > 1 THEN shrink || [CAST(1 AS BIGINT)] ELSE shrink END AS plan FROM (
+         SELECT document_id, list(size ORDER BY step) AS shrink FROM (
+           SELECT document_id, step, CASE WHEN step = 0 THEN n ELSE CAST(ceil(n / CAST(power(4, step) AS DOUBLE)) AS BIGINT) END AS size,
+             CASE WHEN step = 0 THEN n ELSE CAST(ceil(n / CAST(power(4, step - 1) AS DOUBLE)) AS BIGINT) END AS before
+           FROM (SELECT document_id, count(*) AS n FROM v_nodes GROUP BY document_id), (SELECT unnest(generate_series(0, 12)) AS step))
+         WHERE step = 0 OR before >= 4 GROUP BY document_id)""",
+)
+
+
+def level_sql(n: int) -> str:
+    """Tables of one tree level: runs of neighbours as clusters, merging, summaries, next nodes."""
+    p = f"cur{n - 1}"
+    words = S.n_words("content")
+    return f"""
+    grow{n} AS (SELECT document_id, n, plan[{n + 1}] AS target FROM (SELECT document_id, count(*) AS n FROM {p} GROUP BY document_id) JOIN v_plan USING (document_id) WHERE n > 1 AND plan[{n + 1}] < n),
+    lab{n} AS (SELECT c.*, ord * target // n AS cluster_no FROM {p} c JOIN grow{n} USING (document_id)),
+    dia{n} AS (SELECT *, words < 200 AS is_tiny FROM (SELECT document_id, cluster_no, sum({words}) AS words, nullif(min(coalesce(page_start, 0)), 0) AS ps, nullif(max(coalesce(page_end, 0)), 0) AS pe,
+        CASE WHEN min(part) = max(part) AND count(part) = count(*) THEN min(part) ELSE 'mixed' END AS part FROM lab{n} GROUP BY document_id, cluster_no)),
+    tar{n} AS (SELECT document_id, cluster_no, partner FROM (SELECT *, row_number() OVER (PARTITION BY document_id, cluster_no ORDER BY other_part, other_tiny, distance, words, partner) AS rn FROM (
+        SELECT a.document_id, a.cluster_no, b.cluster_no AS partner, CASE WHEN a.part = b.part THEN 0 ELSE 1 END AS other_part, CASE WHEN b.is_tiny THEN 1 ELSE 0 END AS other_tiny, b.words,
+          CASE WHEN a.pe < b.ps THEN b.ps - a.pe WHEN b.pe < a.ps THEN a.ps - b.pe ELSE 0 END AS distance
+        FROM dia{n} a JOIN dia{n} b ON a.document_id = b.document_id AND a.cluster_no <> b.cluster_no WHERE a.is_tiny)) WHERE rn = 1),
+    lnk{n} AS (SELECT document_id, cluster_no AS a, partner AS b FROM tar{n} UNION SELECT document_id, partner, cluster_no FROM tar{n} UNION SELECT document_id, cluster_no, cluster_no FROM dia{n}),
+    rea{n} AS (SELECT document_id, a, b FROM lnk{n} UNION SELECT r.document_id, r.a, l.b FROM rea{n} r JOIN lnk{n} l ON l.document_id = r.document_id AND l.a = r.b),
+    com{n} AS (SELECT document_id, a AS cluster_no, dense_rank() OVER (PARTITION BY document_id ORDER BY root) - 1 AS no FROM (SELECT document_id, a, min(b) AS root FROM rea{n} GROUP BY document_id, a)),
+    mem{n} AS (SELECT l.*, no FROM lab{n} l JOIN com{n} USING (document_id, cluster_no)),
+    ver{n} AS (SELECT document_id, no, sum({words}) >= 100 AS enough, count(*) AS n_members FROM mem{n} GROUP BY document_id, no),
+    kep{n} AS (SELECT document_id FROM (SELECT document_id, count(*) AS k, sum(CASE WHEN enough THEN 1 ELSE n_members END) AS following FROM ver{n} GROUP BY document_id) JOIN grow{n} USING (document_id)
+        WHERE (k > 1 OR target = 1) AND following < n),
+    act{n} AS (SELECT m.*, enough FROM mem{n} m JOIN kep{n} USING (document_id) JOIN ver{n} USING (document_id, no)),
+    sen{n} AS (SELECT document_id, no, ord, i, sentence, {S.words('lower(sentence)')} AS ws FROM (SELECT document_id, no, ord, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS i FROM (
+        SELECT *, list_filter(list_transform(regexp_extract_all(content, '[^.?!]+[.?!]*'), lambda s: {S.collapse('s')}), lambda s: s <> '') AS ss FROM act{n} WHERE enough))),
+    tok{n} AS (SELECT document_id, no, ord, i, unnest(ws) AS w FROM sen{n}),
+    frq{n} AS (SELECT document_id, no, w, count(*) AS tf FROM tok{n} GROUP BY document_id, no, w),
+    sco{n} AS (SELECT document_id, no, ord, i, CAST(sum(tf) AS DOUBLE) / count(*) AS score, count(*) AS n FROM tok{n} JOIN frq{n} USING (document_id, no, w) GROUP BY document_id, no, ord, i),
+    ran{n} AS (SELECT *, row_number() OVER (PARTITION BY document_id, no ORDER BY score DESC, ord, i) AS pick FROM sco{n}),
+    cut{n} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY document_id, no ORDER BY pick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ran{n} WHERE pick <= 24),
+    tex{n} AS (SELECT document_id, no, string_agg(sentence, ' ' ORDER BY ord, i) AS content FROM cut{n} JOIN sen{n} USING (document_id, no, ord, i) WHERE before < 160 GROUP BY document_id, no),
+    sum{n} AS (SELECT document_id, no, {n} AS level, coalesce(content, '') AS content, ps, pe, part, n_members, first_ord FROM (
+        SELECT document_id, no, nullif(min(coalesce(page_start, 0)), 0) AS ps, nullif(max(coalesce(page_end, 0)), 0) AS pe, CASE WHEN min(part) = max(part) AND count(part) = count(*) THEN min(part) END AS part,
+          count(*) AS n_members, min(ord) AS first_ord FROM act{n} WHERE enough GROUP BY document_id, no) LEFT JOIN tex{n} USING (document_id, no)),
+    cur{n} AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY no, ord) - 1 AS ord, content, page_start, page_end, part FROM (
+        SELECT document_id, no, first_ord AS ord, content, ps AS page_start, pe AS page_end, part FROM sum{n}
+        UNION ALL SELECT document_id, no, ord, content, page_start, page_end, part FROM act{n} WHERE NOT enough))"""
+
+
+def tree_sql(levels: int) -> str:
+    first = "cur0 AS (SELECT document_id, CAST(chunk_index AS BIGINT) AS ord, content, page_start, page_end, layout_partition AS part FROM v_nodes)"
+    rows = " UNION ALL ".join(f"SELECT * FROM sum{n}" for n in range(1, levels + 1))
+    return f"""WITH RECURSIVE {first}, {", ".join(level_sql(n) for n in range(1, levels + 1))}
+    SELECT document_id, level, 'level-' || level || '-cluster-' || no AS cluster_id, content, ps AS page_start, pe AS page_end, part AS layout_partition, n_members FROM ({rows})"""
+
+
+def neighbour_runs(nodes, targets):
+    """Clusters of neighbouring nodes: position times target over size."""
+    sizes = nodes.groupBy(DOC).agg(F.count("*").alias("n")).join(targets, DOC)
+    run = F.floor(c("ord") * c("target") / c("n")).cast("int")
+    return nodes.join(sizes, DOC).withColumn("cluster_no", run).select(DOC, "id", "ord", "cluster_no")
+
+
+@query("C8_build_summary_tree_levels_runs", tree_sql(4))
+def c8r(v):
+    """Whole trees on a clustering SQL can state: merging, carrying over, summaries and stop rules at every level."""
+    tree = T.build_summary_tree_levels(v.nodes.drop("cluster_id", "cluster_no"), cluster=neighbour_runs)
+    sizes = tree.groupBy(DOC, c("parent_id").alias("id")).agg(F.count("*").alias("n_members"))
+    made = tree.where("node_type = 'summary'").join(sizes, [DOC, "id"])
+    return made.select(DOC, "level", "cluster_id", "content", "page_start", "page_end", "layout_partition", "n_members")
+
+
 # --- reading ----------------------------------------------------------------------------------------------------
 
 
