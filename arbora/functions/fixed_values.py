@@ -112,8 +112,6 @@ UPLOAD_MAX_BYTES = 25 * 1024 * 1024
 IVF_LISTS = 100
 TITLE_CHARS = 72
 MIN_TEXT_WORDS = 10
-MIN_TEXT_LAYER_MESSAGE = "No readable text layer was found."
-NO_BODY_TEXT_MESSAGE = "No readable body text was found."
 
 # --- catalogue and progress ----------------------------------------------------------
 INGESTION_STATUSES = ("pending", "processing", "indexed", "failed")
@@ -132,3 +130,35 @@ STAGES = (
     ("validating_tree", "validate_complete", 92),
     ("storing_nodes", "store_complete", 98),
 )
+
+# --- extraction -------------------------------------------------------------------------
+METHOD_OCR, METHOD_TABLES, METHOD_HYBRID, METHOD_BLOCKS = "OCR", "PDFPLUMBER_TABLE_AWARE", "HYBRID", "PYMUPDF_BLOCKS"
+LINE_CONFIDENCE, TABLE_CONFIDENCE, ITEM_CONFIDENCE, PROFILE_CONFIDENCE = 0.96, 0.94, 0.85, 0.9
+PAGE_WORDS, PAGE_IMAGES, COLUMN_WIDTH, MIN_COLUMNS, MIXED_COVERAGE = 350.0, 8.0, 40, 3, 0.2
+
+# --- messages -------------------------------------------------------------------------------
+NO_TEXT_LAYER = "No readable text layer was found."
+NO_BODY_TEXT = "No readable body text was found."
+OCR_WARNING = "OCR required for page %d but no OCR engine is configured."
+FALLBACK_WARNING = "Fell back to legacy PDF extractor."
+NO_CHUNKS = "No chunks were produced."
+EMPTY_CHUNK = "Chunk %s is empty."
+CHUNK_STRATEGY = "Chunk %s has mismatched layout_strategy."
+NO_NODES = "No tree nodes were produced."
+DUPLICATE_IDS = "Duplicate node IDs detected."
+NO_LEAVES = "No leaf nodes were produced."
+MISSING_PARENT = "Node %s references missing parent %s."
+PAGE_RANGE = "Node %s has invalid page range."
+NODE_STRATEGY = "Node %s has mismatched layout strategy."
+NO_CLUSTERS = "No clusters were produced."
+BAD_TARGET = "targetClusters must be a positive integer when provided."
+BAD_STATUS = "Invalid ingestion status."
+BAD_STRATEGY = "layoutStrategy must be ADVERSARIAL, HIERARCHICAL, or TRANSACTIONAL."
+TOO_MANY_FILES = "Too many files."
+FILE_TOO_LARGE = "File too large."
+NO_CRYPTO = "Missing encryption metadata for %s."
+NOT_FOUND = "Document not found."
+NOT_INDEXED = "Document is not indexed yet."
+NO_EMBEDDINGS = "Cluster preview requires leaf embeddings. Re-index this document and try again."
+VIRTUAL_ROOT_TITLE = "Document Summary"
+VIRTUAL_ROOT_TEXT = "Traceable summary tree for this document."

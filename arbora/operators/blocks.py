@@ -28,7 +28,7 @@ def page_profile(
 
     columns = words.groupBy(*PAGE).agg(
         F.count(F.lit(1)).alias("word_count"),
-        F.countDistinct(F.bround(F.col("x0") / 40)).alias("n_columns"),
+        F.countDistinct(F.bround(F.col("x0") / V.COLUMN_WIDTH)).alias("n_columns"),
     )
     joined = pages.select(*PAGE).distinct().join(columns, PAGE, "left")
     for df, name in ((chars, "n_chars"), (images, "n_images"), (tables, "n_tables")):
@@ -37,17 +37,17 @@ def page_profile(
     n_words, n_images = F.col("word_count"), F.col("n_images")
     digital = F.col("n_chars") > 0
     empty = (n_words == 0) & (n_images == 0)
-    coverage = F.least(F.lit(1.0), n_images / F.lit(8.0))
+    coverage = F.least(F.lit(1.0), n_images / F.lit(V.PAGE_IMAGES))
     return counted.select(
         *PAGE,
         digital.alias("has_digital_text"),
-        F.least(F.lit(1.0), n_words / F.lit(350.0)).alias("text_density"),
+        F.least(F.lit(1.0), n_words / F.lit(V.PAGE_WORDS)).alias("text_density"),
         coverage.alias("image_coverage"),
         empty.alias("is_empty"),
         (~digital & ~empty).alias("requires_ocr"),
         (F.col("n_tables") > 0).alias("is_table_heavy"),
-        (F.col("n_columns") >= 3).alias("is_complex_layout"),
-        (digital & (coverage >= 0.2)).alias("is_mixed"),
+        (F.col("n_columns") >= V.MIN_COLUMNS).alias("is_complex_layout"),
+        (digital & (coverage >= V.MIXED_COVERAGE)).alias("is_mixed"),
         n_words.cast("int").alias("word_count"),
     )
 
@@ -55,10 +55,10 @@ def page_profile(
 def route_page(profile: DataFrame) -> DataFrame:
     """Extraction method of each page; the first matching rule wins."""
     method = (
-        F.when(F.col("requires_ocr"), "OCR")
-        .when(F.col("is_table_heavy"), "PDFPLUMBER_TABLE_AWARE")
-        .when(F.col("is_complex_layout") | F.col("is_mixed"), "HYBRID")
-        .otherwise("PYMUPDF_BLOCKS")
+        F.when(F.col("requires_ocr"), V.METHOD_OCR)
+        .when(F.col("is_table_heavy"), V.METHOD_TABLES)
+        .when(F.col("is_complex_layout") | F.col("is_mixed"), V.METHOD_HYBRID)
+        .otherwise(V.METHOD_BLOCKS)
     )
     return profile.withColumn("method", method)
 
@@ -75,7 +75,7 @@ def document_profile(profile: DataFrame) -> DataFrame:
         F.count_if("is_table_heavy").alias("n_table_heavy"),
         F.count_if("is_empty").alias("n_empty"),
         F.avg("text_density").alias("average_text_density"),
-        F.lit(0.9).alias("confidence"),
+        F.lit(V.PROFILE_CONFIDENCE).alias("confidence"),
     )
 
 
@@ -98,7 +98,7 @@ def line_blocks(lines: DataFrame, order: str = "line_no") -> DataFrame:
         F.lit("paragraph").alias("block_type"),
         "font_size",
         F.col("bold").alias("is_bold"),
-        F.lit(0.96).alias("confidence"),
+        F.lit(V.LINE_CONFIDENCE).alias("confidence"),
         F.col(order).cast("int").alias("reading_order"),
         F.lit(None).cast("int").alias("section_level"),
     )
@@ -116,7 +116,7 @@ def table_blocks(tables: DataFrame, lines: DataFrame) -> DataFrame:
         F.lit("table").alias("block_type"),
         F.lit(None).cast("double").alias("font_size"),
         F.lit(False).alias("is_bold"),
-        F.lit(0.94).alias("confidence"),
+        F.lit(V.TABLE_CONFIDENCE).alias("confidence"),
         (F.coalesce("__lines", F.lit(0)) + F.col("table_index")).cast("int").alias("reading_order"),
         F.lit(None).cast("int").alias("section_level"),
     )
@@ -148,7 +148,7 @@ def item_blocks(items: DataFrame) -> DataFrame:
         labels.label_to_block_type(F.col("label")).alias("block_type"),
         F.lit(None).cast("double").alias("font_size"),
         F.lit(False).alias("is_bold"),
-        F.lit(0.85).alias("confidence"),
+        F.lit(V.ITEM_CONFIDENCE).alias("confidence"),
         "reading_order",
         "section_level",
     )
@@ -167,14 +167,14 @@ def extract_pages(
     whole = routed
     if failed is not None:
         whole = routed.join(failed.select("document_id").distinct(), "document_id", "left_anti")
-    readable = whole.where(F.col("method") != "OCR").select(*PAGE)
+    readable = whole.where(F.col("method") != V.METHOD_OCR).select(*PAGE)
     page_lines = lines.join(readable, PAGE, "left_semi")
     page_tables = tables.join(readable, PAGE, "left_semi")
     kept = layout.lines_outside_tables(page_lines, page_tables) if dedupe_tables else page_lines
     blocks = (
         line_blocks(kept, line_order)
         .unionByName(table_blocks(page_tables, page_lines))
-        .unionByName(ocr_blocks(whole.where(F.col("method") == "OCR")))
+        .unionByName(ocr_blocks(whole.where(F.col("method") == V.METHOD_OCR)))
     )
     if failed is None:
         return blocks
@@ -186,13 +186,13 @@ def extract_pages(
 
 
 def extraction_warnings(routed: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    ocr = routed.where(F.col("method") == "OCR").select(
+    ocr = routed.where(F.col("method") == V.METHOD_OCR).select(
         "document_id",
-        F.format_string("OCR required for page %d but no OCR engine is configured.", "page_number").alias("warning"),
+        F.format_string(V.OCR_WARNING, "page_number").alias("warning"),
     )
     if failed is None:
         return ocr
-    fell_back = failed.select("document_id", F.lit("Fell back to legacy PDF extractor.").alias("warning")).distinct()
+    fell_back = failed.select("document_id", F.lit(V.FALLBACK_WARNING).alias("warning")).distinct()
     return ocr.join(fell_back, "document_id", "left_anti").unionByName(fell_back)
 
 

@@ -109,8 +109,8 @@ def gate_indexed(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     joined = requests.join(known, ["document_id", "owner_id"], "left")
     return joined.withColumn(
         "reject_reason",
-        F.when(F.col("ingestion_status").isNull(), "Document not found.").when(
-            F.col("ingestion_status") != "indexed", "Document is not indexed yet."
+        F.when(F.col("ingestion_status").isNull(), V.NOT_FOUND).when(
+            F.col("ingestion_status") != "indexed", V.NOT_INDEXED
         ),
     )
 

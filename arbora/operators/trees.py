@@ -490,9 +490,9 @@ def synthesize_root(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(only, F.col("first.id")).otherwise(F.concat(F.lit("root-"), F.col("document_id"))).alias("id"),
         F.when(only, kind).otherwise("root_summary").alias("node_type"),
         F.when(only, F.col("first.level")).otherwise(top + 1).alias("level"),
-        F.when(only, F.col("first.__title")).otherwise("Document Summary").alias("title"),
+        F.when(only, F.col("first.__title")).otherwise(V.VIRTUAL_ROOT_TITLE).alias("title"),
         F.when(only, F.col("first.content"))
-        .otherwise(F.coalesce("content", F.lit("Traceable summary tree for this document.")))
+        .otherwise(F.coalesce("content", F.lit(V.VIRTUAL_ROOT_TEXT)))
         .alias("content"),
         F.when(only, F.col("first.page_start")).otherwise(F.col("page_start")).alias("page_start"),
         F.when(only, F.col("first.page_end")).otherwise(F.col("page_end")).alias("page_end"),

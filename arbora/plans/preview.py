@@ -52,7 +52,7 @@ def cluster_preview(leaves: DataFrame, requests: DataFrame, cluster=None) -> dic
     """
     missing = embedding_missing(leaves).where("missing")
     rejects = requests.join(missing.select("document_id"), "document_id", "left_semi").withColumn(
-        "reject_reason", F.lit("Cluster preview requires leaf embeddings. Re-index this document and try again.")
+        "reject_reason", F.lit(V.NO_EMBEDDINGS)
     )
     accepted = requests.join(rejects.select("document_id"), "document_id", "left_anti")
     targets = preview_targets(leaves, accepted)
