@@ -46,7 +46,7 @@ def v4(v):
          mime_type AS original_mime_type, coalesce(nullif(content_length, 0), file_size) AS content_length FROM v_upload_checks WHERE reject_reason IS NULL""",
 )
 def s10(v):
-    rows = A.register_documents(v.uploads, now())
+    rows = A.register_documents(v.uploads, F.timestamp_millis(F.lit(1767225600000)))
     return rows.select(
         "document_id", "owner_id", "name", "size", "mime_type", "path", "layout_strategy", "ingestion_status",
         c("storage_encryption.status").alias("encryption_status"),

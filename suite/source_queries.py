@@ -55,7 +55,7 @@ def s3(v):
     return rows.select("id", DOC, "owner_id", "node_type", "level", "content", "page_start", "page_end", "chunk_index")
 
 
-@query("S4_scan_leaf_nodes", "SELECT id, document_id, chunk_index, round(embedding[1], 6) AS first_value FROM v_nodes")
+@query("S4_scan_leaf_nodes", "SELECT id, document_id, chunk_index, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value FROM v_nodes")
 def s4(v):
     rows = N.scan_leaf_nodes(v.tree_with_vectors.withColumn("created_at", F.lit(0)))
     return rows.select("id", DOC, "chunk_index", F.round(c("embedding")[0].cast("double"), 6).alias("first_value"))
@@ -214,8 +214,8 @@ view(
     f"""SELECT document_id, section_no, sum({S.n_words('text')}) AS total FROM (
           SELECT *, sum(CASE WHEN level IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY reading_order, line_no) AS section_no FROM v_ing_lines) GROUP BY document_id, section_no""",
 )
-INGEST_SQL = f"""SELECT s.document_id, CASE WHEN leaves > 0 THEN 'indexed' ELSE 'failed' END AS ingestion_status, CASE WHEN leaves > 0 THEN 0 ELSE 1 END AS n_errors, nullif(coalesce(leaves, 0), 0) AS leaves,
-    CASE WHEN leaves > 0 THEN 0 END AS plain_rows FROM v_strategy s LEFT JOIN (
+INGEST_SQL = f"""SELECT s.document_id, CASE WHEN leaves > 0 THEN 'indexed' ELSE 'failed' END AS ingestion_status, CAST(CASE WHEN leaves > 0 THEN 0 ELSE 1 END AS BIGINT) AS n_errors, nullif(coalesce(leaves, 0), 0) AS leaves,
+    CAST(CASE WHEN leaves > 0 THEN 0 END AS BIGINT) AS plain_rows FROM v_strategy s LEFT JOIN (
       SELECT document_id, CAST({n_windows('total', 400, 75)} AS BIGINT) AS leaves FROM (SELECT document_id, sum({S.n_words('text')}) AS total FROM v_ing WHERE strategy = 'TRANSACTIONAL' AND block_type IN ('paragraph','heading','list_item','table') GROUP BY document_id)
       UNION ALL SELECT document_id, CAST({n_windows('total', 340, 40)} AS BIGINT) FROM (SELECT document_id, sum({S.n_words(S.repair('text'))}) AS total FROM v_ing WHERE strategy = 'ADVERSARIAL' GROUP BY document_id)
       UNION ALL SELECT document_id, CAST(sum(CASE WHEN total <= 650 THEN 1 ELSE ceil(total / CAST(500 AS DOUBLE)) END) AS BIGINT) FROM v_ing_sections GROUP BY document_id) USING (document_id)"""

@@ -302,7 +302,7 @@ def c14(v):
     return rows.select("doc_id", c("embedding")[0].cast("double").alias("first_value"))
 
 
-@query("J4_attach_embeddings", "SELECT id AS chunk_id, round(embedding[1], 6) AS first_value, CAST(len(embedding) AS INTEGER) AS width FROM v_nodes")
+@query("J4_attach_embeddings", "SELECT id AS chunk_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value, CAST(len(embedding) AS INTEGER) AS width FROM v_nodes")
 def j4(v):
     chunks = v.nodes.select(c("id").alias("chunk_id"), "content")
     vectors = v.nodes.select(c("id").alias("chunk_id"), "embedding")
