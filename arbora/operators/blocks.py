@@ -315,6 +315,7 @@ def assign_table_ids(blocks: DataFrame) -> DataFrame:
 
 def normalize_extraction(blocks: DataFrame) -> DataFrame:
     """Furniture out, reading order, headings, lists, table ids, in this order."""
+    blocks = cut_lineage(blocks)  # extracted once; furniture and order each read it twice
     ordered = cut_lineage(resolve_reading_order(remove_repeated_furniture(blocks)))
     return assign_table_ids(detect_lists(detect_headings(ordered)))
 
