@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import ann, bpe, exact_knn, mixing, pii, sharding, toxicity, vectors
+from arbora.llm import ann, bpe, exact_knn, line_dedup, mixing, pii, sharding, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -108,7 +108,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
@@ -118,3 +122,28 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(documents, table(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(documents, model)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+LINES_SQL = r"""WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+numbered AS (SELECT doc_id, unnest(range(len(lines))) AS line, unnest(lines) AS text FROM raw),
+worded AS (SELECT doc_id, line, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM numbered),
+firsts AS (SELECT w, min((doc_id, line)) AS first FROM worded WHERE len(w) > 0 GROUP BY w),
+long AS (SELECT *, len(w) AS n FROM firsts WHERE len(w) >= 8),
+halves AS (SELECT DISTINCT first, w, n, unnest([('p', w[1:c]), ('s', w[n - c + 1:n])]) AS half
+  FROM (SELECT *, unnest([n // 2, (n + 1) // 2]) AS c FROM long)),
+pairs AS (SELECT DISTINCT x.first, x.w AS a, y.w AS b FROM halves x JOIN halves y ON x.half = y.half AND y.first < x.first AND abs(x.n - y.n) <= 1),
+near AS (SELECT DISTINCT first FROM pairs WHERE CASE
+    WHEN len(a) = len(b) THEN len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) <= 1
+    ELSE len(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i:
+      CASE WHEN len(a) > len(b) THEN a[:i - 1] || a[i + 1:] = b ELSE b[:i - 1] || b[i + 1:] = a END)) > 0 END),
+gone AS (SELECT doc_id, line FROM worded JOIN firsts USING (w) LEFT JOIN near ON near.first = firsts.first
+  WHERE near.first IS NOT NULL OR firsts.first < (doc_id, line))
+SELECT n.doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(g.line) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(n.text, chr(10) ORDER BY n.line) FILTER (WHERE g.line IS NULL), '')) AS text_sha256
+FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.line = g.line GROUP BY n.doc_id"""
+
+
+@query("op8_line_dedup", LINES_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("lines").alias("n_lines"), F.col("removed_lines").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
