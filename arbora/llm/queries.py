@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import ann, bpe, exact_knn, line_dedup, mixing, ngram_join, pii, sharding, toxicity, vectors
+from arbora.llm import ann, bpe, exact_knn, line_dedup, mixing, ngram_join, packing, pii, sharding, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -165,3 +165,12 @@ FROM sets s JOIN reach r ON r.u = s.doc_id GROUP BY s.doc_id, len(s.s)"""
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.similar_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query("op10_pack_tokens")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids: a byte is its own id, 256 ends a document, 257 fills a row."""
+    data = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    packed = packing.pack(data, "data", end=256, pad=257, width=1)
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "positions")]
+    return packed.select("pool", "row", "n_tokens", "doc_ids", "parts", "of_parts", "cumulative", *digests)
