@@ -23,74 +23,35 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import WORD, cut
+from arbora.llm.common import WORD, Powers, RunningSums, Words, cut, mixed
 
 LEAST_WORDS = 8
-MEMO = 300_000
 _WORDS = re.compile(WORD).findall
-_BASES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SAME_PLACE, WHOLE, WITHOUT = 0, 1, 2
 
 
-def mix(x: np.ndarray, *more: np.ndarray | int) -> np.ndarray:
-    """A 64-bit hash of the values, as signed integers."""
-    with np.errstate(over="ignore"):
-        for m in (0, *more):
-            x = (x ^ np.asarray(m).astype(np.uint64) * _BASES[0]) * _BASES[1]
-            x ^= x >> np.uint64(29)
-    return x.view(np.int64)
+def signed(x: np.ndarray, *more: np.ndarray | int) -> np.ndarray:
+    return mixed(x, *more).view(np.int64)
 
 
 class Hashes:
-    """Rolling hashes of lines of words."""
+    """What a worker keeps over its batches."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.grow(1 << 10)
+        self.words, self.powers = Words(), [Powers(b) for b in _BASES]
 
-    def grow(self, n: int) -> None:
-        with np.errstate(over="ignore"):
-            self.powers = [np.cumprod(np.r_[np.uint64(1), np.full(n, b)]) for b in _BASES]
-            inverse = np.uint64(pow(int(_BASES[0]), -1, 1 << 64))
-            self.inverses = np.cumprod(np.r_[np.uint64(1), np.full(n, inverse)])
-
-    def words(self, words: list[str]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        if len(words) >= len(self.powers[0]):
-            self.grow(2 * len(words))
-        for w in words:
-            if w not in memo:
-                memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-    def sums(self, words: np.ndarray, base: int = 0) -> np.ndarray:
-        """Hash of every beginning of the line, the empty one first."""
-        with np.errstate(over="ignore"):
-            return np.r_[np.uint64(0), np.cumsum(words * self.powers[base][: len(words)])]
-
-    def whole(self, words: np.ndarray) -> tuple[int, int]:
-        n = len(words)
-        return tuple(int(mix(self.sums(words, b)[-1:], n)[0]) for b in (0, 1))
-
-    def halves(self, words: np.ndarray) -> list[int]:
-        """Keys of the first and last half; for odd lengths with and without the middle word."""
-        n, sums = len(words), self.sums(words)
-        with np.errstate(over="ignore"):
-            return [int(k) for c in {n // 2, (n + 1) // 2} for k in (mix(sums[c : c + 1], c, 3)[0], mix((sums[n] - sums[n - c : n - c + 1]) * self.inverses[n - c], c, 4)[0])]
-
-    def without(self, words: np.ndarray) -> np.ndarray:
-        """Hash of the line without each of its words."""
-        n, sums = len(words), self.sums(words)
-        with np.errstate(over="ignore"):
-            return sums[:n] + (sums[n] - sums[1:]) * self.inverses[1]
+    def lines(self, texts: list[str]) -> tuple[list[RunningSums], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Running sums over all words; start, end, text and number of each line that has words."""
+        word, of, line = self.words(texts)
+        new = np.r_[True, (of[1:] != of[:-1]) | (line[1:] != line[:-1])] if len(word) else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        return [RunningSums(word, p) for p in self.powers], start, np.r_[start[1:], len(word)].astype(np.int64)[: len(start)], of[start], line[start]
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -121,47 +82,53 @@ def lines_of(documents: DataFrame) -> DataFrame:
     hashes = []
 
     def rows(docs, versions, texts):
-        hash_ = hashes[0] if hashes else hashes.append(Hashes()) or hashes[0]
-        found = []
-        for doc, version, text in zip(docs, versions, texts):
-            for number, line in enumerate(text.split("\n")):
-                words = _WORDS(line)
-                if words:
-                    h = hash_.words(words)
-                    found.append((doc, version, number, len(words), *hash_.whole(h), hash_.halves(h) if len(words) >= LEAST_WORDS else []))
-        columns = list(zip(*found)) or [[]] * 7
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        return [pa.array(c, k) for c, k in zip(columns, kinds)]
+        kept = hashes[0] if hashes else hashes.append(Hashes()) or hashes[0]
+        sums, start, end, of, number = kept.lines(texts)
+        n = end - start
+        a, b = (signed(s.run(start, end), n) for s in sums)
+        # first and last halves; for odd lengths with and without the middle word
+        long = np.flatnonzero(n >= LEAST_WORDS)
+        odd = long[n[long] % 2 == 1]
+        line, half = np.r_[long, odd], np.r_[n[long] // 2, n[odd] // 2 + 1]
+        first = signed(sums[0].run(start[line], start[line] + half), half, 3)
+        last = signed(sums[0].run(end[line] - half, end[line]), half, 4)
+        order = np.argsort(np.r_[line, line], kind="stable")
+        ends = np.cumsum(np.r_[0, np.bincount(np.r_[line, line], minlength=len(n))]).astype(np.int32)
+        halves = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.r_[first, last][order]))
+        own = [np.array(x, np.int64)[of] for x in (docs, versions)]
+        return [*map(pa.array, own), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(a), pa.array(b), halves]
 
     return _mapped(documents, "doc long, version long, line int, n int, a long, b long, halves array<long>", rows)
 
 
 def variants_of(chosen: DataFrame) -> DataFrame:
-    """``key``, ``role``, ``doc``, ``version``, ``line`` and, with the line itself, ``words``."""
+    """``key``, ``role``, ``doc``, ``version``, ``line`` and, with the line itself, its ``text``."""
     hashes = []
 
     def rows(docs, versions, packed, numbers):
-        hash_ = hashes[0] if hashes else hashes.append(Hashes()) or hashes[0]
+        kept = hashes[0] if hashes else hashes.append(Hashes()) or hashes[0]
         unpack = zstandard.ZstdDecompressor().decompress
-        keys, roles, at, texts = [], [], [], []
+        own, texts = [], []
         for doc, version, data, wanted in zip(docs, versions, packed, numbers):
             lines = unpack(data).decode().split("\n")
-            for number in wanted:
-                words = _WORDS(lines[number])
-                h = hash_.words(words)
-                n, less = len(words), hash_.without(h)
-                keys += [mix(less, np.arange(n), n, 5), mix(hash_.sums(h)[-1:], n, 6), mix(np.unique(less), n - 1, 6)]
-                parts = [n, 1, len(keys[-1])]
-                roles.append(np.repeat([SAME_PLACE, WHOLE, WITHOUT], parts))
-                at.append((doc, version, number, sum(parts)))
-                texts += [None] * n + [" ".join(words)] + [None] * parts[2]
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        role = np.concatenate(roles) if roles else np.zeros(0, np.int64)
-        where = np.array(at, np.int64).reshape(-1, 4)
-        own = np.repeat(where[:, :3], where[:, 3], axis=0)
-        return [pa.array(flat), pa.array(role.astype(np.int32)), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(own[:, 2].astype(np.int32)), pa.array(texts, pa.string())]
-
-    return _mapped(chosen, "key long, role int, doc long, version long, line int, words string", rows)
+            own += [(doc, version, number) for number in wanted]
+            texts += [lines[number] for number in wanted]
+        (sums, _), start, end, _, _ = kept.lines(texts)
+        n = end - start
+        each = np.repeat(np.arange(len(n)), n)  # the line of each word
+        at = np.arange(len(each))
+        with np.errstate(over="ignore"):
+            less = sums.run(start[each], at) + sums.run(at + 1, end[each], start[each] + 1)
+        # leaving out either of two equal neighbours gives the same variant; once is enough for it
+        new = np.r_[True, (less[1:] != less[:-1]) | (each[1:] != each[:-1])] if len(less) else np.zeros(0, bool)
+        keys = [signed(less, at - start[each], n[each], 5), signed(sums.run(start, end), n, 6), signed(less[new], n[each[new]] - 1, 6)]
+        role = np.repeat([SAME_PLACE, WHOLE, WITHOUT], [len(k) for k in keys]).astype(np.int32)
+        line = np.concatenate([each, np.arange(len(n)), each[new]])
+        where = np.array(own, np.int64).reshape(-1, 3)[line]
+        told = pa.array(texts, pa.string()).take(pa.array(line, mask=role != WHOLE))
+        return [pa.array(np.concatenate(keys)), pa.array(role), pa.array(where[:, 0]), pa.array(where[:, 1]), pa.array(where[:, 2].astype(np.int32)), told]
+
+    return _mapped(chosen, "key long, role int, doc long, version long, line int, text string", rows)
 
 
 def packed_texts(documents: DataFrame) -> DataFrame:
@@ -195,12 +162,12 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     partner = F.when(F.col("role") == SAME_PLACE, F.col("first0")).when(F.col("role") == WHOLE, F.col("first2")).otherwise(F.col("first1"))
     earlier = variants.join(keys, "key").select(*PLACE, partner.alias("partner")).filter(F.col("partner") < place)
     linked = earlier.groupBy(*PLACE).agg(F.min("partner").alias("partner")).select(*PLACE, *(F.col(f"partner.{c}").alias(f"partner_{c}") for c in PLACE))
-    texts = variants.filter(F.col("role") == WHOLE).select(*PLACE, "words").dropDuplicates(list(PLACE))
+    texts = variants.filter(F.col("role") == WHOLE).select(*PLACE, F.col("text").alias("words")).dropDuplicates(list(PLACE))
     others = texts.select(*(F.col(c).alias(f"partner_{c}") for c in PLACE), F.col("words").alias("partner_words"))
     pairs = linked.join(texts, list(PLACE)).join(others, [f"partner_{c}" for c in PLACE]).select(*PLACE, "words", "partner_words")
 
     def verified(docs, versions, numbers, words, partners):
-        kept = [i for i, (x, y) in enumerate(zip(words, partners)) if within_one(x.split(" "), y.split(" "))]
+        kept = [i for i, (x, y) in enumerate(zip(words, partners)) if within_one(_WORDS(x), _WORDS(y))]
         return [pa.array([c[i] for i in kept], k) for c, k in ((docs, pa.int64()), (versions, pa.int64()), (numbers, pa.int32()))]
 
     near = _mapped(pairs, "doc long, version long, line int", verified).withColumn("near", F.lit(True))
@@ -214,7 +181,7 @@ def dedup_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     kept = [c for c in documents.columns if c.lower() not in ("lines", "removed_lines", text.lower())]
     version = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     keyed = documents.select(F.col(key).cast("long").alias("doc"), version.alias("version"), F.col(text).alias("text"))
-    numbers = removed_lines(keyed.filter("doc IS NOT NULL AND text IS NOT NULL"))
+    numbers = removed_lines(keyed.filter("doc IS NOT NULL AND text IS NOT NULL")).toDF("_of", "_in", "_numbers")
 
     rows = documents.select(*kept, F.col(text).alias("_text"), F.col(key).cast("long").alias("_doc"), version.alias("_version"))
     pack = T.StructType([*(f for f in rows.schema.fields if f.name != "_text"), T.StructField("_packed", T.BinaryType())])
@@ -227,8 +194,8 @@ def dedup_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -
             others = [j for j in range(batch.num_columns) if j != i]
             yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in others), packed], names=[*(batch.schema.names[j] for j in others), "_packed"])
 
-    marked = rows.mapInArrow(compress, pack).join(numbers, (F.col("_doc") == F.col("doc")) & (F.col("_version") == F.col("version")), "left")
-    marked = marked.select(*kept, "_packed", "numbers")
+    marked = rows.mapInArrow(compress, pack).join(numbers, (F.col("_doc") == F.col("_of")) & (F.col("_version") == F.col("_in")), "left")
+    marked = marked.select(*kept, "_packed", "_numbers")
     fields = [f for f in marked.schema.fields if f.name in kept]
     out = T.StructType([*fields, T.StructField(text, T.StringType()), T.StructField("lines", T.LongType()), T.StructField("removed_lines", T.LongType())])
 

@@ -10,8 +10,10 @@ union``. Equal sets are one class from the start. The steps, each exact:
 3. Shared tokens are ordered from rare to frequent. Rare ones are indexed by themselves. Frequent ones are dealt to
    classes, and combinations of two of a class are indexed; the prefix is extended until a pair that misses the overlap
    by as much as allowed still shares a rare token or two of a class. Sizes decide the number of classes, in bands.
-4. Every set is verified against the smallest set it shares an entry with; contraction leaves few groups per entry.
-   Then each entry's sets outside its largest group are verified against the entry's other groups, all of them.
+4. Every set is verified against the smallest and the most typical set it shares an entry with; contraction leaves
+   few groups per entry. Sets of entries with several groups are measured against the middle of the largest one. Then
+   each entry's sets outside its largest group are verified against the entry's other groups, all of them that the
+   triangle inequality leaves.
 
 Frequent entries never pair their sets with each other inside a group, and no step drops candidates.
 Defined cases: null and empty texts and texts without words have no tokens and link with nothing; texts of fewer words
@@ -21,7 +23,6 @@ told apart by their sets; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,41 +32,43 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import LOWER, UPPER, WORD, cut
+from arbora.llm.common import Words, cut
 from arbora.llm.components import components
 
 N, PERCENT = 5, 75
 #: Tokens in more sets than this are indexed in combinations.
 RARE = 32
-ROWS_AT_ONCE, MEMO = 256, 300_000
-_WORDS = re.compile(WORD).findall
-_LOWER = str.maketrans(UPPER, LOWER)
+ROWS_AT_ONCE = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingles:
-    """Sorted distinct hashes of the word n-grams of a text."""
+    """Sorted distinct hashes of the word n-grams of each of many texts."""
 
     def __init__(self, n: int = N):
-        self.n, self.memo = n, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words, memo = _WORDS(text or ""), self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = xxhash.xxh3_64_intdigest(w.translate(_LOWER).encode("utf-8", "replace"))
-        a = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        size = min(self.n, len(a))
-        if not size:
-            return a
+        self.n, self.words = n, Words(lower=True)
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        word, of, _ = self.words([t or "" for t in texts])
+        ends = np.searchsorted(of, np.arange(len(texts) + 1))
+        grams = self.grams(word, self.n)
+        found = []
+        for start, end in zip(ends.tolist(), ends[1:].tolist()):
+            size = min(self.n, end - start)
+            found.append(np.unique(grams[start : end - size + 1] if size == self.n else self.grams(word[start:end], size)))
+        return found
+
+    @staticmethod
+    def grams(word: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the run of ``size`` words from each place on."""
+        if not size or len(word) < size:
+            return word[:0]
+        h = np.full(len(word) - size + 1, size, np.uint64)
         with np.errstate(over="ignore"):
-            h = np.full(len(a) - size + 1, size, np.uint64)
             for j in range(size):
-                h = (h ^ a[j : len(a) - size + 1 + j]) * _MIX
+                h = (h ^ word[j : len(word) - size + 1 + j]) * _MIX
                 h ^= h >> np.uint64(29)
-        return np.unique(h)
+        return h
 
 
 def overlap(n: np.ndarray | int):
@@ -108,8 +111,7 @@ def describe(documents: DataFrame, parts: int) -> DataFrame:
         shingles = Shingles()
         for ids, texts in _slices(batches):
             rows, prefixes, seen = [], [], {}
-            for doc, text in zip(ids, texts):
-                tokens = shingles(text)
+            for doc, tokens in zip(ids, shingles(texts)):
                 mark = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 a, b = (int(np.uint64(x).astype(np.int64)) for x in (mark >> 64, mark & (1 << 64) - 1))
                 rows.append((doc, len(tokens), a, b, -1, None, None, None))
@@ -140,7 +142,10 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_counts(packed: DataFrame, parts: int) -> DataFrame:
-    """``a`` and ``shared``: how many of a set's prefix tokens are in another set's prefix too."""
+    """``a`` and ``shared``: how many of a set's prefix tokens are in another set's prefix too.
+
+    A task counts the sets of its tokens and sends packed counts by set; these are added up.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, sets = [], []
@@ -157,11 +162,22 @@ def shared_counts(packed: DataFrame, parts: int) -> DataFrame:
         token, owner = token[new], owner[new]
         _, length = _runs(token)
         found, n = np.unique(owner[np.repeat(length > 1, length)], return_counts=True)
-        for at in range(0, len(found), 100_000):
-            yield _rows("a long, n long", [found[at : at + 100_000], n[at : at + 100_000]])
+        to = found % parts
+        rows = [(int(p), found[to == p].tobytes(), n[to == p].astype(np.int64).tobytes()) for p in np.unique(to)]
+        yield _rows("part int, sets binary, n binary", list(zip(*rows)) or [[]] * 3)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [c for batch in batches for c in zip(*(x.to_pylist() for x in batch.columns))]
+        if columns:
+            sets, n = (np.concatenate([np.frombuffer(c[k], np.int64) for c in columns]) for k in (0, 1))
+            found, at = np.unique(sets, return_inverse=True)
+            total = np.bincount(at, weights=n).astype(np.int64)
+            for k in range(0, len(found), 100_000):
+                yield _rows("a long, shared long", [found[k : k + 100_000], total[k : k + 100_000]])
 
     dealt = packed.repartition(parts, "part").select("tokens", "owners", "of")
-    return dealt.mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("shared"))
+    counted = dealt.mapInArrow(run, "part int, sets binary, n binary")
+    return counted.repartition(parts, "part").select("sets", "n").mapInArrow(add, "a long, shared long")
 
 
 BATCH = "batch long, ids binary, sizes binary, tokens binary"
@@ -179,8 +195,7 @@ def batches_of(documents: DataFrame, chosen: DataFrame) -> DataFrame:
         shingles, unpack = Shingles(), zstandard.ZstdDecompressor().decompress
         for docs, packed, marks in _slices(batches):
             ids, sets = [], []
-            for doc, data, a in zip(docs, packed, marks):
-                tokens = shingles(unpack(data).decode())
+            for doc, tokens, a in zip(docs, shingles([unpack(data).decode() for data in packed]), marks):
                 if doc not in ids and int(np.uint64(xxhash.xxh3_128_intdigest(tokens.tobytes()) >> 64).astype(np.int64)) == a:
                     ids.append(doc)
                     sets.append(tokens)
@@ -271,7 +286,7 @@ def entries(tokens: np.ndarray, frequency: np.ndarray, n: int) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-INDEX = "id long, n int, tokens binary, entries array<long>"
+INDEX = "id long, n int, band int, typical int, tokens binary, entries array<long>"
 
 
 def index(batches_: DataFrame, known: DataFrame) -> DataFrame:
@@ -291,27 +306,32 @@ def index(batches_: DataFrame, known: DataFrame) -> DataFrame:
                     at = np.minimum(np.searchsorted(known_tokens, mine), len(known_tokens) - 1)
                     shared = known_tokens[at] == mine
                     if shared.sum() >= overlap(n):
-                        rows.append((doc, n, mine[shared].tobytes(), entries(mine[shared], known_n[at[shared]], n).view(np.int64)))
-                yield _rows(INDEX, list(zip(*rows)) or [[]] * 4)
+                        often = known_n[at[shared]]
+                        # how often others have its tokens: the middle of a group of copies has the most
+                        typical = int(min(often.sum() // n, (1 << 31) - 1))
+                        rows.append((doc, n, band(n), typical, mine[shared].tobytes(), entries(mine[shared], often, n).view(np.int64)))
+                yield _rows(INDEX, list(zip(*rows)) or [[]] * 6)
 
     return batches_.join(known, "batch").select("ids", "sizes", "tokens", "known").mapInArrow(run, INDEX)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``u``, ``v`` that link."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``u``, ``v``, ``linked`` and their Jaccard ``distance``, for each pair."""
     right = sets.select(F.col("id").alias("v"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2"))
     both = pairs.join(sets.select(F.col("id").alias("u"), "n", "tokens"), "u").join(right, "v").select("u", "v", "n", "n2", "tokens", "tokens2")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for us, vs, ns, n2s, xs, ys in _slices(batches):
-            found = []
-            for u, v, n, n2, x, y in zip(us, vs, ns, n2s, xs, ys):
-                both_ = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                if 100 * both_ >= PERCENT * (n + n2 - both_):
-                    found.append((u, v))
-            yield _rows("u long, v long", list(zip(*found)) or [[]] * 2)
+            common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(xs, ys)]
+            yield _rows("u long, v long, both long, either long", [us, vs, common, [n + m - b for n, m, b in zip(ns, n2s, common)]])
 
-    return both.mapInArrow(run, "u long, v long")
+    counted = both.mapInArrow(run, "u long, v long, both long, either long")
+    return counted.select("u", "v", (F.col("both") * 100 >= F.col("either") * PERCENT).alias("linked"), (1 - F.col("both") / F.col("either")).alias("distance"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``u``, ``v`` that link."""
+    return overlaps(pairs, sets).filter("linked").select("u", "v")
 
 
 def similar_sizes(a: str, b: str):
@@ -320,23 +340,45 @@ def similar_sizes(a: str, b: str):
 
 def linked_groups(sets: DataFrame) -> DataFrame:
     """``node`` and ``component`` of the sets that link with another."""
-    postings = cut(sets.select("id", "n", F.explode("entries").alias("entry")))
+    postings = cut(sets.select("id", "n", "band", "typical", F.explode("entries").alias("entry")))
     lists = postings.groupBy("entry").agg(F.count(F.lit(1)).alias("of"), F.min(F.struct("n", "id")).alias("least")).filter("of > 1")
-    listed = cut(postings.join(lists, "entry").select("entry", "id", "n", F.col("least.n").alias("n0"), F.col("least.id").alias("id0")))
-    centres = listed.filter((F.col("id") != F.col("id0")) & similar_sizes("n", "n0")).groupBy("id").agg(F.min(F.struct("n0", "id0")).alias("c"))
-    links = cut(verified(centres.select(F.col("id").alias("u"), F.col("c.id0").alias("v")), sets))
-
-    def grouped(known: DataFrame) -> DataFrame:
-        return listed.select("entry", "id", "n").join(known, F.col("id") == F.col("node"), "left").select("entry", "id", "n", F.coalesce("component", "id").alias("component"))
-
-    members = cut(grouped(components(links)))
-    groups = members.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("of"))
-    largest = groups.groupBy("entry").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("of", "component")).alias("most")).filter("groups > 1")
-    mixed = cut(members.join(largest.select("entry", F.col("most.component").alias("largest")), "entry"))
-    few = mixed.filter("component <> largest").select("entry", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-    others = mixed.select("entry", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), "largest")
+    listed = cut(postings.join(lists.select("entry", F.col("least.n").alias("n0"), F.col("least.id").alias("id0")), "entry"))
+
+    # each set against the smallest set it shares an entry with, and the most typical one of its band
+    smallest = listed.filter((F.col("id") != F.col("id0")) & similar_sizes("n", "n0")).groupBy("id").agg(F.min(F.struct("n0", "id0"))["id0"].alias("v"))
+    middles = listed.groupBy("entry", "band").agg(F.max(F.struct("typical", "id")).alias("middle"))
+    typical = listed.select("entry", "band", "id").join(middles, ["entry", "band"]).groupBy("id").agg(F.max("middle")["id"].alias("v"))
+    centres = smallest.union(typical.filter("id <> v")).select(F.col("id").alias("u"), "v").distinct()
+    links = cut(verified(centres, sets))
+
+    def mixed_entries(known: DataFrame) -> DataFrame:
+        """Postings of entries with several groups, with the entry's largest group and that group's most typical set."""
+        grouped = listed.select("entry", "id", "n", "typical").join(known, F.col("id") == F.col("node"), "left")
+        members = cut(grouped.select("entry", "id", "n", "typical", F.coalesce("component", "id").alias("component")))
+        groups = members.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("of"), F.max(F.struct("typical", "id")).alias("middle"))
+        largest = groups.groupBy("entry").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("of", "component", "middle")).alias("most")).filter("groups > 1")
+        return cut(members.join(largest.select("entry", F.col("most.component").alias("largest"), F.col("most.middle.id").alias("pivot")), "entry"))
+
+    # every set of a mixed entry against the middle of the largest group: more links, and distances to a common pivot
+    mixed = mixed_entries(components(links))
+    measured = overlaps(mixed.select(F.col("id").alias("u"), F.col("pivot").alias("v")).filter("u <> v").distinct(), sets)
+    measured = cut(measured.union(mixed.select(F.col("pivot").alias("u"), F.col("pivot").alias("v"), F.lit(False), F.lit(0.0)).distinct()))
+    links = cut(links.union(measured.filter("linked").select("u", "v")))
+    known = components(links)
+    named = mixed.join(known, F.col("id") == F.col("node"), "left").select("entry", "id", "n", "pivot", F.coalesce(known["component"], F.col("id")).alias("component"))
+    top = known.select(F.col("node").alias("p"), F.col("component").alias("largest"))
+    placed = named.join(top, F.col("pivot") == F.col("p"), "left").withColumn("largest", F.coalesce("largest", "pivot"))
+    placed = placed.join(measured.select(F.col("u").alias("id"), F.col("v").alias("pivot"), "distance"), ["id", "pivot"])
+    placed = cut(placed.select("entry", "id", "n", "component", "largest", "distance"))
+
+    # what is left: sets outside the largest group against all others; Jaccard distance is a metric, so sets whose
+    # distances to the pivot differ by more than the bound can't link
+    few = placed.filter("component <> largest").select("entry", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), F.col("distance").alias("du"))
+    others = placed.select("entry", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("distance").alias("dv"), "largest")
     # pairs of two small groups come up twice: once is enough
-    pairs = few.join(others, "entry").filter((F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("largest")) | (F.col("u") < F.col("v"))) & similar_sizes("nu", "nv"))
+    once = (F.col("cv") == F.col("largest")) | (F.col("u") < F.col("v"))
+    near = F.abs(F.col("du") - F.col("dv")) <= 1 - PERCENT / 100 + 1e-9
+    pairs = few.join(others, "entry").filter((F.col("cu") != F.col("cv")) & once & similar_sizes("nu", "nv") & near)
     return components(links.union(verified(cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()), sets)))
 
 
