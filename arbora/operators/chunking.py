@@ -21,8 +21,6 @@ from arbora.session import cut_lineage
 HIERARCHY = "array<struct<key:string,title:string,depth:int>>"
 ORDER = ("page_number", "block_no")
 # Heading markers never go deeper than five levels; typed headings may, so the
-# stack keeps a few spare positions. ``heading_stack`` takes it as a parameter.
-STACK_POSITIONS = 8
 
 
 # --- text units ---------------------------------------------------------------------
@@ -49,14 +47,15 @@ def item_paragraphs(items: DataFrame) -> DataFrame:
     return cleaned.where(F.col("text") != "").withColumnsRenamed({"reading_order": "block_no", "label": "component"})
 
 
-def item_lines(items: DataFrame, lines_per_item: int = 1_000_000) -> DataFrame:
+def item_lines(items: DataFrame) -> DataFrame:
     """Body items of structured pages, one row per physical line."""
     body = items.where(F.col("label").isin(*V.BODY_LABELS))
     kept = [c for c in body.columns if c not in ("text", "reading_order")]
     split = body.select(
         *kept, "reading_order", F.posexplode(text.physical_lines(F.col("text"))).alias("line_in_item", "text")
     )
-    number = F.col("reading_order").cast("bigint") * lines_per_item + F.col("line_in_item")
+    # both parts are 32-bit integers, so items never overlap
+    number = F.col("reading_order").cast("bigint") * (1 << 32) + F.col("line_in_item")
     return split.withColumn("block_no", number).withColumnRenamed("label", "component").drop(
         "reading_order", "line_in_item"
     )
@@ -278,17 +277,20 @@ def synthetic_heading_keys(headings: DataFrame) -> DataFrame:
     return counted.withColumn("section_key", F.coalesce("heading_slug", running)).drop("__unmarked")
 
 
-def heading_stack(headings: DataFrame, positions: int = STACK_POSITIONS) -> DataFrame:
+def heading_stack(headings: DataFrame) -> DataFrame:
     """``section_hierarchy``: open headings when each heading starts.
 
     A heading of level l cuts the stack to l-1 entries and is pushed, so with
     ordinal r the stack height is ``r + min(0, running min(max(l,1) - r))`` and
-    position p holds the last heading whose height was p.
+    position p holds the last heading whose height was p.  There is a carried
+    column for each height that occurs.
     """
     rank, segment = F.col("section_no"), ordinal_segment("section_no")
     level = F.greatest(F.col("heading_level"), F.lit(1))
     low = prefix_scan(headings, ["document_id"], ["section_no"], segment, mins={"__low": level - rank})
-    tall = low.withColumn("stack_height", (rank + F.least(F.lit(0), F.col("__low"))).cast("int")).drop("__low")
+    height = (rank + F.least(F.lit(0), F.col("__low"))).cast("int")
+    tall = cut_lineage(low.withColumn("stack_height", height).drop("__low"))
+    positions = range(1, (tall.agg(F.max("stack_height")).first()[0] or 1) + 1)
     entry = F.struct(
         F.col("section_key").alias("key"), F.col("text").alias("title"), F.col("heading_level").alias("depth")
     )
@@ -297,23 +299,18 @@ def heading_stack(headings: DataFrame, positions: int = STACK_POSITIONS) -> Data
         ["document_id"],
         ["section_no"],
         segment,
-        carries={f"__at{p}": F.when(F.col("stack_height") == p, entry) for p in range(1, positions + 1)},
+        carries={f"__at{p}": F.when(F.col("stack_height") == p, entry) for p in positions},
     )
-    open_now = F.slice(F.array(*[f"__at{p}" for p in range(1, positions + 1)]), F.lit(1), F.col("stack_height"))
-    return stacked.withColumn(
-        "section_hierarchy",
-        F.when(F.col("stack_height") > positions, F.raise_error(F.lit("heading deeper than the stack positions")))
-        .otherwise(open_now)
-        .cast(HIERARCHY),
-    ).drop(*[f"__at{p}" for p in range(1, positions + 1)])
+    open_now = F.slice(F.array(*[f"__at{p}" for p in positions]), F.lit(1), F.col("stack_height"))
+    return stacked.withColumn("section_hierarchy", open_now.cast(HIERARCHY)).drop(*[f"__at{p}" for p in positions])
 
 
-def section_paths(lines: DataFrame, positions: int = STACK_POSITIONS) -> DataFrame:
+def section_paths(lines: DataFrame) -> DataFrame:
     """Hierarchy per (document, section) from lines that carry levels and section numbers."""
     headings = lines.where(F.col("heading_level").isNotNull()).select(
         "document_id", "section_no", "heading_level", "heading_slug", "text"
     )
-    return heading_stack(cut_lineage(synthetic_heading_keys(headings)), positions).select(
+    return heading_stack(cut_lineage(synthetic_heading_keys(headings))).select(
         "document_id", "section_no", "section_hierarchy"
     )
 
@@ -330,7 +327,7 @@ def section_chunks(sectioned: DataFrame) -> DataFrame:
     )
 
 
-def hierarchical_chunks(units: DataFrame, positions: int = STACK_POSITIONS) -> DataFrame:
+def hierarchical_chunks(units: DataFrame) -> DataFrame:
     """Chunks by section with the path of open headings."""
     leveled = cut_lineage(with_heading_levels(units))
     sectioned = cut_lineage(assign_sections(leveled))
@@ -338,7 +335,7 @@ def hierarchical_chunks(units: DataFrame, positions: int = STACK_POSITIONS) -> D
     preamble = F.array(
         F.struct(F.lit("preamble-1").alias("key"), F.lit("Preamble").alias("title"), F.lit(1).alias("depth"))
     ).cast(HIERARCHY)
-    pathed = chunks.join(section_paths(sectioned, positions), ["document_id", "section_no"], "left").withColumn(
+    pathed = chunks.join(section_paths(sectioned), ["document_id", "section_no"], "left").withColumn(
         "section_hierarchy", F.coalesce("section_hierarchy", preamble)
     )
     path = F.col("section_hierarchy")

@@ -7,6 +7,7 @@ Result rows carry ``cluster_no``, numbered from 0 by first appearance.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,66 +19,172 @@ from arbora.functions import trees
 from arbora.operators.scan import grouped_segment, ordinal_segment, prefix_scan
 from arbora.session import cut_lineage
 
-# A mixture fit sees at most this many vectors. Longer groups are fitted in blocks.
-FIT_LIMIT = 4096
-BLOCK_COMPONENTS = 64
+# Vectors in one task's matrix; how a document is cut into blocks does not change its fit.
+BLOCK_ROWS = 4096
+ROUNDS = 100
+TOLERANCE = 1e-4
+FLOOR = 1e-6
+#: Rows per component that may be first means.
+CANDIDATES = 16
 SEED = 42
 
 
-# --- one bounded fit ----------------------------------------------------------------------
-
-
-def mixture_labels(matrix: np.ndarray, k: int, seed: int = SEED, rounds: int = 30) -> np.ndarray:
-    """Component labels of a diagonal Gaussian mixture, spread-out seeding, fixed seed."""
-    x = np.asarray(matrix, dtype=np.float64)
-    n, width = x.shape
-    rng = np.random.default_rng(seed)
-    means = x[[int(rng.integers(n))]]
-    nearest = ((x - means[0]) ** 2).sum(axis=1)
-    while len(means) < k:
-        weight = nearest.sum()
-        pick = int(rng.integers(n)) if weight <= 0 else int(rng.choice(n, p=nearest / weight))
-        means = np.vstack([means, x[pick]])
-        nearest = np.minimum(nearest, ((x - x[pick]) ** 2).sum(axis=1))
-    spread = np.tile(x.var(axis=0) + 1e-6, (k, 1))
-    share = np.full(k, 1.0 / k)
-    before = -np.inf
-    for _ in range(rounds):
-        precision = 1.0 / spread
-        distance = (x**2) @ precision.T - 2.0 * x @ (means * precision).T + (means**2 * precision).sum(axis=1)
-        log_p = np.log(share) - 0.5 * (distance + np.log(spread).sum(axis=1) + width * np.log(2 * np.pi))
-        top = log_p.max(axis=1, keepdims=True)
-        total = top[:, 0] + np.log(np.exp(log_p - top).sum(axis=1))
-        resp = np.exp(log_p - total[:, None])
-        mass = resp.sum(axis=0) + 1e-10
-        means = (resp.T @ x) / mass[:, None]
-        spread = np.maximum((resp.T @ x**2) / mass[:, None] - means**2, 0.0) + 1e-6
-        share = mass / mass.sum()
-        now = float(total.mean())
-        if abs(now - before) < 1e-4:
-            break
-        before = now
-    return log_p.argmax(axis=1)
+# --- mixture fits ---------------------------------------------------------------------------
+
+
+def log_densities(x: np.ndarray, share: np.ndarray, means: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Log of share times diagonal Gaussian density, rows by components."""
+    precision = 1.0 / spread
+    distance = (x**2) @ precision.T - 2.0 * x @ (means * precision).T + (means**2 * precision).sum(axis=1)
+    return np.log(share) - 0.5 * (distance + np.log(spread).sum(axis=1) + x.shape[1] * np.log(2 * np.pi))
+
+
+def partial_sums(x: np.ndarray, state: np.ndarray, k: int) -> np.ndarray:
+    """What a block adds to the next round: per component mass, sum and sum of squares; then the log likelihood."""
+    log_p = log_densities(x, *unpacked(state, k))
+    top = log_p.max(axis=1, keepdims=True)
+    total = top[:, 0] + np.log(np.exp(log_p - top).sum(axis=1))
+    resp = np.exp(log_p - total[:, None])
+    return np.concatenate([resp.sum(axis=0), (resp.T @ x).ravel(), (resp.T @ x**2).ravel(), [total.sum()]])
+
+
+def unpacked(state: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    share, rest = state[:k], state[k:].reshape(2, k, -1)
+    return share, rest[0], rest[1]
+
 
+def next_state(sums: np.ndarray, k: int) -> np.ndarray:
+    """Shares, means and variances from the sums of all blocks."""
+    mass, rest = sums[:k] + 1e-10, sums[k:-1].reshape(2, k, -1)
+    means = rest[0] / mass[:, None]
+    spread = np.maximum(rest[1] / mass[:, None] - means**2, 0.0) + FLOOR
+    return np.concatenate([mass / mass.sum(), means.ravel(), spread.ravel()])
 
-def _fit_blocks(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fit every (key, block) group; ``quota`` is the number of components."""
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, "id", "ord", "block")) + ", label int"
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord", kind="stable")
-        k = int(group["quota"].iloc[0])
-        if k <= 1 or k >= len(group):
-            labels = np.zeros(len(group), dtype=np.int32)
-        else:
-            labels = mixture_labels(np.stack(group["embedding"].to_numpy()), k)
-        out = group[[*keys, "id", "ord", "block"]].copy()
-        out["label"] = labels.astype(np.int32)
-        return out
+def first_state(candidates: np.ndarray, k: int, variance: np.ndarray) -> np.ndarray:
+    """Means at candidates far from each other, from the first one on; ties go to the earlier one."""
+    chosen = [0]
+    nearest = ((candidates - candidates[0]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, ((candidates - candidates[chosen[-1]]) ** 2).sum(axis=1))
+    alike = np.full(candidates.shape[1], variance.mean() + FLOOR)  # the first round goes by plain distance
+    return np.concatenate([np.full(k, 1.0 / k), candidates[chosen].ravel(), np.tile(alike, k)])
+
+
+def _joined_rounds(blocks: DataFrame, states: DataFrame, keys: list[str], rounds: int) -> DataFrame:
+    """Fit documents of several blocks: one job per round, sums combined map side; documents leave when they stand still."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    types = dict(blocks.dtypes)
+    key_schema = ", ".join(f"`{c}` {types[c]}" for c in keys)
+
+    def add(frames):
+        for f in frames:
+            sums = [partial_sums(np.stack(list(v)).astype(float), np.asarray(s), k) for v, s, k in zip(f["vectors"], f["state"], f["k"])]
+            yield f[keys].assign(sums=sums)
+
+    def step(frames):
+        for f in frames:
+            states_ = [next_state(np.asarray(s), k) for s, k in zip(f["sums"], f["k"])]
+            now = [s[-1] / n for s, n in zip(f["sums"], f["n"])]
+            done = [abs(a - b) < TOLERANCE for a, b in zip(now, f["before"])]
+            yield f[[*keys, "k", "n"]].assign(state=states_, before=now, converged=done)
+
+    active, done = states.withColumns({"before": F.lit(float("-inf")), "converged": F.lit(False)}), []
+    for _ in range(rounds):
+        active = cut_lineage(active)
+        if active.isEmpty():
+            break
+        sums = blocks.select(*keys, "vectors").join(active.select(*keys, "k", "state"), keys)
+        added = sums.mapInPandas(add, f"{key_schema}, sums array<double>")
+        total = added.groupBy(*keys).agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+        joined = total.join(active.select(*keys, "k", "n", "before"), keys)
+        moved = cut_lineage(joined.mapInPandas(step, f"{key_schema}, k int, n bigint, state array<double>, before double, converged boolean"))
+        done.append(moved.where("converged"))
+        active = moved.where("NOT converged")
+    return reduce(DataFrame.unionByName, done, active)
+
+
+def fit_mixtures(vectors_of: DataFrame, keys: Sequence[str], rounds: int = ROUNDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``label`` and ``converged`` of every row by a diagonal Gaussian mixture per key.
+
+    Rows: keys, id, ord, embedding, ``k`` components. Means start at candidates
+    evenly spread along ``ord``, variances at the key's own. Expectation and
+    maximisation are sums over blocks; a key with one block adds them up in
+    its task, others in a job per round. A key still moving after ``rounds``
+    keeps its state and says ``converged = false``.
+    """
+    keys = list(keys)
+    types = dict(vectors_of.dtypes)
+    key_schema = ", ".join(f"`{c}` {types[c]}" for c in keys)
+    placed = prefix_scan(vectors_of, keys, ["ord"], ordinal_segment("ord"), sums={"at": F.lit(1)}, totals={"n": F.lit(1)})
+    at, k, n = F.col("at") - 1, F.col("k"), F.col("n")
+    spread = F.least(n, k * CANDIDATES)
+    seed = F.floor((at + 1) * spread / n) > F.floor(at * spread / n)
+    marked = placed.select(*keys, "id", "ord", "embedding", k.cast("int").alias("k"), n.cast("bigint").alias("n"), F.floor(at / block_rows).alias("block"), seed.alias("seed"))
+    row = F.struct("ord", "id", F.col("embedding").cast("array<double>").alias("v"), "seed")
+    packed = marked.groupBy(*keys, "k", "n", "block").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    fields = {"ids": "id", "ords": "ord", "vectors": "v", "seeds": "seed"}
+    blocks = cut_lineage(packed.select(*keys, "k", "n", "block", *(F.col(f"r.{f}").alias(name) for name, f in fields.items())))
+
+    def whole(frames):
+        for f in frames:
+            labels, done = [], []
+            for vectors, seeds, k_ in zip(f["vectors"], f["seeds"], f["k"]):
+                x = np.stack(list(vectors)).astype(float)
+                state, before, still = first_state(x[np.asarray(seeds, bool)], k_, x.var(axis=0)), -np.inf, False
+                for _ in range(rounds):
+                    sums = partial_sums(x, state, k_)
+                    state, now = next_state(sums, k_), sums[-1] / len(x)
+                    if abs(now - before) < TOLERANCE:
+                        still = True
+                        break
+                    before = now
+                labels.append(log_densities(x, *unpacked(state, k_)).argmax(axis=1).astype(np.int32))
+                done.append(still)
+            yield f[[*keys, "ids", "ords"]].assign(labels=labels, converged=done)
+
+    def label(frames):
+        for f in frames:
+            labels = [log_densities(np.stack(list(v)).astype(float), *unpacked(np.asarray(s), k_)).argmax(axis=1).astype(np.int32) for v, s, k_ in zip(f["vectors"], f["state"], f["k"])]
+            yield f[[*keys, "ids", "ords"]].assign(labels=labels, converged=f["converged"])
+
+    out = f"{key_schema}, ids array<{types['id']}>, ords array<{types['ord']}>, labels array<int>, converged boolean"
+    one, several = blocks.where(F.col("n") <= block_rows), blocks.where(F.col("n") > block_rows)
+    states = _first_states(several, keys, key_schema)
+    fitted = _joined_rounds(several, states, keys, rounds)
+    labelled = one.mapInPandas(whole, out).unionByName(several.join(fitted.select(*keys, "state", "converged"), keys).mapInPandas(label, out))
+    each = labelled.select(*keys, F.explode(F.arrays_zip("ids", "ords", "labels")).alias("z"), "converged")
+    return cut_lineage(each.select(*keys, F.col("z.ids").alias("id"), F.col("z.ords").alias("ord"), F.col("z.labels").alias("label"), "converged"))
+
+
+def _first_states(blocks: DataFrame, keys: list[str], key_schema: str) -> DataFrame:
+    """Seeds in their order and the variance of the key, from one row per block."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
-    slim = rows.select(*keys, "id", "ord", "block", "quota", "embedding")
-    return slim.groupBy(*keys, "block").applyInPandas(fit, schema)
+    def moments(frames):
+        for f in frames:
+            xs = [np.stack(list(v)).astype(float) for v in f["vectors"]]
+            seeds = [x[np.asarray(s, bool)].ravel() for x, s in zip(xs, f["seeds"])]
+            yield f[[*keys, "k", "n", "block"]].assign(sums=[np.r_[x.sum(axis=0), (x**2).sum(axis=0)] for x in xs], seeds=seeds)
+
+    def start(frames):
+        for f in frames:
+            states = []
+            for sums, seeds, k, n in zip(f["sums"], f["seeds"], f["k"], f["n"]):
+                mean, square = np.asarray(sums).reshape(2, -1) / n
+                states.append(first_state(np.asarray(seeds).reshape(-1, len(mean)), k, np.maximum(square - mean**2, 0.0)))
+            yield f[[*keys, "k", "n"]].assign(state=states)
+
+    parts = blocks.mapInPandas(moments, f"{key_schema}, k int, n bigint, block bigint, sums array<double>, seeds array<double>")
+    total = parts.groupBy(*keys, "k", "n").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "seeds"))), lambda b: b["seeds"])).alias("seeds"),
+    )
+    return total.mapInPandas(start, f"{key_schema}, k int, n bigint, state array<double>")
 
 
 # --- numbering -------------------------------------------------------------------------------
@@ -106,77 +213,30 @@ def cluster_labels(cluster_no: Column, prefix: str = "cluster-") -> Column:
 
 
 def cluster_embeddings(
-    nodes: DataFrame, targets: DataFrame, keys: Sequence[str] = ("document_id",), limit: int = FIT_LIMIT
+    nodes: DataFrame,
+    targets: DataFrame,
+    keys: Sequence[str] = ("document_id",),
+    rounds: int = ROUNDS,
+    block_rows: int = BLOCK_ROWS,
+    report: bool = False,
 ) -> DataFrame:
     """Cluster every key's vectors into at most ``target`` groups.
 
     Up to two vectors, a target of one, or a target not below the number of
-    vectors give one cluster.  Keys longer than ``limit`` are fitted in blocks
-    of neighbouring nodes: with a share of the target per block when the target
-    is large enough, otherwise block centroids are clustered in a second step.
-    Returns keys, id, ord, cluster_no.
+    vectors give one cluster.  Returns keys, id, ord, cluster_no, and with
+    ``report`` whether the key's fit stood still within ``rounds``.
     """
     keys = list(keys)
     sizes = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
     wanted = F.coalesce(F.nullif(F.col("target").cast("int"), F.lit(0)), trees.default_cluster_count(F.col("__size")))
     k = F.greatest(F.lit(1), F.least(wanted, F.col("__size").cast("int")))
     single = (F.col("__size") <= 2) | (k <= 1) | (k >= F.col("__size"))
-    plan = sizes.join(targets.select(*keys, "target"), keys, "left").select(
-        *keys,
-        F.when(single, 1).otherwise(k).alias("__k"),
-        F.ceil(F.col("__size") / limit).cast("int").alias("__blocks"),
-    )
-    plan = cut_lineage(plan)  # one small row per key, read three times
-    planned = nodes.select(*keys, "id", "ord", "embedding").join(plan, keys)
-
-    whole = planned.where(F.col("__k") == 1).select(*keys, "id", "ord", F.lit(0).alias("block"), F.lit(0).alias("label"))
-    several = planned.where(F.col("__k") > 1)
-    short = several.where(F.col("__blocks") == 1).withColumn("block", F.lit(0))
-    # Long keys: positions inside the key, so that no block exceeds the limit.
-    placed = prefix_scan(
-        several.where(F.col("__blocks") > 1), keys, ["ord"], ordinal_segment("ord"), sums={"__at": F.lit(1)}
-    )
-    long = placed.withColumn("block", F.floor((F.col("__at") - 1) / limit).cast("int")).drop("__at")
-    blocked = short.unionByName(long)
-    shared = blocked.where(F.col("__k") >= F.col("__blocks"))
-    quota = F.floor((F.col("block") + 1) * F.col("__k") / F.col("__blocks")) - F.floor(
-        F.col("block") * F.col("__k") / F.col("__blocks")
-    )
-    fitted = _fit_blocks(shared.withColumn("quota", quota.cast("int")), keys)
-    labelled = whole.unionByName(fitted)
-
-    if plan.where((F.col("__k") > 1) & (F.col("__k") < F.col("__blocks"))).limit(1).count():
-        labelled = labelled.unionByName(_cluster_block_centroids(blocked, keys, limit))
-    labelled = cut_lineage(labelled)  # the fits must not run again for the numbering
-    return number_clusters(labelled, keys, ["block", "label"]).select(*keys, "id", "ord", "cluster_no")
-
-
-def _cluster_block_centroids(blocked: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Few clusters over very many vectors: fit blocks finely, then cluster their centroids."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    coarse = blocked.where(F.col("__k") < F.col("__blocks")).withColumn("quota", F.lit(min(BLOCK_COMPONENTS, max(2, limit // 4))))
-    micro = cut_lineage(_fit_blocks(coarse, keys))
-    mean = Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))
-    centroids = (
-        micro.join(coarse.select(*keys, "id", "embedding", "__k"), [*keys, "id"])
-        .groupBy(*keys, "block", "label")
-        .agg(vector_to_array(mean, "float32").alias("embedding"), F.min("__k").alias("target"))
-        .withColumn("ord", F.col("block") * BLOCK_COMPONENTS + F.col("label"))
-        .withColumn("id", F.col("ord").cast("string"))
-    )
-    targets = centroids.groupBy(*keys).agg(F.min("target").alias("target"))
-    grouped = cluster_embeddings(centroids, targets, keys, limit)
-    names = grouped.select(
-        *keys,
-        F.floor(F.col("ord") / BLOCK_COMPONENTS).cast("int").alias("block"),
-        (F.col("ord") % BLOCK_COMPONENTS).cast("int").alias("label"),
-        "cluster_no",
-    )
-    return micro.join(names, [*keys, "block", "label"]).select(
-        *keys, "id", "ord", F.lit(0).alias("block"), F.col("cluster_no").alias("label")
-    )
+    plan = sizes.join(targets.select(*keys, "target"), keys, "left").select(*keys, F.when(single, 1).otherwise(k).alias("k"))
+    planned = cut_lineage(nodes.select(*keys, "id", "ord", "embedding").join(plan, keys))
+    whole = planned.where(F.col("k") == 1).select(*keys, "id", "ord", F.lit(0).alias("label"), F.lit(True).alias("converged"))
+    labelled = whole.unionByName(fit_mixtures(planned.where(F.col("k") > 1), keys, rounds, block_rows))
+    numbered = number_clusters(labelled, keys, ["label"])
+    return numbered.select(*keys, "id", "ord", "cluster_no", *(["converged"] if report else []))
 
 
 def cluster_globally(nodes: DataFrame, targets: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ layout_partition (and optionally party_enclave).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -171,13 +171,24 @@ def merge_components(diagnostics: DataFrame, targets: DataFrame) -> DataFrame:
         *CLUSTER, F.coalesce(F.when(F.col("is_tiny"), F.col("merge_target")), F.col("cluster_no")).alias("ptr")
     )
     links = cut_lineage(start.withColumn("low", F.least("cluster_no", "ptr")))
-    widest = links.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    for _ in range(max(1, math.ceil(math.log2(widest)) + 1)):
-        step = links.select("document_id", F.col("cluster_no").alias("ptr"), F.col("ptr").alias("__p"), F.col("low").alias("__l"))
-        links = links.join(step, ["document_id", "ptr"]).select(
-            *CLUSTER, F.col("__p").alias("ptr"), F.least("low", "__l").alias("low")
+    # A chain of n clusters is followed in log2(n) doublings: pointers and lows of all rows after 2^r steps, each round
+    # cut. Rows stop to change once every walk has been round its ring; the walk of a document needs its width, no more.
+    width = Window.partitionBy("document_id")
+    moving, settled, steps = links.withColumn("n", F.count(F.lit(1)).over(width)), [], 1
+    while True:
+        moving = cut_lineage(moving)
+        if moving.isEmpty():
+            break
+        step = moving.select("document_id", F.col("cluster_no").alias("ptr"), F.col("ptr").alias("__p"), F.col("low").alias("__l"))
+        moving = cut_lineage(
+            moving.join(step, ["document_id", "ptr"]).select(
+                *CLUSTER, F.col("__p").alias("ptr"), F.least("low", "__l").alias("low"), "n"
+            )
         )
-    links = cut_lineage(links)
+        steps *= 2
+        settled.append(moving.where(F.col("n") <= steps).select(*CLUSTER, "ptr", "low"))
+        moving = moving.where(F.col("n") > steps)
+    links = cut_lineage(reduce(DataFrame.unionByName, settled, links.limit(0)))
     ends = links.select("document_id", F.col("cluster_no").alias("ptr"), F.col("low").alias("root"))
     rooted = links.join(ends, ["document_id", "ptr"]).select(*CLUSTER, "root")
     smallest = rooted.groupBy("document_id", "root").agg(F.min("cluster_no").alias("__first"))

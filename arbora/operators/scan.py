@@ -85,7 +85,7 @@ def prefix_scan(
         *[F.sum(f"__total_{n}").alias(f"__total_{n}") for n in totals],
         F.lit(1).alias("__one"),
     )
-    over_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    over_key = Window.partitionBy(*keys)
     before = over_key.orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     entering = per_segment.select(
         *within,
@@ -121,10 +121,3 @@ def prefix_scan(
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on never-null keys (documents, pages and ordinals are required fields)."""
     return left.join(right, list(keys), "left")
-
-
-def carried_state(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, name: str, event: Column
-) -> DataFrame:
-    """Shorthand for one carry: the latest non-null ``event`` of the key."""
-    return prefix_scan(df, keys, order, segment, carries={name: event})

@@ -394,8 +394,14 @@ def summary_tree(nodes: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def descendants(edges: DataFrame, starts: DataFrame, max_depth: int = V.MAX_STRUCTURAL_LEVELS + 1) -> DataFrame:
-    """Every (start, descendant) with depth and sibling path, one join per tree level.
+def _no_ring(level: int, edges: int) -> None:
+    """A walk with more steps than there are edges goes round in a ring."""
+    if level > edges:
+        raise ValueError("the edges of a document form a ring, which no tree has")
+
+
+def descendants(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Every (start, descendant) with depth and sibling path, one join per tree level until none is left.
 
     ``starts``: document_id, id.  The path of sibling numbers gives pre-order.
     """
@@ -404,8 +410,10 @@ def descendants(edges: DataFrame, starts: DataFrame, max_depth: int = V.MAX_STRU
     )
     frontier = cut_lineage(frontier)
     edges = cut_lineage(edges.select("document_id", "parent_id", "child_id", "member_no"))
-    found = [frontier]
-    for depth in range(1, max_depth + 1):
+    found, depth, limit = [frontier], 0, edges.count()
+    while True:
+        depth += 1
+        _no_ring(depth - 1, limit)
         step = frontier.join(edges.withColumnRenamed("parent_id", "id"), ["document_id", "id"]).select(
             "document_id", "start_id", F.col("child_id").alias("id"), F.lit(depth).alias("depth"),
             F.concat("path", F.array("member_no")).alias("path"),
@@ -434,8 +442,9 @@ def leaf_source_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     edges = cut_lineage(edges.select("document_id", "parent_id", "child_id"))
     moving = counts.where("n > 0")
-    totals = [moving]
-    for _ in range(V.MAX_STRUCTURAL_LEVELS + 1):
+    totals, limit = [moving], edges.count()
+    while True:
+        _no_ring(len(totals) - 1, limit)
         lifted = moving.join(edges.withColumnRenamed("child_id", "id"), ["document_id", "id"]).groupBy("document_id", "parent_id").agg(
             F.sum("n").alias("n")
         )
@@ -455,8 +464,10 @@ def node_heights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     moving = nodes.select("document_id", "id").join(
         edges.select("document_id", F.col("parent_id").alias("id")), ["document_id", "id"], "left_anti"
     ).withColumn("height", F.lit(0))
-    seen = [cut_lineage(moving)]
-    for height in range(1, V.MAX_STRUCTURAL_LEVELS + 2):
+    seen, height, limit = [cut_lineage(moving)], 0, edges.count()
+    while True:
+        height += 1
+        _no_ring(height - 1, limit)
         lifted = seen[-1].join(edges.withColumnRenamed("child_id", "id"), ["document_id", "id"]).select(
             "document_id", F.col("parent_id").alias("id"), F.lit(height).alias("height")
         )

@@ -339,7 +339,7 @@ def v7(v):
     """SELECT document_id, id AS record_id, 'embedding is null' AS error FROM v_nodes WHERE cluster_no = 1
        UNION ALL SELECT document_id, id, 'node_type is not leaf or summary' FROM v_nodes WHERE cluster_no = 2
        UNION ALL SELECT document_id, id, 'embedding has the wrong width' FROM v_nodes WHERE cluster_no = 3
-       UNION ALL SELECT min(document_id), 'leaf-x' || label, 'id is not unique' FROM (SELECT 'doc-' || (vec_id // 25) AS document_id, label FROM embeddings WHERE label > 7) GROUP BY label HAVING count(*) > 1""",
+       UNION ALL SELECT min(document_id), 'leaf-x' || cluster_no, 'id is not unique' FROM v_nodes WHERE cluster_no > 7 GROUP BY cluster_no HAVING count(*) > 1""",
 )
 def v3(v):
     k = c("cluster_no")

@@ -175,13 +175,27 @@ def c1(v):
 @query("C1_cluster_embeddings_blocks", INVARIANT.format(extra="TRUE AS first_is_zero"))
 def c1b(v):
     """The same through blocks of eight vectors, as very long documents are fitted."""
-    clusters = C.cluster_embeddings(members_of(v), quarter_targets(v), limit=8)
+    clusters = C.cluster_embeddings(members_of(v), quarter_targets(v), block_rows=8)
     first = F.min_by("cluster_no", "ord").alias("first_no")
     return invariants(clusters, v, first).select(
         DOC, "n_nodes", "n_distinct", "within_target", (c("first_no") == 0).alias("first_is_zero")
     )
 
 
+@query(
+    "C1_cluster_embeddings_planted",
+    """SELECT document_id, id, CAST(dense_rank() OVER (PARTITION BY document_id ORDER BY first) - 1 AS INTEGER) AS cluster_no
+       FROM (SELECT *, min(chunk_index) OVER (PARTITION BY document_id, cluster_no % 3) AS first FROM v_nodes)""",
+)
+def c1p(v):
+    """Vectors moved apart by their label's remainder fall into just these groups."""
+    group = c("cluster_no") % 3
+    moved = F.transform("embedding", lambda x, i: (x * F.lit(0.01) + F.when(i == group, 10.0).otherwise(0.0)).cast("float"))
+    members = members_of(v).withColumn("embedding", moved).drop("cluster_no")
+    targets = v.nodes.groupBy(DOC).agg(F.countDistinct(group).cast("int").alias("target"))
+    return C.cluster_embeddings(members, targets).select(DOC, "id", "cluster_no")
+
+
 @query("C2_cluster_globally", INVARIANT.format(extra="count(*) AS n_members"))
 def c2(v):
     return invariants(C.cluster_globally(members_of(v), quarter_targets(v)), v).select(
@@ -289,25 +303,40 @@ def c13(v):
     return batches.select("doc_id", ((c("items") == 1) | ((c("items") <= 15) & (c("tokens") <= 7000))).alias("within_budget"))
 
 
-@query("C14_retry_with_split", f"SELECT doc_id, CAST({S.n_words('text')} AS DOUBLE) AS first_value FROM documents")
+@query(
+    "C14_retry_with_split",
+    f"""SELECT doc_id, CASE WHEN doc_id % 7 <> 3 THEN CAST({S.n_words('text')} AS DOUBLE) END AS first_value, doc_id % 7 = 3 AS refused
+        FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'refuse ' || doc_id ELSE text END AS text FROM documents)""",
+)
 def c14(v):
-    """A provider that refuses more than four texts per call still answers every text, in order."""
+    """A provider that takes four texts per call and refuses some for good: the others are all answered."""
 
     def call(texts):
-        if len(texts) > 4:
+        if len(texts) > 4 or any(t.startswith("refuse ") for t in texts):
             raise RuntimeError("429 too many requests")
         return [[float(len(t.split()))] for t in texts]
 
-    rows = PR.provider_embeddings(v.documents, call, "text", width=1)
-    return rows.select("doc_id", c("embedding")[0].cast("double").alias("first_value"))
+    refused = F.when(c("doc_id") % 7 == 3, F.concat(F.lit("refuse "), c("doc_id"))).otherwise(c("text"))
+    rows = PR.provider_embeddings(v.documents.withColumn("text", refused), call, "text", width=1)
+    return rows.select("doc_id", c("embedding")[0].cast("double").alias("first_value"), c("embedding_error").isNotNull().alias("refused"))
 
 
-@query("J4_attach_embeddings", "SELECT id AS chunk_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value, CAST(len(embedding) AS INTEGER) AS width FROM v_nodes")
+@query(
+    "J4_attach_embeddings",
+    """SELECT id AS chunk_id, CASE WHEN page_start % 5 <> 0 AND page_start % 7 <> 0 THEN round(CAST(embedding[1] AS DOUBLE), 6) END AS first_value,
+         CAST(CASE WHEN page_start % 5 = 0 THEN 0 WHEN page_start % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS found FROM v_nodes""",
+)
 def j4(v):
-    chunks = v.nodes.select(c("id").alias("chunk_id"), "content")
-    vectors = v.nodes.select(c("id").alias("chunk_id"), "embedding")
-    rows = PR.attach_embeddings(chunks, vectors)
-    return rows.select("chunk_id", F.round(c("embedding")[0].cast("double"), 6).alias("first_value"), F.size("embedding").alias("width"))
+    """Chunks without a vector and with two of them are reported, not fatal."""
+    chunks = v.nodes.select(c("id").alias("chunk_id"), "page_start")
+    vectors = v.nodes.where("page_start % 5 <> 0").select(
+        c("id").alias("chunk_id"), "embedding", F.explode(F.sequence(F.lit(1), F.when(c("page_start") % 7 == 0, 2).otherwise(1)))
+    )
+    good, bad = PR.attach_embeddings(chunks, vectors)
+    first = F.round(c("embedding")[0].cast("double"), 6).alias("first_value")
+    return good.select("chunk_id", first, F.lit(1).cast("bigint").alias("found")).unionByName(
+        bad.select("chunk_id", F.lit(None).cast("double").alias("first_value"), "found")
+    )
 
 
 # --- building ---------------------------------------------------------------------------------------------

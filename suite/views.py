@@ -1,6 +1,6 @@
 """Derived inputs: page layouts, headed lines, nodes, trees and catalogues from the given tables.
 
-Every view covers its whole source table. ``suite.sql_views`` states the same
+Every view reads every row and every whole text of its source tables. ``suite.sql_views`` states the same
 derivations in SQL for the twins.
 """
 
@@ -21,28 +21,20 @@ FIXTURE_RULES = simple_rules(
 HIERARCHY = "array<struct<key:string,title:string,depth:int>>"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Read a table; ``spread`` rebalances a scan that has fewer splits than cores.
-
-    On large inputs the scan already has many splits and nothing is shuffled.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def table(self, name: str, spread: bool = False) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name, spread)
+    def table(self, name: str) -> DataFrame:
+        return read_table(self.spark, self.sf_dir, name)
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents", spread=True)
+        return self.table("documents")
 
     # --- text -------------------------------------------------------------------
 
@@ -134,8 +126,8 @@ class Views:
 
     @cached_property
     def tables(self) -> DataFrame:
-        """One table box per page over its fourth and fifth line, with the first words as cells."""
-        cell = F.transform(F.slice(X.words(F.col("text")), 1, 3), lambda w: w)
+        """One table box per page over its fourth and fifth line, with their words as cells."""
+        cell = X.words(F.col("text"))
         rows = self.lines.where(F.col("line_index").isin(4, 5)).select(
             "document_id", "page_number", F.struct("line_index", cell.alias("cells")).alias("r")
         )
@@ -163,7 +155,7 @@ class Views:
         items = F.concat(
             tagged("h1", "SECTION_HEADER", 0), tagged("p", "PARAGRAPH", 1000), tagged("li", "LIST_ITEM", 100000)
         )
-        return self.table("pages", spread=True).select(
+        return self.table("pages").select(
             F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("document_id"),
             F.lit(1).alias("page_number"),
             F.explode(items).alias("item"),
@@ -176,7 +168,7 @@ class Views:
 
     @cached_property
     def headed(self) -> DataFrame:
-        """Lines where every fourth one carries a section marker."""
+        """Lines where every fourth one starts with a section heading."""
         k = (F.floor(F.col("line_no") / 12) + 1).cast("string")
         slot = F.col("line_no") % 12
         marker = (
@@ -184,37 +176,51 @@ class Views:
             .when(slot == 4, F.concat(k, F.lit(".1 ")))
             .when(slot == 8, F.concat(k, F.lit(".1.1 ")))
         )
-        head = F.array_join(F.slice(X.words(F.col("text")), 1, 5), " ")
-        text = F.when(marker.isNotNull(), F.concat(marker, head)).otherwise(F.col("text"))
+        # five words make the heading, the rest of the line follows it
+        words = X.words(F.col("text"))
+        head, rest = F.array_join(F.slice(words, 1, 5), " "), F.array_join(F.slice(words, F.lit(6), F.greatest(F.size(words), F.lit(1))), " ")
+        parts = F.when(marker.isNotNull(), F.array(F.concat(marker, head), rest)).otherwise(F.array(F.col("text")))
         return self.raw_lines.select(
-            "document_id", "page_number", "line_no", X.collapse(text).alias("text")
+            "document_id", "page_number", "line_no", F.posexplode(parts).alias("at", "part")
+        ).select(
+            "document_id", "page_number", (F.col("line_no") * 2 + F.col("at")).alias("line_no"), X.collapse(F.col("part")).alias("text")
         ).where(F.col("text") != "")
 
     # --- nodes ------------------------------------------------------------------
 
+    @cached_property
+    def node_sources(self) -> DataFrame:
+        """Numbers of nodes with a document and a vector each: as many as the longer of both tables, the shorter one repeats."""
+        docs, vectors = self.table("documents"), self.table("embeddings")
+        n_docs, n_vectors = docs.count(), vectors.count()
+        numbers = self.spark.range(max(n_docs, n_vectors)).select(
+            F.col("id").alias("node_no"), (F.col("id") % n_docs).alias("doc_id"), (F.col("id") % n_vectors).alias("vec_id")
+        )
+        return numbers.join(docs.select("doc_id", "text"), "doc_id").join(vectors, "vec_id").drop("doc_id", "vec_id")
+
     @cached_property
     def nodes(self) -> DataFrame:
-        """One leaf per embedding, 25 to a document, with text from the documents table."""
-        docs = self.table("documents")
-        doc_no = F.floor(F.col("vec_id") / 25)
-        leaves = self.table("embeddings").withColumn("doc_id", F.col("vec_id") % F.lit(docs.count()))
-        return leaves.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").select(
-            F.concat(F.lit("leaf-"), F.col("vec_id").cast("string")).alias("id"),
+        """One leaf per document text, 25 to a tree; every text and every vector is used."""
+        no = F.col("node_no")
+        doc_no = F.floor(no / 25)
+        page = (F.floor((no % 25) / 2) + 1).cast("int")
+        return self.node_sources.select(
+            F.concat(F.lit("leaf-"), no.cast("string")).alias("id"),
             F.concat(F.lit("doc-"), doc_no.cast("string")).alias("document_id"),
             F.concat(F.lit("owner-"), (doc_no % 5).cast("string")).alias("owner_id"),
             F.lit("leaf").alias("node_type"),
             F.lit(0).alias("level"),
             F.lit(None).cast("string").alias("parent_id"),
-            "content",
+            F.col("text").alias("content"),
             "embedding",
-            (F.floor((F.col("vec_id") % 25) / 2) + 1).cast("int").alias("page_start"),
-            (F.floor((F.col("vec_id") % 25) / 2) + 1).cast("int").alias("page_end"),
-            (F.col("vec_id") % 25).cast("int").alias("chunk_index"),
+            page.alias("page_start"),
+            page.alias("page_end"),
+            (no % 25).cast("int").alias("chunk_index"),
             F.lit(None).cast("string").alias("cluster_id"),
             F.concat(F.lit("P"), (F.col("label") % 3).cast("string")).alias("layout_partition"),
             F.lit("TRANSACTIONAL").alias("layout_strategy"),
             F.col("label").alias("cluster_no"),
-            "vec_id",
+            no.alias("vec_id"),
         )
 
     @cached_property
@@ -254,7 +260,7 @@ class Views:
     @cached_property
     def tree_with_vectors(self) -> DataFrame:
         """Tree nodes carrying the embedding of their first leaf."""
-        vectors = self.table("embeddings").select("vec_id", "embedding")
+        vectors = self.node_sources.select(F.col("node_no").alias("vec_id"), "embedding")
         return self.tree.join(vectors, "vec_id")
 
     @cached_property
@@ -381,7 +387,7 @@ FROM (SELECT document_id, page_number, line_index, x0 AS line_x0, top AS line_to
 """)
 view("v_tables", r"""
 SELECT document_id, page_number, 0 AS table_index,
-       list(list_slice(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), 1, 3) ORDER BY line_index) AS rows,
+       list(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') ORDER BY line_index) AS rows,
        CAST(60 AS DOUBLE) AS x0, CAST(270 AS DOUBLE) AS top, CAST(560 AS DOUBLE) AS x1, CAST(385 AS DOUBLE) AS bottom
 FROM v_lines WHERE line_index IN (4, 5) GROUP BY document_id, page_number
 """)
@@ -394,24 +400,29 @@ FROM (SELECT page_id, base, label, unnest(found) AS text, generate_subscripts(fo
   UNION ALL SELECT page_id, 100000, 'LIST_ITEM', regexp_extract_all(html, '<li>([^<]*)</li>', 1) FROM pages))
 """)
 view("v_headed", r"""
-SELECT document_id, page_number, line_no, text FROM (
-  SELECT document_id, page_number, line_no,
-    trim(regexp_replace(CASE line_no % 12
-      WHEN 0 THEN 'Section ' || (line_no // 12 + 1) || ' ' || head
-      WHEN 4 THEN (line_no // 12 + 1) || '.1 ' || head
-      WHEN 8 THEN (line_no // 12 + 1) || '.1.1 ' || head
-      ELSE text END, '\s+', ' ', 'g')) AS text
-  FROM (SELECT *, array_to_string(list_slice(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), 1, 5), ' ') AS head
-        FROM v_raw_lines))
-WHERE text <> ''
+SELECT document_id, page_number, CAST(line_no * 2 + part_no - 1 AS INTEGER) AS line_no, trim(regexp_replace(part, '\s+', ' ', 'g')) AS text
+FROM (SELECT document_id, page_number, line_no, unnest(parts) AS part, generate_subscripts(parts, 1) AS part_no FROM (
+  SELECT *, CASE line_no % 12
+      WHEN 0 THEN ['Section ' || (line_no // 12 + 1) || ' ' || array_to_string(w[1:5], ' '), array_to_string(w[6:], ' ')]
+      WHEN 4 THEN [(line_no // 12 + 1) || '.1 ' || array_to_string(w[1:5], ' '), array_to_string(w[6:], ' ')]
+      WHEN 8 THEN [(line_no // 12 + 1) || '.1.1 ' || array_to_string(w[1:5], ' '), array_to_string(w[6:], ' ')]
+      ELSE [text] END AS parts
+  FROM (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM v_raw_lines)))
+WHERE trim(regexp_replace(part, '\s+', ' ', 'g')) <> ''
+""")
+view("v_node_sources", r"""
+SELECT n.no, d.text, e.embedding, e.label
+FROM (SELECT unnest(range(greatest((SELECT count(*) FROM documents), (SELECT count(*) FROM embeddings)))) AS no) n
+JOIN documents d ON d.doc_id = n.no % (SELECT count(*) FROM documents)
+JOIN embeddings e ON e.vec_id = n.no % (SELECT count(*) FROM embeddings)
 """)
 view("v_nodes", r"""
-SELECT 'leaf-' || vec_id AS id, 'doc-' || (vec_id // 25) AS document_id, 'owner-' || ((vec_id // 25) % 5) AS owner_id,
-       'leaf' AS node_type, 0 AS level, CAST(NULL AS VARCHAR) AS parent_id, d.text AS content, embedding,
-       CAST((vec_id % 25) // 2 + 1 AS INTEGER) AS page_start, CAST((vec_id % 25) // 2 + 1 AS INTEGER) AS page_end,
-       CAST(vec_id % 25 AS INTEGER) AS chunk_index, CAST(NULL AS VARCHAR) AS cluster_id,
-       'P' || (label % 3) AS layout_partition, 'TRANSACTIONAL' AS layout_strategy, label AS cluster_no, vec_id
-FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id % (SELECT count(*) FROM documents)
+SELECT 'leaf-' || no AS id, 'doc-' || (no // 25) AS document_id, 'owner-' || ((no // 25) % 5) AS owner_id,
+       'leaf' AS node_type, 0 AS level, CAST(NULL AS VARCHAR) AS parent_id, text AS content, embedding,
+       CAST((no % 25) // 2 + 1 AS INTEGER) AS page_start, CAST((no % 25) // 2 + 1 AS INTEGER) AS page_end,
+       CAST(no % 25 AS INTEGER) AS chunk_index, CAST(NULL AS VARCHAR) AS cluster_id,
+       'P' || (label % 3) AS layout_partition, 'TRANSACTIONAL' AS layout_strategy, label AS cluster_no, no AS vec_id
+FROM v_node_sources
 """)
 view("v_tree", r"""
 SELECT id, document_id, owner_id, node_type, level, content, page_start, page_end, chunk_index, layout_partition,

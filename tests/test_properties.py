@@ -141,8 +141,8 @@ def test_clusters_cover_and_keep_the_target(spark, small_segments, limit):
     for target in (1, 2, 4, 30):
         df = vectors(spark, sizes)
         targets = spark.createDataFrame([(d, target) for d in sizes], "document_id string, target int")
-        first = clustering.cluster_embeddings(df, targets, limit=limit).collect()
-        again = clustering.cluster_embeddings(df.repartition(3), targets, limit=limit).collect()
+        first = clustering.cluster_embeddings(df, targets, block_rows=limit).collect()
+        again = clustering.cluster_embeddings(df.repartition(3), targets, block_rows=limit).collect()
         assert sorted(first) == sorted(again)
         for d, n in sizes.items():
             mine = sorted((r["ord"], r["cluster_no"]) for r in first if r["document_id"] == d)
@@ -154,6 +154,48 @@ def test_clusters_cover_and_keep_the_target(spark, small_segments, limit):
                 assert set(numbers) == {0}
 
 
+def test_fits_do_not_depend_on_blocks(spark):
+    df = vectors(spark, {"a": 60, "b": 41})
+    targets = spark.createDataFrame([("a", 4), ("b", 3)], "document_id string, target int")
+
+    def fit(rows):
+        return sorted((r["id"], r["cluster_no"]) for r in clustering.cluster_embeddings(df, targets, block_rows=rows).collect())
+
+    assert fit(4096) == fit(7) and len({n for _, n in fit(7)}) > 2
+    late = clustering.cluster_embeddings(df, targets, rounds=1, report=True).collect()
+    assert not any(r["converged"] for r in late)
+    assert all(r["converged"] for r in clustering.cluster_embeddings(df, targets, report=True).collect())
+
+
+def test_long_chains_and_rings_merge(spark):
+    from arbora.operators import planning
+
+    n = 300  # a chain that ends in a ring of three, and one cluster apart
+    rows = [("d", i, i < n) for i in range(n + 1)]
+    diagnostics = spark.createDataFrame(rows, "document_id string, cluster_no int, is_tiny boolean")
+    targets = spark.createDataFrame([("d", i, i + 1 if i + 1 < n else n - 3) for i in range(n)], "document_id string, cluster_no int, merge_target int")
+    merged = {r["cluster_no"]: r["merged_no"] for r in planning.merge_components(diagnostics, targets).collect()}
+    assert {merged[i] for i in range(n)} == {0} and merged[n] == 1
+
+
+def test_deep_trees_are_walked_to_the_end(spark):
+    from arbora.operators import chunking, trees
+
+    deep = 20
+    nodes = spark.createDataFrame([("d", f"n{i}", "leaf" if i == deep else "summary") for i in range(deep + 1)], "document_id string, id string, node_type string")
+    edges = spark.createDataFrame([("d", f"n{i}", f"n{i + 1}", 0) for i in range(deep)], "document_id string, parent_id string, child_id string, member_no int")
+    starts = nodes.where("id = 'n0'")
+    assert trees.descendants(edges, starts).count() == deep + 1
+    assert {r["source_count"] for r in trees.leaf_source_counts(nodes, edges).collect()} == {1}
+    assert max(r["height"] for r in trees.node_heights(nodes, edges).collect()) == deep
+    ring = edges.union(spark.createDataFrame([("d", f"n{deep}", "n0", 0)], edges.schema))
+    with pytest.raises(ValueError):
+        trees.descendants(ring, starts)
+    headings = spark.createDataFrame([("d", i, i, f"k{i}", f"t{i}") for i in range(1, deep + 1)], "document_id string, section_no int, heading_level int, section_key string, text string")
+    tall = {r["section_no"]: r["section_hierarchy"] for r in chunking.heading_stack(headings).collect()}
+    assert [h["key"] for h in tall[deep]] == [f"k{i}" for i in range(1, deep + 1)]
+
+
 def test_matches_in_blocks_equal_the_join(spark, monkeypatch):
     nodes = vectors(spark, {"d": 40, "e": 7}).withColumn("owner_id", F.lit("o")).withColumn(
         "node_type", F.when(F.col("ord") % 4 == 0, "summary").otherwise("leaf")
@@ -168,7 +210,6 @@ def test_matches_in_blocks_equal_the_join(spark, monkeypatch):
 
         joined, joined_context = answer(), context()
         with monkeypatch.context() as patch:
-            patch.setattr(retrieval, "JOINED_PAIRS", 0)
             patch.setattr(retrieval, "QUESTION_BLOCK", 9)
             patch.setattr(retrieval, "NODE_BLOCK", 8)
             assert answer() == joined
@@ -189,18 +230,31 @@ def test_token_batches():
         assert len(batch) == 15 or used + tokens(following[0][1]) > 7000
 
 
-def test_retry_with_split():
-    calls = []
-
+def test_provider_rows():
     def picky(texts):
-        calls.append(len(texts))
-        if len(texts) > 2:
+        if len(texts) > 2 or "e" in texts:
             raise RuntimeError("too many requests")
         return [t.upper() for t in texts]
 
-    assert providers.retry_with_split(picky, list("abcdefg")) == list("ABCDEFG")
-    with pytest.raises(RuntimeError):
-        providers.retry_with_split(lambda t: (_ for _ in ()).throw(RuntimeError("down")), ["x"], attempts=3)
+    rows = list(providers.provider_rows(picky, list(enumerate("abcdefg")), attempts=3))
+    assert [r[:2] for r in rows] == [(i, None if t == "e" else t.upper()) for i, t in enumerate("abcdefg")]
+    assert [k for k, _, error in rows if error] == [4]
+    assert list(providers.provider_rows(picky, [])) == []
+    assert [v for _, v, _ in providers.provider_rows(lambda t: t[:-1], [(1, "a"), (2, "b")], attempts=2)] == [None, None]
+
+
+def test_provider_texts_and_summaries(spark):
+    df = spark.createDataFrame([(0, 0, "One text. More."), (0, 1, "refuse this"), (1, 0, "Another text.")], "g int, ord int, content string")
+
+    def call(texts):
+        if any("refuse" in t for t in texts):
+            raise RuntimeError("no")
+        return [f"about {t}" for t in texts]
+
+    rows = {r.content: (r.told, r.told_error) for r in providers.provider_texts(df, call, "content", "told").collect()}
+    assert rows["Another text."] == ("about Another text.", None) and rows["refuse this"] == (None, "RuntimeError: no")
+    made = {r.g: r.summary for r in providers.provider_summaries(call)(df, ["g"]).collect()}
+    assert made[1] == "about Another text." and "One text." in made[0]
 
 
 def leaf_rows(spark, sizes, words=60):
