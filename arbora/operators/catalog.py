@@ -64,15 +64,26 @@ def mark_processing(catalog: DataFrame, starts: DataFrame, now: Column) -> DataF
     return _matched(catalog, starts.select("document_id").distinct(), have)
 
 
-def rename_documents(catalog: DataFrame, renames: DataFrame) -> DataFrame:
-    cleaned = renames.select("document_id", text.strip(F.col("new_name")).alias("new_name")).where("new_name <> ''")
-    return _matched(catalog, cleaned, {"name": F.col("u.new_name")})
+def one_per_document(updates: DataFrame, order: str | None) -> DataFrame:
+    """The last update of each document by ``order``, without one the largest; ties go to the largest row."""
+    values = [c for c in updates.columns if c != "document_id"]
+    row = F.struct(*([order] if order else []), *values)
+    return updates.groupBy("document_id").agg(F.max(row).alias("__u")).select("document_id", *(F.col(f"__u.{c}").alias(c) for c in values if c != order))
 
 
-def apply_status_updates(catalog: DataFrame, updates: DataFrame) -> DataFrame:
+def rename_documents(catalog: DataFrame, renames: DataFrame, order: str | None = None) -> DataFrame:
+    """New names; of several for a document the last by ``order`` counts."""
+    ordered = [order] if order else []
+    cleaned = renames.select("document_id", *ordered, text.strip(F.col("new_name")).alias("new_name")).where("new_name <> ''")
+    return _matched(catalog, one_per_document(cleaned, order), {"name": F.col("u.new_name")})
+
+
+def apply_status_updates(catalog: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
+    """Status columns of the updates; of several updates of a document the last by ``order`` counts."""
     changed = [n for n in ("ingestion_status", "ingestion_error", "ingestion_requested_at", "ingestion_completed_at")
                if n in updates.columns and n in catalog.columns]
-    return _matched(catalog, updates, {n: F.col(f"u.{n}") for n in changed})
+    last = one_per_document(updates.select("document_id", *([order] if order else []), *(n for n in changed if n != order)), order)
+    return _matched(catalog, last, {n: F.col(f"u.{n}") for n in changed})
 
 
 def find_owned_document(catalog: DataFrame, document_id, owner_id) -> DataFrame:

@@ -108,14 +108,17 @@ def s13(v):
 @query(
     "S13_rename_documents",
     f"""SELECT document_id, coalesce(nullif(CASE WHEN new_name IS NOT NULL THEN {S.strip('new_name')} END, ''), name) AS name FROM v_catalog
-        LEFT JOIN (SELECT o_orderkey AS document_id, CASE o_orderstatus WHEN 'F' THEN ' Final ' || o_orderpriority || chr(10) ELSE ' ' || chr(10) END AS new_name FROM orders) USING (document_id)""",
+        LEFT JOIN (SELECT o_orderkey AS document_id, CASE WHEN o_orderstatus = 'F' THEN ' Final ' || o_orderpriority || chr(10)
+            WHEN o_orderkey % 2 = 0 THEN 'Earlier name' ELSE ' ' || chr(10) END AS new_name FROM orders) USING (document_id)""",
 )
 def s13r(v):
     renames = v.table("orders").select(
         c("o_orderkey").alias("document_id"),
         F.when(c("o_orderstatus") == "F", F.concat(F.lit(" Final "), c("o_orderpriority"), F.lit("\n"))).otherwise(F.lit(" \n")).alias("new_name"),
     )
-    return A.rename_documents(v.catalog, renames).select("document_id", "name")
+    earlier = renames.withColumn("new_name", F.lit("Earlier name"))  # a document renamed twice has the later name once
+    both = renames.withColumn("at", F.lit(2)).unionByName(earlier.withColumn("at", F.lit(1)).where(c("document_id") % 2 == 0))
+    return A.rename_documents(v.catalog, both, order="at").select("document_id", "name")
 
 
 @query("P8_find_owned_document", "SELECT request_id FROM v_requests r JOIN v_catalog k ON r.document_id = k.document_id AND r.owner_id = k.owner_id")

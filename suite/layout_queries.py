@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions import geometry as G
 from arbora.functions import text as X
+from arbora.functions import fixed_values as FV
 from arbora.operators import blocks as B
 from arbora.operators import layout as Y
 from arbora.operators import validation as VAL
@@ -453,9 +454,15 @@ def g7(v):
 
 @query(
     "V8_require_text_layer",
-    f"""SELECT document_id, 'No readable text layer was found.' AS reject_reason FROM v_raw_lines GROUP BY document_id HAVING sum({S.n_words('text')}) < 10""",
+    f"""WITH words AS (SELECT document_id, CAST(regexp_extract(document_id, '[0-9]+') AS BIGINT) AS n, sum({S.n_words('text')}) AS n_words FROM v_raw_lines GROUP BY document_id)
+        SELECT document_id, CASE WHEN n % 9 = 4 OR n_words < 10 THEN 'No readable text layer was found.' ELSE '{FV.NO_BODY_TEXT}' END AS reject_reason
+        FROM words WHERE n % 9 IN (4, 5) OR n_words < 10""",
 )
 def v8(v):
-    lines = v.raw_lines.select("document_id", "page_number", "text")
-    pages = lines.groupBy("document_id", "page_number").agg(F.lit("x").alias("text"), F.count("*").alias("n_items"))
-    return VAL.require_text_layer(lines, pages)
+    """Some documents have no lines at all, some have pages without text and items."""
+    number = F.regexp_extract("document_id", "[0-9]+", 0).cast("bigint") % 9
+    jobs = v.raw_lines.select("document_id").distinct()
+    lines = v.raw_lines.select("document_id", "page_number", "text").where(number != 4)
+    pages = lines.groupBy("document_id", "page_number").agg(F.max("text").alias("text"), F.count("*").alias("n_items"))
+    bare = {"text": F.when(number == 5, "").otherwise(F.col("text")), "n_items": F.when(number == 5, 0).otherwise(F.col("n_items"))}
+    return VAL.require_text_layer(jobs, lines, pages.withColumns(bare))
