@@ -185,7 +185,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, index: Index | N
     asking = queries.select("vec_id", "v")
     pairs = chunks.join(asking.mapInArrow(probe, asked), "list").select("ids", "flat", "query_ids", "query_flat", "bounds")
     found = pairs.mapInArrow(scan_chunks, RESULT).unionByName(asking.mapInArrow(pilots, RESULT))
-    ranked = found.groupBy("query_id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("top"))
+    # a row is found twice at most, as a pilot and in its list, so the first 2k hold the best k
+    first = F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, 2 * k)
+    ranked = found.groupBy("query_id").agg(F.slice(F.array_distinct(first), 1, k).alias("top"))
     return ranked.select("query_id", F.posexplode("top").alias("at", "one")).select(
         "query_id", (F.col("at") + 1).alias("rank"), F.col("one.vec_id").alias("vec_id"), (-F.col("one.below")).alias("score")
     )
