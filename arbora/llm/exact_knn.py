@@ -26,6 +26,8 @@ PILOTS, BLOCK_ROWS, QUERY_ROWS = 1_024, 2_048, 512
 #: Segments at each level.
 LEVELS = (1, 4, 16)
 SLACK = 1e-6
+#: Queries whose survivors are multiplied out at once; bounds a task's memory.
+AT_ONCE = 32
 
 
 def statistics(rows: np.ndarray, segments: int) -> np.ndarray:
@@ -71,8 +73,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 known = asking @ pilots.T
                 known[ids[:, None] == pilot_ids] = -np.inf
                 floor = np.partition(known, -k, axis=1)[:, -k] if len(pilot_ids) >= k else np.full(len(ids), -np.inf)
-                who, which, score = top_pairs(asking, ids, rows, row_ids, floor, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(row_ids[which]), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
+                for at in range(0, len(ids), AT_ONCE):
+                    some = slice(at, at + AT_ONCE)
+                    who, which, score = top_pairs(asking[some], ids[some], rows, row_ids, floor[some], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some][who]), pa.array(row_ids[which]), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(scores, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
