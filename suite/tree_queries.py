@@ -272,7 +272,7 @@ view(
          tf AS (SELECT document_id, cluster_no, w, count(*) AS tf FROM tok GROUP BY document_id, cluster_no, w),
          sc AS (SELECT document_id, cluster_no, chunk_index, i, CAST(sum(tf) AS DOUBLE) / count(*) AS score, count(*) AS n FROM tok JOIN tf USING (document_id, cluster_no, w) GROUP BY document_id, cluster_no, chunk_index, i),
          rk AS (SELECT *, row_number() OVER (PARTITION BY document_id, cluster_no ORDER BY score DESC, chunk_index, i) AS pick FROM sc),
-         cut AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY document_id, cluster_no ORDER BY pick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rk WHERE pick <= 24)
+         cut AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY document_id, cluster_no ORDER BY pick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rk)
        SELECT document_id, cluster_no, string_agg(sentence, ' ' ORDER BY chunk_index, i) AS summary FROM cut JOIN v_sentences USING (document_id, cluster_no, chunk_index, i) WHERE before < 160 GROUP BY document_id, cluster_no""",
 )
 
@@ -478,7 +478,7 @@ def level_sql(n: int) -> str:
     frq{n} AS (SELECT document_id, no, w, count(*) AS tf FROM tok{n} GROUP BY document_id, no, w),
     sco{n} AS (SELECT document_id, no, ord, i, CAST(sum(tf) AS DOUBLE) / count(*) AS score, count(*) AS n FROM tok{n} JOIN frq{n} USING (document_id, no, w) GROUP BY document_id, no, ord, i),
     ran{n} AS (SELECT *, row_number() OVER (PARTITION BY document_id, no ORDER BY score DESC, ord, i) AS pick FROM sco{n}),
-    cut{n} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY document_id, no ORDER BY pick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ran{n} WHERE pick <= 24),
+    cut{n} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY document_id, no ORDER BY pick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ran{n}),
     tex{n} AS (SELECT document_id, no, string_agg(sentence, ' ' ORDER BY ord, i) AS content FROM cut{n} JOIN sen{n} USING (document_id, no, ord, i) WHERE before < 160 GROUP BY document_id, no),
     sum{n} AS (SELECT document_id, no, {n} AS level, coalesce(content, '') AS content, ps, pe, part, n_members, first_ord FROM (
         SELECT document_id, no, nullif(min(coalesce(page_start, 0)), 0) AS ps, nullif(max(coalesce(page_end, 0)), 0) AS pe, CASE WHEN min(part) = max(part) AND count(part) = count(*) THEN min(part) END AS part,
