@@ -314,6 +314,16 @@ def encode(documents: DataFrame, path: str, pattern: str, text: str = "text") ->
     return _mapped(documents, text, "ids", T.ArrayType(T.IntegerType()), ids)
 
 
+def encode_packed(documents: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """The documents with ``ids``, the tokens of their whole texts as 32-bit integers in bytes."""
+
+    def ids(texts: pa.Array) -> pa.Array:
+        encoder = _made(Encoder, path, pattern)
+        return pa.array([encoder(value or "") for value in texts.to_pylist()], pa.binary())
+
+    return _mapped(documents, text, "ids", T.BinaryType(), ids)
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """The rows with ``decoded``, the text of their token ids; null ids count as none."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import ann, bpe, exact_knn, line_dedup, mixing, ngram_join, packing, pii, sharding, toxicity, vectors
+from arbora.llm.common import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -169,8 +170,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_pack_tokens")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte-level ids: a byte is its own id, 256 ends a document, 257 fills a row."""
-    data = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
-    packed = packing.pack(data, "data", end=256, pad=257, width=1)
+    """Token ids of the byte-level BPE; the two ids after the last rank end a document and fill a row."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    last = max(bpe.read_ranks(path).values())
+    # packing reads the ids twice, so they are written once
+    encoded = cut(bpe.encode_packed(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).select("doc_id", "ids"))
+    packed = packing.pack(encoded, "ids", end=last + 1, pad=last + 2)
     digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "positions")]
     return packed.select("pool", "row", "n_tokens", "doc_ids", "parts", "of_parts", "cumulative", *digests)

@@ -56,3 +56,25 @@ def test_documents(documents, empty, clashing):
         for r in bpe.decode(encoded, PATH).collect():
             assert r.ids == OTHER.encode_ordinary(r.text or "") and r.decoded == (r.text or "")
     assert bpe.decode(bpe.encode(empty, PATH, public_tokenizers.PATTERN), PATH).count() == 0
+
+
+def test_packed_rows_hold_token_ids(spark, tmp_path):
+    """The query's rows are token ids, not bytes: one row of known contents, and a document of several rows."""
+    import hashlib
+
+    from arbora.llm.queries import QUERIES
+
+    texts = {1: "lorem ipsum dolor " * 40, 2: "the quick brown fox", 3: None, 4: " ".join(f"ünï{i} 漢字" for i in range(3_000))}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "all/documents.parquet"))
+    encoded = {doc: OTHER.encode_ordinary(text or "") for doc, text in texts.items()}
+    got = {}
+    for r in QUERIES["op10_pack_tokens"](spark, str(tmp_path / "all")).collect():
+        for doc, part, a, b in zip(r.doc_ids, r.parts, r.cumulative, r.cumulative[1:]):
+            got.setdefault(doc, {})[part] = b - a
+    assert {d: sum(p.values()) for d, p in got.items()} == {d: len(ids) + 1 for d, ids in encoded.items()} and len(got[4]) > 1
+
+    spark.createDataFrame([(2, texts[2])], "doc_id long, text string").write.parquet(str(tmp_path / "one/documents.parquet"))
+    (row,) = QUERIES["op10_pack_tokens"](spark, str(tmp_path / "one")).collect()
+    want = np.full(4096, len(RANKS) + 1, "<u4")
+    want[: row.n_tokens] = [*encoded[2], len(RANKS)]
+    assert row.ids_sha256 == hashlib.sha256(want.tobytes()).hexdigest()
