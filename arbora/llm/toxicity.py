@@ -137,10 +137,10 @@ class Restorer:
         return places
 
     def decode(self, stretch: str) -> str:
-        """The best reading: states are the last two letters read."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        """The best reading: states are the last two letters read, and each points back to the reading it goes on from."""
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for options in [*self.lattice(stretch), [(" ", 0.0)]]:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, read) in states.items():
                 for letters, cost in options:
                     x, y, s = a, b, score + cost
@@ -150,9 +150,13 @@ class Restorer:
                         x, y = y, z
                     best = after.get((x, y))
                     if best is None or s > best[0]:
-                        after[x, y] = (s, read + letters)
+                        after[x, y] = (s, (read, letters) if letters else read)
             states = after
-        return max(states.values())[1][:-1]
+        read, parts = max(states.values(), key=lambda state: state[0])[1], []
+        while read:
+            read, letters = read
+            parts.append(letters)
+        return "".join(reversed(parts))[:-1]
 
     def __call__(self, text: str) -> str:
         text = text.lower()
@@ -162,7 +166,7 @@ class Restorer:
         stretch = match[0]
         found = self.memo.get(stretch)
         if found is None:
-            found = self.decode(stretch) if len(stretch) <= 200 else "".join(self.decode(stretch[i : i + 200]) for i in range(0, len(stretch), 200))
+            found = self.decode(stretch)
             if len(self.memo) > MEMO:
                 self.memo.clear()
             self.memo[stretch] = found

@@ -120,3 +120,39 @@ def test_toxicity_edges(spark, documents, empty, clashing):
             rows = toxicity.score_toxicity(table, model).collect()
             assert len(rows) == table.count() and all(0 <= r.score <= 1 for r in rows)
         assert toxicity.score_toxicity(empty, toxicity.train(empty, labels)).count() == 0
+
+
+def plain_reading(restorer, stretch):
+    """Viterbi with whole readings in its states."""
+    states = {(0, 0): (0.0, "")}
+    for options in [*restorer.lattice(stretch), [(" ", 0.0)]]:
+        after = {}
+        for (a, b), (score, read) in states.items():
+            for letters, cost in options:
+                x, y, s = a, b, score + cost
+                for c in letters:
+                    z = toxicity.code(c)
+                    s += restorer.table[x][y][z]
+                    x, y = y, z
+                if (x, y) not in after or s > after[x, y][0]:
+                    after[x, y] = (s, read + letters)
+        states = after
+    return max(states.values())[1][:-1]
+
+
+def test_long_stretches_are_decoded_whole(spark):
+    docs, labels, _ = corpus(spark)
+    model = toxicity.train(docs, labels)
+    score, restorer = model.scorer(), toxicity.Restorer(model.table)
+    for size in (199, 201, 5_001):
+        for gap in " ._-":
+            letters = ("theriverruns" * size)[: (size + 1) // 2 - 7] + "grimbat"
+            stretch = gap.join(letters)
+            assert len(stretch) == size
+            assert restorer(stretch) == plain_reading(restorer, stretch) and restorer(stretch).replace(" ", "") == letters
+        assert restorer("n" + "i" * (size - 3) + "ce") in ("nice", "niice")
+        mixed = ("v0rl4k" * size)[:size]
+        assert restorer.decode(mixed) == plain_reading(restorer, mixed)
+    spelled = " ".join("grimbat" + "theriverruns" * 15)
+    assert len(spelled) > 200 and score(spelled)[1] != spelled
+    assert score("the " + " ".join("grimbat" * 30))[0] >= 0.5
