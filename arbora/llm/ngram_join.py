@@ -101,20 +101,20 @@ def _slices(batches: Iterable[pa.RecordBatch], size: int = ROWS_AT_ONCE) -> Iter
             yield [c.to_pylist() for c in batch.slice(at, size).columns]
 
 
-SETS = "doc long, n int, a long, b long, part int, tokens binary, owners binary, of binary"
+SETS = "doc long, version long, n int, a long, b long, part int, tokens binary, owners binary, of binary"
 
 
 def describe(documents: DataFrame, parts: int) -> DataFrame:
-    """Rows of two kinds: each document's set size and fingerprint; packed prefix tokens by part (``doc`` null)."""
+    """Rows of two kinds: each text's set size and fingerprint; packed prefix tokens by part (``doc`` null)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
-        for ids, texts in _slices(batches):
+        for ids, versions, texts in _slices(batches):
             rows, prefixes, seen = [], [], {}
-            for doc, tokens in zip(ids, shingles(texts)):
+            for doc, version, tokens in zip(ids, versions, shingles(texts)):
                 mark = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 a, b = (int(np.uint64(x).astype(np.int64)) for x in (mark >> 64, mark & (1 << 64) - 1))
-                rows.append((doc, len(tokens), a, b, -1, None, None, None))
+                rows.append((doc, version, len(tokens), a, b, -1, None, None, None))
                 if len(tokens) > 2 and doc is not None and a not in seen:  # smaller sets are similar to equal ones only
                     seen[a] = len(prefixes)
                     prefixes.append(tokens[: prefix_length(len(tokens))])
@@ -129,8 +129,8 @@ def describe(documents: DataFrame, parts: int) -> DataFrame:
                     i = order[edges[p] : edges[p + 1]]
                     if len(i):
                         mine, local = np.unique(of[i], return_inverse=True)
-                        rows.append((None, None, None, None, p, tokens[i].tobytes(), owners[mine].tobytes(), local.astype(np.uint16).tobytes()))
-            yield _rows(SETS, list(zip(*rows)) or [[]] * 8)
+                        rows.append((None, None, None, None, None, p, tokens[i].tobytes(), owners[mine].tobytes(), local.astype(np.uint16).tobytes()))
+            yield _rows(SETS, list(zip(*rows)) or [[]] * 9)
 
     return documents.mapInArrow(run, SETS)
 
@@ -184,26 +184,26 @@ BATCH = "batch long, ids binary, sizes binary, tokens binary"
 
 
 def batches_of(documents: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Whole sets of the chosen classes (``doc``, ``a``, ``b``) in packed batches; a batch is named by its first id."""
+    """Whole sets of the chosen classes (``doc``, ``version``, ``a``) in packed batches.
+
+    A set is named by ``a``, half of its fingerprint, and a batch by its first set: ids may repeat with other texts.
+    """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for ids, texts in _slices(batches):
-            yield _rows("doc long, packed binary", [ids, [squeeze((t or "").encode("utf-8", "replace")) for t in texts]])
+        for ids, versions, texts in _slices(batches):
+            yield _rows("doc long, version long, packed binary", [ids, versions, [squeeze((t or "").encode("utf-8", "replace")) for t in texts]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, unpack = Shingles(), zstandard.ZstdDecompressor().decompress
-        for docs, packed, marks in _slices(batches):
-            ids, sets = [], []
-            for doc, tokens, a in zip(docs, shingles([unpack(data).decode() for data in packed]), marks):
-                if doc not in ids and int(np.uint64(xxhash.xxh3_128_intdigest(tokens.tobytes()) >> 64).astype(np.int64)) == a:
-                    ids.append(doc)
-                    sets.append(tokens)
-            if ids:
-                yield _rows(BATCH, [[ids[0]], [np.array(ids).tobytes()], [np.array([len(s) for s in sets], np.int64).tobytes()], [np.concatenate(sets).tobytes()]])
+        for marks, packed in _slices(batches):
+            sets = shingles([unpack(data).decode() for data in packed])
+            yield _rows(BATCH, [[marks[0]], [np.array(marks, np.int64).tobytes()], [np.array([len(s) for s in sets], np.int64).tobytes()], [np.concatenate(sets).tobytes()]])
 
-    texts = documents.filter("doc IS NOT NULL").mapInArrow(pack, "doc long, packed binary")
-    return texts.join(chosen, "doc").select("doc", "packed", "a").mapInArrow(run, BATCH)
+    texts = documents.filter("doc IS NOT NULL").mapInArrow(pack, "doc long, version long, packed binary")
+    # rows equal in id and text are one
+    wanted = texts.join(chosen, ["doc", "version"]).select("doc", "version", "a", "packed").dropDuplicates(["doc", "version"])
+    return wanted.select("a", "packed").mapInArrow(run, BATCH)
 
 
 def frequencies(batches_: DataFrame, parts: int) -> DataFrame:
@@ -301,7 +301,7 @@ def index(batches_: DataFrame, known: DataFrame) -> DataFrame:
                 known_tokens, known_n = known_tokens[order], known_n[order]
                 sizes = np.frombuffer(sizes, np.int64)
                 rows, ends = [], np.cumsum(sizes)
-                for doc, n, end in zip(np.frombuffer(ids, np.int64).tolist(), sizes.tolist(), ends.tolist()):
+                for mark, n, end in zip(np.frombuffer(ids, np.int64).tolist(), sizes.tolist(), ends.tolist()):
                     mine = np.frombuffer(tokens, np.uint64)[end - n : end]
                     at = np.minimum(np.searchsorted(known_tokens, mine), len(known_tokens) - 1)
                     shared = known_tokens[at] == mine
@@ -309,7 +309,7 @@ def index(batches_: DataFrame, known: DataFrame) -> DataFrame:
                         often = known_n[at[shared]]
                         # how often others have its tokens: the middle of a group of copies has the most
                         typical = int(min(often.sum() // n, (1 << 31) - 1))
-                        rows.append((doc, n, band(n), typical, mine[shared].tobytes(), entries(mine[shared], often, n).view(np.int64)))
+                        rows.append((mark, n, band(n), typical, mine[shared].tobytes(), entries(mine[shared], often, n).view(np.int64)))
                 yield _rows(INDEX, list(zip(*rows)) or [[]] * 6)
 
     return batches_.join(known, "batch").select("ids", "sizes", "tokens", "known").mapInArrow(run, INDEX)
@@ -383,20 +383,33 @@ def linked_groups(sets: DataFrame) -> DataFrame:
 
 
 def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc``, ``n`` (tokens) and ``component``, the smallest id that links lead to."""
+    """One row per row of ``documents``: ``doc``, ``n`` (tokens) and ``component``, the smallest id that links lead to.
+
+    ``version`` is a hash of the text; ``first`` tells the smallest id and version of each group.
+    """
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    given = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    given = documents.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("version"), F.col(text).alias("text"))
     described = cut(describe(given, parts))
-    marks = described.filter("part < 0").select("doc", "n", "a", "b")
+    marks = described.filter("part < 0").select("doc", "version", "n", "a", "b")
     shared = shared_counts(described.filter("part >= 0").select("part", "tokens", "owners", "of"), parts)
-    classes_ = cut(marks.filter("doc IS NOT NULL AND n > 0").groupBy("a", "b", "n").agg(F.min("doc").alias("doc")))
+    least_row = F.min(F.struct("doc", "version")).alias("least")
+    classes_ = cut(marks.filter("doc IS NOT NULL AND n > 0").groupBy("a", "b", "n").agg(least_row))
     # the smallest share asked for, as in ``share``
     least = F.expr(f"(overlap - ({PERCENT} * overlap + 99) div 100 + 3) div 3")
     going = classes_.withColumn("overlap", F.expr(f"({PERCENT} * n + 99) div 100")).join(shared, "a").filter(F.col("shared") >= least)
-    chosen = going.select("doc", "a")
+    chosen = going.select("least.doc", "least.version", "a")
     packed = cut(batches_of(given, chosen))
     sets = cut(index(packed, frequencies(packed, parts)))
-    groups = linked_groups(sets)
-    named = classes_.select("a", "b", "doc").join(groups, F.col("doc") == F.col("node"), "left").select("a", "b", F.coalesce("component", "doc").alias("component"))
-    joined = marks.join(named, ["a", "b"], "left")
-    return joined.select("doc", F.col("n").cast("long").alias("n"), F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component")).otherwise(F.col("doc")).alias("component"))
+    # groups are of fingerprints; each is named by the smallest id and version of its rows
+    linked = linked_groups(sets).join(classes_.select("a", "least"), F.col("node") == F.col("a")).select("a", "component", "least")
+    groups = linked.groupBy("component").agg(F.min("least").alias("group"))
+    grouped = linked.select("a", "component").join(groups, "component").select(F.col("a").alias("node"), "group")
+    named = classes_.join(grouped, F.col("node") == F.col("a"), "left").select("a", "b", F.coalesce("group", "least").alias("group"))
+    linking = (F.col("n") > 0) & F.col("doc").isNotNull()
+    return marks.join(named, ["a", "b"], "left").select(
+        "doc",
+        F.col("n").cast("long").alias("n"),
+        F.when(linking, F.col("group.doc")).otherwise(F.col("doc")).alias("component"),
+        "version",
+        F.when(linking, F.struct("doc", "version") == F.col("group")).otherwise(F.lit(True)).alias("first"),
+    )

@@ -188,3 +188,24 @@ def test_components(spark):
     assert found == {x: top(x) for x in linked}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
     assert components(spark.createDataFrame([(1, 1)], "u long, v long").filter(F.col("u") == 1)).count() == 0
+
+
+def test_one_id_with_several_texts(spark):
+    """A hot id: a third of the rows, most with texts of their own, some linked with other ids; some rows repeat."""
+    rng = random.Random(12)
+    rows = [(7 if rng.random() < 0.4 else 100 + doc, text) for doc, text in copies(rng, 40, 8)]
+    rows += [r for r in rows if r[0] == 7][:5]
+    assert len({text for doc, text in rows if doc == 7}) > 20
+    check_groups(spark, rows)
+
+
+def test_stage_keeps_all_texts_of_an_id(spark):
+    import corpus_pipeline
+
+    text = lambda i: " ".join(f"u{i}x{j}" for j in range(40))
+    rows = [(5, text(i)) for i in range(12)] + [(5, text(0)), (5, text(1).replace("x39", "y")), (9, text(2)), (4, text(3).replace("x39", "y")), (5, ""), (5, None), (None, text(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.ngram_join_stage(spark, docs, "").collect()]
+    assert len(kept) == len(set(kept)) and {(4, text(3).replace("x39", "y")), (5, ""), (5, None), (None, text(4))} < set(kept)
+    assert {t for d, t in kept if d == 5} >= {text(i) for i in (0, 2, *range(4, 12))} and not {(9, text(2)), (5, text(3))} & set(kept)
+    assert len({(5, text(1)), (5, text(1).replace("x39", "y"))} & set(kept)) == 1
