@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import ann, bpe, exact_knn, line_dedup, mixing, ngram_join, packing, pii, sharding, toxicity, vectors
-from arbora.llm.common import cut
+from arbora.llm import ann, bpe, exact_knn, line_dedup, mixing, ngram_join, packing, periodic_runs, pii, sharding, toxicity, vectors
+from arbora.llm.common import WORD, cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -180,3 +180,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(encoded, "ids", end=last + 1, pad=last + 2)
     digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "positions")]
     return packed.select("pool", "row", "n_tokens", "doc_ids", "parts", "of_parts", "cumulative", *digests)
+
+
+def with_repetitions(documents: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; the words of a tenth of the documents (by a hash of the id) go on periodically from a word on."""
+    hashed = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    rows = documents.select("doc_id", "text", hashed.alias("h"), F.floor(hashed / 10).alias("g"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    sized = rows.withColumn("n", F.when(F.col("h") % 10 == 0, F.size(words)).cast("long"))
+    placed = sized.withColumn("a", F.col("g") % F.col("n")).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    a, p, left = F.col("a").cast("int"), F.col("p").cast("int"), (F.col("n") - F.col("a")).cast("int")
+    period = F.slice(words, a + 1, p)
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil(left / p).cast("int"))), F.lit(1), left)
+    planted = F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.add_runs(with_repetitions(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        (-best["l"]).alias("length"),
+        best["period"].alias("period"),
+        F.floor(-1000 * best["l"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.encode(listed, "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode(F.coalesce("collapsed", F.lit("")), "UTF-8"), 256).alias("collapsed_sha256"),
+    )

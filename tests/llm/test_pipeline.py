@@ -12,7 +12,7 @@ from test_labels import corpus
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)} and set(ORACLE) <= set(QUERIES)
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)} and set(ORACLE) <= set(QUERIES)
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram join", "mixing", "byte-level BPE"]
 
