@@ -187,7 +187,7 @@ def with_repetitions(documents: DataFrame) -> DataFrame:
     hashed = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
     rows = documents.select("doc_id", "text", hashed.alias("h"), F.floor(hashed / 10).alias("g"))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    sized = rows.withColumn("n", F.when(F.col("h") % 10 == 0, F.size(words)).cast("long"))
+    sized = rows.withColumn("n", F.when(F.col("h") % 10 == 0, F.nullif(F.size(words), F.lit(0))).cast("long"))
     placed = sized.withColumn("a", F.col("g") % F.col("n")).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
     a, p, left = F.col("a").cast("int"), F.col("p").cast("int"), (F.col("n") - F.col("a")).cast("int")
     period = F.slice(words, a + 1, p)
