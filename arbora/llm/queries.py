@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import ann, bpe, exact_knn, line_dedup, mixing, ngram_join, packing, periodic_runs, pii, sharding, toxicity, vectors
+from arbora.llm import ann, bpe, exact_knn, line_dedup, mixing, ngram_join, packing, periodic_runs, pii, sharding, superminhash, toxicity, vectors
 from arbora.llm.common import WORD, cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,18 +150,23 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("lines").alias("n_lines"), F.col("removed_lines").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-SHINGLES_SQL = r"""WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+def shingles_sql(n: int, percent: int, more: str = "") -> str:
+    """Classes of documents whose sets of n-word shingles link at ``percent`` of Jaccard similarity."""
+    return rf"""WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM worded),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) END AS s FROM worded),
 shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 pairs AS (SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
 reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, p.v FROM reach r JOIN pairs p ON r.v = p.u)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.v) AS component_id
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.v) AS component_id{more}
 FROM sets s JOIN reach r ON r.u = s.doc_id GROUP BY s.doc_id, len(s.s)"""
 
 
+SHINGLES_SQL = shingles_sql(5, 75)
+
+
 @query("op3_ngram_join", SHINGLES_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.similar_groups(table(spark, sf_dir, "documents"))
@@ -211,3 +216,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode(listed, "UTF-8"), 256).alias("runs_sha256"),
         F.sha2(F.encode(F.coalesce("collapsed", F.lit("")), "UTF-8"), 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_superminhash", shingles_sql(3, 85, ", s.doc_id = min(r.v) AS kept"))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
