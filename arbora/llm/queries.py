@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import ann, bpe, exact_knn, line_dedup, mixing, ngram_join, packing, periodic_runs, pii, sharding, superminhash, toxicity, vectors
-from arbora.llm.common import WORD, cut
+from arbora.llm import ann, bpe, exact_knn, line_dedup, mixing, ngram_join, packing, periodic_runs, pii, sharding, spelling, superminhash, toxicity, vectors
+from arbora.llm.common import WORD, cut, lower_ascii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -221,3 +221,46 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_superminhash", shingles_sql(3, 85, ", s.doc_id = min(r.v) AS kept"))
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: Every letter counts as its UTF-8 bytes; ``t`` is the table of CRC-32, made by its rule.
+SPELLING_SQL = r"""WITH RECURSIVE bits AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+found AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+runs AS (SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 7 GROUP BY doc_id, run),
+bytes AS (SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+  lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64]::BIGINT[] END)) AS b FROM runs),
+hashed AS (SELECT *, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM bytes, crc),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (SELECT word, length(word) AS size, n, i, substr(word, 1, i) || substr(word, i + 2) AS v FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.v = b.v AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.v = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.v = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, encode(near))) AS form, max(n) AS form_n FROM pairs GROUP BY word),
+known AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+way AS (SELECT word, word AS root, form AS after FROM known UNION ALL SELECT w.word, k.word, k.form FROM way w JOIN known k ON w.after = k.word)
+SELECT k.word, k.form, w.root, k.n, CAST(k.n_near AS BIGINT) AS n_near, k.form_n FROM known k JOIN way w ON w.word = k.word AND w.after IS NULL"""
+
+
+def damaged_words(documents: DataFrame, least: int = 7) -> DataFrame:
+    """``word``, ``n``: letter runs of at least ``least`` letters in lower case; one in 31, by a hash with the id, lacks a letter.
+
+    Runs that are too short are too short without a letter, so only long enough ones are found: they are whole runs,
+    since a match takes all letters there are.
+    """
+    pattern = r"[A-Za-z\u00C0-\u00FF]{" + str(least) + ",}"
+    runs = documents.select("doc_id", F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(pattern), F.lit(0))).alias("run"))
+    hashed = runs.withColumn("h", F.crc32(F.encode(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")), "UTF-8")))
+    place = (F.col("h") % F.length("run")).cast("int")
+    shortened = F.concat(F.substring("run", F.lit(1), place), F.substring("run", place + 2, F.length("run")))
+    words = hashed.select(F.when(F.col("h") % 31 == 0, shortened).otherwise(F.col("run")).alias("word"))
+    return words.filter(F.length("word") >= least).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("op13_spelling_variants", SPELLING_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = damaged_words(table(spark, sf_dir, "documents")).filter("n >= 2")
+    return spelling.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
