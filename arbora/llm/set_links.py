@@ -5,6 +5,10 @@ difference D(x) from B, and with ``weight(x) = (100 + percent) * |D(x)| - (100 -
 
     weight(x) + weight(y) <= 2 * (100 + percent) * |D(x) & D(y)|.
 
+A set may be told by part of itself, as long as the size n is whole and the number of untold elements, ``extra``, is known
+and no other set has these: they are part of the difference. And since differences of two sets from one base differ
+where the sets do, a difference can stand for its set.
+
 So pairs whose differences share nothing link exactly when their weights add up to 0 at most, and then both link with
 the set of least weight: one link each stands for all of them. Every other link shares a token of both differences. As
 base serve the tokens of more than half of the sets: then no token is in more than half of the differences, whatever
@@ -30,14 +34,21 @@ from arbora.llm.common import cut
 MOST_SETS, MOST_TOKENS = 2_048, 1 << 21
 #: Pairs of equal tokens that a task lays out at once.
 AT_ONCE = 1 << 21
-#: ``id`` names a set; ``tokens`` are its 64-bit hashes, sorted and distinct, in bytes.
-MEMBERS = "group long, id long, tokens binary"
+#: ``id`` names a set of ``n`` elements; ``tokens`` are 64-bit hashes of all but ``extra`` of them, sorted and distinct, in bytes.
+MEMBERS = "group long, id long, n long, extra long, tokens binary"
 
 
 def weight(difference, size, percent: int):
     return (100 + percent) * difference - (100 - percent) * size
 
 
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [f for f, _ in fields])
+
+
 def differences(tokens: np.ndarray, of: np.ndarray, sets: int) -> tuple[np.ndarray, np.ndarray]:
     """Of sets that have ``tokens`` (numbers from 0): the tokens, and their sets, by which each differs from the base."""
     often = np.bincount(tokens)
@@ -51,15 +62,14 @@ def differences(tokens: np.ndarray, of: np.ndarray, sets: int) -> tuple[np.ndarr
     return np.concatenate([tokens[extra], base[missing]]), np.concatenate([of[extra], lacking])
 
 
-def groups_of(sets: list[np.ndarray], percent: int) -> np.ndarray:
+def groups_of(sets: list[np.ndarray], size: np.ndarray, extra: np.ndarray, percent: int) -> np.ndarray:
     """For each of the sets the smallest number of a set that links lead to."""
     n = len(sets)
-    size = np.array([len(s) for s in sets])
     if n == 2:
-        common = len(np.intersect1d(*sets, assume_unique=True))
-        return np.array([0, 0 if 100 * common >= percent * (size.sum() - common) else 1])
-    token, of = differences(np.unique(np.concatenate(sets), return_inverse=True)[1], np.repeat(np.arange(n), size), n)
-    heavy = weight(np.bincount(of, minlength=n), size, percent)
+        differ = extra.sum() + len(np.setxor1d(*sets, assume_unique=True))
+        return np.array([0, 0 if weight(differ, size.sum(), percent) <= 0 else 1])
+    token, of = differences(np.unique(np.concatenate(sets), return_inverse=True)[1], np.repeat(np.arange(n), [len(s) for s in sets]), n)
+    heavy = weight(np.bincount(of, minlength=n) + extra, size, percent)
     centre = int(heavy.argmin())
     star = heavy + heavy[centre] <= 0
     label = np.arange(n)
@@ -100,65 +110,65 @@ def groups_of(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _linked(percent: int):
+    """Links of the sets of each group; rows come in order of their groups."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        sets: list[np.ndarray] = []
-        now = None
+        now, rows = None, []
 
         def links() -> Iterator[pa.RecordBatch]:
-            if len(sets) > 1:
-                label = groups_of(sets, percent)
-                moved = np.flatnonzero(label != np.arange(len(sets)))
-                names = np.array(ids, np.int64)
+            if len(rows) > 1:
+                names, size, extra = (np.array(c, np.int64) for c in list(zip(*rows))[:3])
+                label = groups_of([np.frombuffer(r[3], np.uint64) for r in rows], size, extra, percent)
+                moved = np.flatnonzero(label != np.arange(len(rows)))
                 yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], ["u", "v"])
 
         for batch in batches:
-            for group, name, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            for group, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if group != now:
                     yield from links()
-                    now, ids, sets = group, [], []
-                ids.append(name)
-                sets.append(np.frombuffer(tokens, np.uint64))
+                    now, rows = group, []
+                rows.append(row)
         yield from links()
 
     return run
 
 
+SPLIT = f"{MEMBERS}, weight long, base long"
+
+
 def _split(percent: int):
-    """Differences of sets from their group's base, as (weight, size, difference)."""
+    """Sets as differences from their group's base, with weight and size of the base."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for group, name, tokens, base in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = np.frombuffer(tokens, np.uint64)
+            for group, name, n, extra, tokens, base in zip(*(c.to_pylist() for c in batch.columns)):
                 known = np.sort(np.array(base or [], np.int64).view(np.uint64))
-                differ = np.setxor1d(mine, known, assume_unique=True)
-                rows.append((group, name, tokens, weight(len(differ), len(mine), percent), len(known), differ.tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-            names = ["group", "id", "tokens", "weight", "base", "differ"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names)
+                differ = np.setxor1d(np.frombuffer(tokens, np.uint64), known, assume_unique=True)
+                rows.append((group, name, n, extra, differ.tobytes(), weight(len(differ) + extra, n, percent), len(known)))
+            yield batch_of(rows, SPLIT)
 
     return run
 
 
-def prefix(differ: np.ndarray, size: int, mine: int, least: int, base: int, percent: int) -> np.ndarray:
+def prefix(differ: np.ndarray, mine: int, least: int, percent: int) -> np.ndarray:
     """Tokens of a difference of which any link that shares a token shares one; smallest hashes first."""
-    smallest = -(-percent * size // 100)  # size of the smallest partner; its difference has size - base at least
-    partner = max(least, (100 + percent) * max(0, smallest - base) - (100 - percent) * smallest)
-    common = max(1, -(-(mine + partner) // (2 * (100 + percent))))
+    common = max(1, -(-(mine + least) // (2 * (100 + percent))))
     return differ[: max(0, len(differ) - common + 1)]
 
 
 def _dealt(percent: int):
+    """Tokens under which a set meets others. ``plain``: the group's sets are told by themselves, not by differences yet."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for group, name, tokens, mine, base, differ, least in zip(*(c.to_pylist() for c in batch.columns)):
-                chosen = prefix(np.frombuffer(differ, np.uint64), len(tokens) // 8, mine, least, base, percent)
-                rows.append((group, name, tokens, chosen.view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, kinds)], ["group", "id", "tokens", "prefix"])
+            for group, name, n, tokens, mine, base, least, plain in zip(*(c.to_pylist() for c in batch.columns)):
+                if plain:  # the smallest partner has this size, and its difference what the base can't cover
+                    smallest = -(-percent * n // 100)
+                    least = max(least, weight(max(0, smallest - base), smallest, percent))
+                rows.append((group, name, prefix(np.frombuffer(tokens, np.uint64), mine, least, percent).view(np.int64)))
+            yield batch_of(rows, "group long, id long, prefix array<long>")
 
     return run
 
@@ -180,11 +190,12 @@ def links_within(members: DataFrame, percent: int) -> DataFrame:
 
     A set comes once in a group; it may be in several groups.
     """
-    found, members = None, cut(members.select("group", "id", "tokens"))
+    found, plain = None, True
+    columns = ["group", "id", "n", "extra", "tokens"]
+    members = cut(members.select(*columns))
     while True:
-        sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("of"), F.sum(F.octet_length("tokens") / 8).alias("words")).filter("of > 1")
-        sizes = cut(sizes)
-        large = sizes.filter((F.col("of") > MOST_SETS) | (F.col("words") > MOST_TOKENS) & (F.col("of") > 2)).select("group", "of")
+        sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("of"), F.sum(F.octet_length("tokens") / 8).alias("words"))
+        large = cut(sizes.filter((F.col("of") > MOST_SETS) | (F.col("words") > MOST_TOKENS) & (F.col("of") > 2)).select("group", "of"))
         some = not large.isEmpty()
         small = members.join(large, "group", "left_anti") if some else members
         together = small.repartition("group").sortWithinPartitions("group", "id")
@@ -196,9 +207,13 @@ def links_within(members: DataFrame, percent: int) -> DataFrame:
         often = rest.select("group", "tokens").mapInArrow(_flat, "group long, token long, n long").groupBy("group", "token").agg(F.sum("n").alias("n"))
         # at most two of the base's tokens for each token of an average set
         base = often.join(large, "group").filter("2 * n > of").groupBy("group").agg(F.collect_list("token").alias("base"))
-        split = cut(rest.join(base, "group", "left").select("group", "id", "tokens", "base").mapInArrow(_split(percent), f"{MEMBERS}, weight long, base long, differ binary"))
+        split = cut(rest.join(base, "group", "left").select(*columns, "base").mapInArrow(_split(percent), SPLIT))
         centres = split.groupBy("group").agg(F.min(F.struct("weight", "id")).alias("centre"))
         centred = split.join(centres.select("group", F.col("centre.weight").alias("least"), F.col("centre.id").alias("centre")), "group")
         found = found.union(centred.filter("weight + least <= 0 AND id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")))
-        dealt = centred.select("group", "id", "tokens", "weight", "base", "differ", "least").mapInArrow(_dealt(percent), f"{MEMBERS}, prefix array<long>")
-        members = cut(dealt.select(F.explode("prefix").alias("token"), "group", "id", "tokens").select(F.xxhash64("group", "token").alias("group"), "id", "tokens"))
+        dealt = centred.select("group", "id", "n", "tokens", "weight", "base", "least", F.lit(int(plain)).cast("long").alias("plain"))
+        postings = cut(dealt.mapInArrow(_dealt(percent), "group long, id long, prefix array<long>").select("group", "id", F.explode("prefix").alias("token")))
+        shared = postings.groupBy("group", "token").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").select("group", "token")
+        met = postings.join(shared, ["group", "token"]).join(split.select(*columns), ["group", "id"])
+        members = cut(met.select(F.xxhash64("group", "token").alias("group"), "id", "n", "extra", "tokens"))
+        plain = False

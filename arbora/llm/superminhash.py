@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from arbora.llm.common import by_bytes, cut, mixed
 from arbora.llm.components import components
 from arbora.llm.ngram_join import Shingles
-from arbora.llm.set_links import MEMBERS, links_within
+from arbora.llm.set_links import MEMBERS, batch_of, links_within
 
 N, PERCENT = 3, 85
 ROWS, BANDS = 6, 32
@@ -109,8 +109,8 @@ def _members(n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
         for part in by_bytes(batches, BYTES_AT_ONCE):
-            tokens = [s.tobytes() for s in shingles(part.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(tokens, pa.binary())], ["group", "id", "tokens"])
+            groups, ids, texts = (c.to_pylist() for c in part.columns)
+            yield batch_of([(g, i, len(s), 0, s.tobytes()) for g, i, s in zip(groups, ids, shingles(texts))], MEMBERS)
 
     return run
 
