@@ -11,9 +11,8 @@ union``. Equal sets are one class from the start. The steps, each exact:
    classes, and combinations of two of a class are indexed; the prefix is extended until a pair that misses the overlap
    by as much as allowed still shares a rare token or two of a class. Sizes decide the number of classes, in bands.
 4. Every set is verified against the smallest and the most typical set it shares an entry with; contraction leaves
-   few groups per entry. Sets of entries with several groups are measured against the middle of the largest one. Then
-   each entry's sets outside its largest group are verified against the entry's other groups, all of them that the
-   triangle inequality leaves.
+   few groups per entry. Sets of entries with several groups are joined to groups of candidates, and all links that are
+   still missing to connect them are found there by their differences from a common base (``set_links``).
 
 Frequent entries never pair their sets with each other inside a group, and no step drops candidates.
 Defined cases: null and empty texts and texts without words have no tokens and link with nothing; texts of fewer words
@@ -32,13 +31,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import Words, cut
+from arbora.llm.common import Words, by_bytes, cut
 from arbora.llm.components import components
+from arbora.llm.set_links import links_within
 
 N, PERCENT = 5, 75
 #: Tokens in more sets than this are indexed in combinations.
 RARE = 32
 ROWS_AT_ONCE = 256
+#: Text of so many bytes is read at once; a longer text is read by itself.
+BYTES_AT_ONCE = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,7 +111,8 @@ def describe(documents: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
-        for ids, versions, texts in _slices(batches):
+        for part in by_bytes(batches, BYTES_AT_ONCE):
+            ids, versions, texts = (c.to_pylist() for c in part.columns)
             rows, prefixes, seen = [], [], {}
             for doc, version, tokens in zip(ids, versions, shingles(texts)):
                 mark = xxhash.xxh3_128_intdigest(tokens.tobytes())
@@ -191,7 +194,8 @@ def batches_of(documents: DataFrame, chosen: DataFrame) -> DataFrame:
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for ids, versions, texts in _slices(batches):
+        for part in by_bytes(batches, BYTES_AT_ONCE):
+            ids, versions, texts = (c.to_pylist() for c in part.columns)
             yield _rows("doc long, version long, packed binary", [ids, versions, [squeeze((t or "").encode("utf-8", "replace")) for t in texts]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,23 +319,18 @@ def index(batches_: DataFrame, known: DataFrame) -> DataFrame:
     return batches_.join(known, "batch").select("ids", "sizes", "tokens", "known").mapInArrow(run, INDEX)
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``u``, ``v``, ``linked`` and their Jaccard ``distance``, for each pair."""
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``u``, ``v`` that link."""
     right = sets.select(F.col("id").alias("v"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2"))
     both = pairs.join(sets.select(F.col("id").alias("u"), "n", "tokens"), "u").join(right, "v").select("u", "v", "n", "n2", "tokens", "tokens2")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for us, vs, ns, n2s, xs, ys in _slices(batches):
-            common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(xs, ys)]
-            yield _rows("u long, v long, both long, either long", [us, vs, common, [n + m - b for n, m, b in zip(ns, n2s, common)]])
+            common = np.array([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(xs, ys)], np.int64)
+            linked = common * 100 >= PERCENT * (np.array(ns, np.int64) + np.array(n2s, np.int64) - common)
+            yield _rows("u long, v long", [np.array(us, np.int64)[linked], np.array(vs, np.int64)[linked]])
 
-    counted = both.mapInArrow(run, "u long, v long, both long, either long")
-    return counted.select("u", "v", (F.col("both") * 100 >= F.col("either") * PERCENT).alias("linked"), (1 - F.col("both") / F.col("either")).alias("distance"))
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``u``, ``v`` that link."""
-    return overlaps(pairs, sets).filter("linked").select("u", "v")
+    return both.mapInArrow(run, "u long, v long")
 
 
 def similar_sizes(a: str, b: str):
@@ -351,35 +350,14 @@ def linked_groups(sets: DataFrame) -> DataFrame:
     centres = smallest.union(typical.filter("id <> v")).select(F.col("id").alias("u"), "v").distinct()
     links = cut(verified(centres, sets))
 
-    def mixed_entries(known: DataFrame) -> DataFrame:
-        """Postings of entries with several groups, with the entry's largest group and that group's most typical set."""
-        grouped = listed.select("entry", "id", "n", "typical").join(known, F.col("id") == F.col("node"), "left")
-        members = cut(grouped.select("entry", "id", "n", "typical", F.coalesce("component", "id").alias("component")))
-        groups = members.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("of"), F.max(F.struct("typical", "id")).alias("middle"))
-        largest = groups.groupBy("entry").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("of", "component", "middle")).alias("most")).filter("groups > 1")
-        return cut(members.join(largest.select("entry", F.col("most.component").alias("largest"), F.col("most.middle.id").alias("pivot")), "entry"))
-
-    # every set of a mixed entry against the middle of the largest group: more links, and distances to a common pivot
-    mixed = mixed_entries(components(links))
-    measured = overlaps(mixed.select(F.col("id").alias("u"), F.col("pivot").alias("v")).filter("u <> v").distinct(), sets)
-    measured = cut(measured.union(mixed.select(F.col("pivot").alias("u"), F.col("pivot").alias("v"), F.lit(False), F.lit(0.0)).distinct()))
-    links = cut(links.union(measured.filter("linked").select("u", "v")))
-    known = components(links)
-    named = mixed.join(known, F.col("id") == F.col("node"), "left").select("entry", "id", "n", "pivot", F.coalesce(known["component"], F.col("id")).alias("component"))
-    top = known.select(F.col("node").alias("p"), F.col("component").alias("largest"))
-    placed = named.join(top, F.col("pivot") == F.col("p"), "left").withColumn("largest", F.coalesce("largest", "pivot"))
-    placed = placed.join(measured.select(F.col("u").alias("id"), F.col("v").alias("pivot"), "distance"), ["id", "pivot"])
-    placed = cut(placed.select("entry", "id", "n", "component", "largest", "distance"))
-
-    # what is left: sets outside the largest group against all others; Jaccard distance is a metric, so sets whose
-    # distances to the pivot differ by more than the bound can't link
-    few = placed.filter("component <> largest").select("entry", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), F.col("distance").alias("du"))
-    others = placed.select("entry", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("distance").alias("dv"), "largest")
-    # pairs of two small groups come up twice: once is enough
-    once = (F.col("cv") == F.col("largest")) | (F.col("u") < F.col("v"))
-    near = F.abs(F.col("du") - F.col("dv")) <= 1 - PERCENT / 100 + 1e-9
-    pairs = few.join(others, "entry").filter((F.col("cu") != F.col("cv")) & once & similar_sizes("nu", "nv") & near)
-    return components(links.union(verified(cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()), sets)))
+    # entries whose sets are not one group yet: the sets they connect are candidates of each other
+    named = listed.select("entry", "id", "id0").join(components(links), F.col("id") == F.col("node"), "left").select("entry", "id", "id0", F.coalesce("component", "id").alias("component"))
+    several = named.groupBy("entry").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other")
+    open_ = named.join(several.select("entry"), "entry").filter("id <> id0").select(F.col("id").alias("u"), F.col("id0").alias("v")).distinct()
+    members = components(open_).join(sets, F.col("node") == F.col("id")).select(
+        F.col("component").alias("group"), "id", F.col("n").cast("long").alias("n"), (F.col("n") - F.octet_length("tokens") / 8).cast("long").alias("extra"), "tokens"
+    )
+    return components(links.union(links_within(members, PERCENT)))
 
 
 def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
