@@ -25,8 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from arbora.llm.common import release_memory
+
 #: States and pieces kept by one worker.
-MOST_STATES, MOST_PIECES = 100_000, 300_000
+MOST_STATES, MOST_PIECES = 40_000, 150_000
 ROWS_AT_ONCE = 64
 #: Later than every rank.
 LAST = 1 << 40
@@ -276,7 +278,7 @@ _MADE: dict[tuple, object] = {}
 
 
 def _made(kind, *args):
-    """One encoder or decoder per worker, kept over its tasks."""
+    """One encoder or decoder per task."""
     key = (kind.__name__, *args)
     if key not in _MADE:
         _MADE[key] = kind(read_ranks(args[0]), *args[1:])
@@ -294,10 +296,14 @@ def _mapped(documents: DataFrame, source: str, name: str, kind: T.DataType, colu
     rows = documents.select(*kept, documents[source].alias("_source"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                yield _with(part, name, column(part.column(part.num_columns - 1)))
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    part = batch.slice(at, ROWS_AT_ONCE)
+                    yield _with(part, name, column(part.column(part.num_columns - 1)))
+        finally:  # workers are used again by other steps
+            _MADE.clear()
+            release_memory()
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(name, kind)]))
 

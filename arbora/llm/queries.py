@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import ann, bpe, exact_knn, line_dedup, mixing, ngram_join, packing, periodic_runs, pii, sharding, spelling, superminhash, toxicity, vectors
-from arbora.llm.common import WORD, cut, lower_ascii
+from arbora.llm.common import WORD, bound_batches, cut, lower_ascii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,6 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

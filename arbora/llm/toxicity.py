@@ -29,12 +29,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arbora.llm.common import by_bytes, release_memory
+
+#: Text of so many bytes is scored at once; a longer text by itself.
+BYTES_AT_ONCE = 1 << 18
 #: Bound of the labelled rows that are fitted on.
 FIT_ROWS = 12_000
 #: Beginnings of these lengths stand for a word besides its whole form.
 BEGINNINGS = (4, 5, 6)
 LEAST_DOCUMENTS, LEAST_DIFFERENCE = 4, 18.0
-MEMO = 200_000
+MEMO = 60_000
 
 # What look-alike symbols may stand for.
 LOOKALIKES = {
@@ -46,10 +50,11 @@ STANDS_FOR, NOISE_INSIDE, NOISE_AT_EDGE, RUN_TO_ONE, RUN_TO_TWO, GAP = -1.0, -6.
 
 SYMBOLS = "".join(LOOKALIKES)
 _S = re.escape(SYMBOLS)
-#: A token with a symbol next to a letter, or a letter three times; or single letters with equal gaps.
+#: A token with a symbol next to a letter, or a letter three times; or single letters with equal gaps. Runs of symbols
+#: and of letters are entered at their start only, so that a long run is read once.
 SUSPECT = re.compile(
     rf"(?<![^\W\d_])[^\W\d_](?P<gap>[ ._*-])[^\W\d_](?:(?P=gap)[^\W\d_])+(?![^\W\d_])"
-    rf"|[{_S}]*(?:[^\W\d_][{_S}]+)+[^\W\d_]*|[{_S}]+[^\W\d_]+|[^\W\d_]*?([^\W\d_])\2\2[^\W\d_]*"
+    rf"|(?<![{_S}])(?:[{_S}]*(?:[^\W\d_][{_S}]+)+[^\W\d_]*|[{_S}]+[^\W\d_]+)|(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\2\2[^\W\d_]*"
 )
 HINT = re.compile(rf"[^\W\d_][{_S}]|[{_S}][^\W\d_]|([^\W\d_])\1\1|(?<![^\W\d_])[^\W\d_][ ._*-][^\W\d_][ ._*-][^\W\d_](?![^\W\d_])")
 WORDS = re.compile(r"[^\W\d_]+")
@@ -294,12 +299,12 @@ def score_toxicity(documents: DataFrame, model: Model, text: str = "text", keep_
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [score(v) for v in part.column(part.num_columns - 1).to_pylist()]
-                added = [pa.array([s for s, _ in found], pa.float64())] + ([pa.array([r for _, r in found], pa.string())] if keep_restored else [])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *added], names=[*part.schema.names[:-1], "score", *["restored"] * keep_restored])
+        for part in by_bytes(batches, BYTES_AT_ONCE):
+            found = [score(v) for v in part.column(part.num_columns - 1).to_pylist()]
+            added = [pa.array([s for s, _ in found], pa.float64())] + ([pa.array([r for _, r in found], pa.string())] if keep_restored else [])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *added], names=[*part.schema.names[:-1], "score", *["restored"] * keep_restored])
+        del score
+        release_memory()
 
     added = [T.StructField("score", T.DoubleType()), *[T.StructField("restored", T.StringType())] * keep_restored]
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *added]))

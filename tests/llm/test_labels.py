@@ -156,3 +156,13 @@ def test_long_stretches_are_decoded_whole(spark):
     spelled = " ".join("grimbat" + "theriverruns" * 15)
     assert len(spelled) > 200 and score(spelled)[1] != spelled
     assert score("the " + " ".join("grimbat" * 30))[0] >= 0.5
+
+
+def test_long_runs_are_read_once():
+    import time
+
+    table = toxicity.log_probabilities(np.ones(toxicity.ALPHABET**3)).tolist()
+    began = time.process_time()
+    for text in ("ab" * 100_000 + " l1ke", "1" * 200_000 + " x1", "x" * 200_000, "a1" * 10_000):
+        toxicity.Restorer(table)(text)
+    assert time.process_time() - began < 10
