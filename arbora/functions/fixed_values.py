@@ -142,6 +142,7 @@ NO_BODY_TEXT = "No readable body text was found."
 OCR_WARNING = "OCR required for page %d but no OCR engine is configured."
 FALLBACK_WARNING = "Fell back to legacy PDF extractor."
 NO_CHUNKS = "No chunks were produced."
+NOT_EMBEDDED = "Embedding failed."
 EMPTY_CHUNK = "Chunk %s is empty."
 CHUNK_STRATEGY = "Chunk %s has mismatched layout_strategy."
 NO_NODES = "No tree nodes were produced."

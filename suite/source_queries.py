@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arbora.functions import fixed_values as FV
 from arbora.operators import chunking as K
+from arbora.operators import providers as PR
 from arbora.operators import trees as T
 from arbora.plans import strategies as ST
 from arbora.plans.answers import answer_questions
@@ -186,51 +188,93 @@ def c16(v):
 # --- ingestion ---------------------------------------------------------------------------------
 
 
+LAST_PAGE = 10_000
+
+
+def blank_documents(v):
+    """Documents whose one page has no line; every second one also failed extraction."""
+    n = c("doc_id")
+    return v.table("documents").where(n % 50 == 7).select(F.concat(F.lit("blank-"), n.cast("string")).alias(DOC), (n % 100 == 7).alias("failed"))
+
+
 def corpus_layout(v):
+    """Every document also has a last page without a line; on every fifth one it holds a picture."""
     lines = marked_lines(v).withColumnRenamed("line_index", "line_no")
     chars = v.words.where((c("size") > 12) & (c("line_index") > 0))
-    return Layout(lines, v.words, chars, v.lines.where("bold"), v.tables.where("size(rows) > 1"))
+    last = v.table("documents").select(F.concat(F.lit("doc-"), c("doc_id").cast("string")).alias(DOC), F.lit(LAST_PAGE).alias("page_number"), "doc_id")
+    blank = blank_documents(v)
+    pages = v.lines.select(DOC, "page_number").distinct().unionByName(last.select(DOC, "page_number"))
+    pages = pages.unionByName(blank.select(DOC, F.lit(1).alias("page_number")))
+    images = v.lines.where("bold").select(DOC, "page_number").unionByName(last.where("doc_id % 5 = 0").select(DOC, "page_number"))
+    return Layout(pages, lines, v.words, chars, images, v.tables, blank.where("failed").select(DOC))
 
 
-def n_windows(total: str, target: int, overlap: int) -> str:
-    stride = target - overlap
-    full = f"(CASE WHEN {total} < {target} THEN 0 ELSE ({total} - {target}) // {stride} + 1 END)"
-    return f"({full} + CASE WHEN {full} * {stride} < {total} THEN 1 ELSE 0 END)"
-
-
-# Chunk counts from the normalised blocks. No fixture text names a party, so a
-# disputed document is one neutral run.
+# Chunks from the normalised blocks. No fixture text names a party, so a disputed document is one neutral run.
 view("v_ing", "SELECT n.*, strategy FROM v_normalized n JOIN v_strategy USING (document_id)")
+view("v_ing_t", "SELECT document_id, page_number, reading_order, text FROM v_ing WHERE strategy = 'TRANSACTIONAL' AND block_type IN ('paragraph','heading','list_item','table')")
+view("v_ing_a", f"SELECT document_id, page_number, reading_order, {S.repair('text')} AS text FROM v_ing WHERE strategy = 'ADVERSARIAL'")
 view(
     "v_ing_lines",
-    f"""SELECT document_id, reading_order, line_no, text, CASE WHEN block_type = 'heading' AND section_level IS NOT NULL THEN section_level ELSE CAST({S.chunker_level('t')} AS INTEGER) END AS level FROM (
+    f"""SELECT document_id, page_number, reading_order, line_no, text, CASE WHEN block_type = 'heading' AND section_level IS NOT NULL THEN section_level ELSE CAST({S.chunker_level('t')} AS INTEGER) END AS level FROM (
           SELECT *, {S.candidate('text')} AS t FROM (
-            SELECT document_id, reading_order, block_type, section_level, line_no, {S.collapse('line')} AS text FROM (
+            SELECT document_id, page_number, reading_order, block_type, section_level, line_no, {S.collapse('line')} AS text FROM (
               SELECT *, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM (
                 SELECT *, string_split({S.repair('text')}, chr(10)) AS ls FROM v_ing WHERE strategy = 'HIERARCHICAL')))) WHERE text <> ''""",
 )
 view(
-    "v_ing_sections",
-    f"""SELECT document_id, section_no, sum({S.n_words('text')}) AS total FROM (
-          SELECT *, sum(CASE WHEN level IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY reading_order, line_no) AS section_no FROM v_ing_lines) GROUP BY document_id, section_no""",
+    "v_ing_h",
+    "SELECT *, CAST(sum(CASE WHEN level IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY reading_order, line_no) AS INTEGER) AS section_no FROM v_ing_lines",
 )
-INGEST_SQL = f"""SELECT s.document_id, CASE WHEN leaves > 0 THEN 'indexed' ELSE 'failed' END AS ingestion_status, CAST(CASE WHEN leaves > 0 THEN 0 ELSE 1 END AS BIGINT) AS n_errors, nullif(coalesce(leaves, 0), 0) AS leaves,
-    CAST(CASE WHEN leaves > 0 THEN 0 END AS BIGINT) AS plain_rows FROM v_strategy s LEFT JOIN (
-      SELECT document_id, CAST({n_windows('total', 400, 75)} AS BIGINT) AS leaves FROM (SELECT document_id, sum({S.n_words('text')}) AS total FROM v_ing WHERE strategy = 'TRANSACTIONAL' AND block_type IN ('paragraph','heading','list_item','table') GROUP BY document_id)
-      UNION ALL SELECT document_id, CAST({n_windows('total', 340, 40)} AS BIGINT) FROM (SELECT document_id, sum({S.n_words(S.repair('text'))}) AS total FROM v_ing WHERE strategy = 'ADVERSARIAL' GROUP BY document_id)
-      UNION ALL SELECT document_id, CAST(sum(CASE WHEN total <= 650 THEN 1 ELSE ceil(total / CAST(500 AS DOUBLE)) END) AS BIGINT) FROM v_ing_sections GROUP BY document_id) USING (document_id)"""
+view("v_ing_sections", f"SELECT document_id, section_no, sum({S.n_words('text')}) AS total FROM v_ing_h GROUP BY document_id, section_no")
+view("v_ing_hl", "SELECT h.* FROM v_ing_h h JOIN v_ing_sections USING (document_id, section_no) WHERE total > 650")
+view(
+    "v_ing_chunks",
+    f"""SELECT document_id, 0 AS section_no, i, content FROM ({windows_sql('v_ing_t', 'document_id', 'reading_order', 400, 75)})
+      UNION ALL SELECT document_id, 0, i, content FROM ({windows_sql('v_ing_a', 'document_id', 'reading_order', 340, 40)})
+      UNION ALL SELECT document_id, section_no, i, content FROM ({windows_sql('v_ing_hl', 'document_id, section_no', 'reading_order, line_no', 500, 0)})
+      UNION ALL SELECT document_id, section_no, 0, string_agg(text, chr(10) ORDER BY reading_order, line_no) FROM v_ing_h JOIN v_ing_sections USING (document_id, section_no) WHERE total <= 650 GROUP BY document_id, section_no""",
+)
+INGEST_SQL = f"""WITH made AS (SELECT document_id, count(*) AS leaves, count(*) FILTER (WHERE sha256(content) LIKE '0%') AS refused,
+      sha256(string_agg(sha256(content), ',' ORDER BY section_no, i)) AS digest FROM v_ing_chunks GROUP BY document_id),
+    jobs AS (SELECT document_id, leaves, refused, digest, FALSE AS failed, CAST(regexp_extract(document_id, '[0-9]+') AS BIGINT) % 5 = 0 AS pictured FROM v_strategy LEFT JOIN made USING (document_id)
+      UNION ALL SELECT 'blank-' || doc_id, NULL, NULL, NULL, doc_id % 100 = 7, FALSE FROM documents WHERE doc_id % 50 = 7),
+    told AS (SELECT *, CASE WHEN failed THEN '{FV.NO_TEXT_LAYER}' WHEN leaves IS NULL THEN '{FV.NO_CHUNKS}' WHEN refused > 0 THEN '{FV.NOT_EMBEDDED}' END AS reason FROM jobs)
+    SELECT document_id, CASE WHEN reason IS NULL THEN 'indexed' ELSE 'failed' END AS ingestion_status, CAST(CASE WHEN reason IS NULL THEN 0 WHEN refused > 0 THEN refused ELSE 1 END AS BIGINT) AS n_errors,
+      coalesce(reason, '') AS reasons, CASE WHEN reason IS NULL THEN leaves END AS leaves, CASE WHEN reason IS NULL THEN digest END AS digest,
+      CAST(CASE WHEN reason IS NULL THEN 0 END AS BIGINT) AS plain_rows,
+      CAST(coalesce(ocr, 0) + CASE WHEN pictured THEN 1 ELSE 0 END AS BIGINT) AS warnings
+    FROM told LEFT JOIN (SELECT document_id, count(*) AS ocr FROM v_routed WHERE method = 'OCR' GROUP BY document_id) USING (document_id)"""
+
+
+def refusing(chunks):
+    """The default embedder, which refuses some chunk texts by their digest."""
+    embedded = PR.hashed_embeddings(chunks)
+    if "chunk_id" not in chunks.columns:
+        return embedded
+    return embedded.withColumn("embedding", F.when(~F.sha2("content", 256).startswith("0"), c("embedding")))
 
 
 @query("C18_ingest_corpus", INGEST_SQL)
 def c18(v):
-    """Layout tables to stored, encrypted nodes for every document; one row per document with its outcome."""
-    jobs = jobs_by_strategy(v)
+    """Layout tables to stored, encrypted nodes for every document; one row per document with its outcome, reasons and leaf texts."""
+    blank = blank_documents(v).select(DOC, F.lit("owner-0").alias("owner_id"), F.lit("linear").alias("layout_strategy"))
+    jobs = jobs_by_strategy(v).unionByName(blank)
     keys = jobs.select(DOC, F.unhex(F.substring(F.sha2(DOC, 256), 1, 32)).alias("key"))
-    done = ingest_corpus(jobs, corpus_layout(v), run_id="run-1", keys=keys)
-    counts = done.nodes.groupBy(DOC).agg(
-        F.count_if(c("node_type") == "leaf").alias("leaves"), F.count_if(c("content").isNotNull()).alias("plain_rows")
+    done = ingest_corpus(jobs, corpus_layout(v), run_id="run-1", keys=keys, embed=refusing)
+    plain = N.decrypt_nodes(done.nodes.withColumn("was_plain", c("content").isNotNull()), keys)
+    leaf = c("node_type") == "leaf"
+    texts = F.array_sort(F.collect_list(F.when(leaf, F.struct("chunk_index", F.sha2("content", 256).alias("text")))))
+    counts = plain.groupBy(DOC).agg(
+        F.count_if(leaf).alias("leaves"), F.sha2(F.array_join(F.transform(texts, lambda t: t["text"]), ","), 256).alias("digest"),
+        F.count_if("was_plain").alias("plain_rows"),
+    )
+    reasons = done.rejects.groupBy(DOC).agg(F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("reasons"))
+    warned = done.quality.select(DOC, "warning_count")
+    rows = done.statuses.join(counts, DOC, "left").join(reasons, DOC, "left").join(warned, DOC, "left")
+    return rows.select(
+        DOC, "ingestion_status", "n_errors", F.coalesce("reasons", F.lit("")).alias("reasons"), "leaves", "digest", "plain_rows",
+        F.coalesce("warning_count", F.lit(0)).alias("warnings"),
     )
-    return done.statuses.join(counts, DOC, "left").select(DOC, "ingestion_status", "n_errors", "leaves", "plain_rows")
 
 
 @query(
