@@ -65,6 +65,21 @@ def test_exact_top_k(spark, monkeypatch, block):
     assert all(r.score == whole[q] @ whole[r.vec_id] for q, rs in found.items() for r in rs)
 
 
+def test_floors_rise_from_strip_to_strip(monkeypatch):
+    monkeypatch.setattr(exact_knn, "STRIP_ROWS", 16)
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.standard_normal((300, 9)) * 3)  # many ties
+    x[100:140] = x[7]  # repeated rows
+    ids = rng.permutation(300)
+    who, found, scores = exact_knn.top_rows(x[:40], ids[:40], exact_knn.strips(x, ids), np.full(40, -np.inf), 12)
+    product = x[:40] @ x.T
+    for q in range(40):
+        others = ids != ids[q]
+        want = np.lexsort((ids[others], -product[q][others]))[:12]
+        assert found[who == q].tolist() == ids[others][want].tolist()
+        assert scores[who == q].tolist() == product[q][others][want].tolist()
+
+
 HARD = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]),
         (None, [1.0, 1.0]), (7, []), (8, [1.0, 2.0, 3.0]), (20, [3.0, 1.0]), (40, [-1.0, -1.0]), (9, [1.0, 2.0])]
 
