@@ -349,6 +349,25 @@ def build_ivf(nodes: DataFrame, lists: int = V.IVF_LISTS, seed: int = SEED):
     return listed, np.asarray(model.clusterCenters(), dtype=np.float64)
 
 
+def nearest_lists(questions: DataFrame, centroids: np.ndarray, sizes: Sequence[int], nprobe: int, share: float = 0.0) -> DataFrame:
+    """Every question once per list to probe (``list_id``), by cosine of the centroid.
+
+    The ``nprobe`` nearest lists, and further ones until the lists together hold ``share`` of all rows: lists differ
+    in size, and a few short ones would miss more than their number tells. Centroids and sizes are one small matrix.
+    """
+    unit = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
+    held, wanted = np.asarray(sizes, dtype=np.float64), share * float(sum(sizes))
+
+    @F.pandas_udf("array<int>")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        order = np.argsort(-(np.stack(vectors.to_numpy()) @ unit.T), axis=1, kind="stable")
+        before = np.cumsum(held[order], axis=1) - held[order]
+        needed = np.maximum(nprobe, (before < wanted).sum(axis=1))
+        return pd.Series([o[:n].astype(np.int32) for o, n in zip(order, needed)])
+
+    return questions.withColumn("list_id", F.explode(nearest("question_embedding")))
+
+
 def ivf_probe(questions: DataFrame, listed: DataFrame, centroids: np.ndarray, nprobe: int, k: int = 10) -> DataFrame:
     """Approximate owner-scoped top k: only nodes of each question's nearest lists are scored.
 
@@ -356,13 +375,20 @@ def ivf_probe(questions: DataFrame, listed: DataFrame, centroids: np.ndarray, np
     """
     from arbora.operators.retrieval import best_matches, describe_matches
 
-    unit = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-
-    @F.pandas_udf("array<int>")
-    def nearest_lists(vectors: pd.Series) -> pd.Series:
-        scores = np.stack(vectors.to_numpy()) @ unit.T
-        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :nprobe].astype(np.int32)))
-
-    probes = questions.withColumn("list_id", F.explode(nearest_lists("question_embedding")))
+    probes = nearest_lists(questions, centroids, [0] * len(centroids), nprobe)
     found = best_matches(probes, listed, ("owner_id", "list_id"), k, False)
     return describe_matches(found, questions, listed, ("owner_id",))
+
+
+def probe_stored(questions: DataFrame, path: str, nprobe: int, share: float = 0.0, k: int = 10) -> DataFrame:
+    """``ivf_probe`` on lists that ``vector_lists.write_lists`` stored: folders of other lists are not read."""
+    from arbora.operators.retrieval import best_matches, describe_matches
+    from arbora.sources.vector_lists import probed_rows, read_lists
+
+    rows, lists = read_lists(questions.sparkSession, path)
+    kept = lists.orderBy("list_id").collect()  # one row per list
+    centroids = np.array([r["centroid"] for r in kept], dtype=np.float64)
+    probes = cut_lineage(nearest_lists(questions, centroids, [r["size"] for r in kept], nprobe, share))
+    near = probed_rows(rows, probes)
+    found = best_matches(probes, near, ("owner_id", "list_id"), k, False)
+    return describe_matches(found, questions, near, ("owner_id",))

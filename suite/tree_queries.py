@@ -12,6 +12,8 @@ from arbora.operators import providers as PR
 from arbora.operators import retrieval as R
 from arbora.operators import trees as T
 from arbora.plans import preview
+from arbora.session import work_folder
+from arbora.sources.vector_lists import write_lists
 from suite import sql_exprs as S
 from suite.chunk_queries import C22_SQL
 from suite.registry import query
@@ -258,6 +260,20 @@ def t12all(v):
     return C.ivf_probe(v.questions, listed, centroids, nprobe=8).select("question_id", "id", "rank")
 
 
+@query("T12_probe_stored_lists", """SELECT owner_id, CAST(sum(least(10, n_nodes)) AS BIGINT) AS wanted, TRUE AS recall_reached FROM v_questions
+  JOIN (SELECT owner_id, count(*) AS n_nodes FROM v_nodes GROUP BY owner_id) USING (owner_id) GROUP BY owner_id""")
+def t12stored(v):
+    """Lists read from storage, only those that questions probe: at least nine of ten exact matches are found for every owner."""
+    listed, centroids = C.build_ivf(v.nodes, lists=16)
+    path = work_folder(v.spark, "lists")
+    write_lists(listed, centroids, path)
+    near = C.probe_stored(v.questions, path, nprobe=1, share=0.8).select("question_id", "id", F.lit(1).alias("hit"))
+    exact = R.match_nodes_batch(v.questions, v.nodes, scope=("owner_id",)).select("owner_id", "question_id", "id")
+    return exact.join(near, ["question_id", "id"], "left").groupBy("owner_id").agg(
+        F.count("*").alias("wanted"), (F.count("hit") >= F.count("*") * F.lit(0.9)).alias("recall_reached")
+    )
+
+
 # --- providers ------------------------------------------------------------------------------------------
 
 view(
