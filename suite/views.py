@@ -20,6 +20,12 @@ FIXTURE_RULES = simple_rules(
 )
 HIERARCHY = "array<struct<key:string,title:string,depth:int>>"
 
+#: An item of a page: everything up to the next tag that is not inline.
+ITEM = (
+    "<{tag}(?: [^>]*)?>((?:[^<]+|<[ 0-9=]"
+    "|</?(?:a|abbr|b|br|cite|code|em|i|mark|q|s|small|span|strong|sub|sup|u)(?: [^>]*)?/?>)*)"
+)
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -142,13 +148,18 @@ class Views:
 
     @cached_property
     def html_items(self) -> DataFrame:
-        """Structured page items from raw web pages: heading, paragraphs, list items."""
+        """Structured page items from raw web pages: heading, paragraphs, list items.
+
+        An item ends at the next tag that is not inline, so items that nobody closed count too; inline tags go.
+        """
         def tagged(tag: str, label: str, base: int) -> Column:
-            found = F.regexp_extract_all("html", F.lit(f"<{tag}>([^<]*)</{tag}>"), F.lit(1))
+            found = F.regexp_extract_all("html", F.lit(ITEM.format(tag=tag)), F.lit(1))
             return F.transform(
                 found,
                 lambda t, i: F.struct(
-                    (F.lit(base) + i).cast("int").alias("reading_order"), F.lit(label).alias("label"), t.alias("text")
+                    (F.lit(base) + i).cast("int").alias("reading_order"),
+                    F.lit(label).alias("label"),
+                    F.regexp_replace(F.regexp_replace(t, "<br[^>]*>", " "), "</?[a-z][^>]*>", "").alias("text"),
                 ),
             )
 
@@ -265,10 +276,10 @@ class Views:
 
     @cached_property
     def questions(self) -> DataFrame:
-        """Every embedding asked as a question about its own document."""
-        doc_no = F.floor(F.col("vec_id") / 25)
-        return self.table("embeddings").select(
-            F.col("vec_id").alias("question_id"),
+        """Every node's vector asked as a question about its own document: all trees are asked."""
+        doc_no = F.floor(F.col("node_no") / 25)
+        return self.node_sources.select(
+            F.col("node_no").alias("question_id"),
             F.concat(F.lit("doc-"), doc_no.cast("string")).alias("document_id"),
             F.concat(F.lit("owner-"), (doc_no % 5).cast("string")).alias("owner_id"),
             F.col("embedding").alias("question_embedding"),
@@ -391,13 +402,13 @@ SELECT document_id, page_number, 0 AS table_index,
        CAST(60 AS DOUBLE) AS x0, CAST(270 AS DOUBLE) AS top, CAST(560 AS DOUBLE) AS x1, CAST(385 AS DOUBLE) AS bottom
 FROM v_lines WHERE line_index IN (4, 5) GROUP BY document_id, page_number
 """)
-view("v_html_items", r"""
+view("v_html_items", rf"""
 SELECT 'page-' || page_id AS document_id, 1 AS page_number, CAST(base + i - 1 AS INTEGER) AS reading_order, label, text,
        CASE WHEN label = 'SECTION_HEADER' THEN 1 END AS section_level
-FROM (SELECT page_id, base, label, unnest(found) AS text, generate_subscripts(found, 1) AS i FROM (
-  SELECT page_id, 0 AS base, 'SECTION_HEADER' AS label, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1) AS found FROM pages
-  UNION ALL SELECT page_id, 1000, 'PARAGRAPH', regexp_extract_all(html, '<p>([^<]*)</p>', 1) FROM pages
-  UNION ALL SELECT page_id, 100000, 'LIST_ITEM', regexp_extract_all(html, '<li>([^<]*)</li>', 1) FROM pages))
+FROM (SELECT page_id, base, label, regexp_replace(regexp_replace(unnest(found), '<br[^>]*>', ' ', 'g'), '</?[a-z][^>]*>', '', 'g') AS text, generate_subscripts(found, 1) AS i FROM (
+  SELECT page_id, 0 AS base, 'SECTION_HEADER' AS label, regexp_extract_all(html, '{ITEM.format(tag="h1")}', 1) AS found FROM pages
+  UNION ALL SELECT page_id, 1000, 'PARAGRAPH', regexp_extract_all(html, '{ITEM.format(tag="p")}', 1) FROM pages
+  UNION ALL SELECT page_id, 100000, 'LIST_ITEM', regexp_extract_all(html, '{ITEM.format(tag="li")}', 1) FROM pages))
 """)
 view("v_headed", r"""
 SELECT document_id, page_number, CAST(line_no * 2 + part_no - 1 AS INTEGER) AS line_no, trim(regexp_replace(part, '\s+', ' ', 'g')) AS text
@@ -438,8 +449,8 @@ SELECT 'root-' || document_id, document_id, owner_id, 'summary', 2, arg_min(cont
 FROM v_nodes GROUP BY document_id, owner_id
 """)
 view("v_questions", r"""
-SELECT vec_id AS question_id, 'doc-' || (vec_id // 25) AS document_id, 'owner-' || ((vec_id // 25) % 5) AS owner_id,
-       embedding AS question_embedding FROM embeddings
+SELECT no AS question_id, 'doc-' || (no // 25) AS document_id, 'owner-' || ((no // 25) % 5) AS owner_id,
+       embedding AS question_embedding FROM v_node_sources
 """)
 view("v_catalog", r"""
 SELECT o_orderkey AS document_id, o_custkey AS owner_id, o_orderpriority || '-' || o_orderkey || '.pdf' AS name,
