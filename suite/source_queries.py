@@ -14,6 +14,7 @@ from arbora.plans.ingest import Ingested, Layout, ingest_corpus
 from arbora.session import work_folder
 from arbora.sources import files, lineage
 from arbora.sources import nodes as N
+from arbora.sources import versions as VN
 from arbora.streaming.ingest import incremental_ingest, job_stream
 from arbora.streaming.status import status_stream
 from suite import sql_exprs as S
@@ -100,6 +101,34 @@ def s7(v):
     return N.read_nodes(v.spark, path).select("id")
 
 
+@query(
+    "S6_versioned_replace",
+    "SELECT id, document_id, content FROM v_nodes WHERE owner_id <> 'owner-3' UNION ALL SELECT 'new-' || id, document_id, upper(layout_partition) FROM v_nodes WHERE owner_id = 'owner-3' AND cluster_no > 4"
+    " UNION ALL SELECT id, document_id, content FROM v_nodes WHERE owner_id = 'owner-3' AND document_id NOT IN (SELECT document_id FROM v_nodes WHERE cluster_no > 4)",
+)
+def s6v(v):
+    """The same re-index, twice, in versions: only the documents' own rows are written, then compacted."""
+    path = work_folder(v.spark, "versions")
+    VN.replace_documents(v.nodes, path)
+    fresh = v.nodes.where("owner_id = 'owner-3' AND cluster_no > 4").select(
+        F.concat(F.lit("new-"), "id").alias("id"), DOC, "owner_id", "node_type", "level",
+        F.upper("layout_partition").alias("content"), "embedding", "chunk_index",
+    )
+    VN.replace_documents(fresh, path)
+    VN.replace_documents(fresh, path)
+    VN.compact(v.spark, path)
+    return VN.read_current(v.spark, path).select("id", DOC, "content")
+
+
+@query("S7_versioned_delete", "SELECT id FROM v_nodes WHERE owner_id <> 'owner-1'")
+def s7v(v):
+    """Tombstones only: the rows of the others are not written again."""
+    path = work_folder(v.spark, "versions")
+    VN.replace_documents(v.nodes, path)
+    VN.delete_documents(v.spark, path, v.nodes.where("owner_id = 'owner-1'").select(DOC))
+    return VN.read_current(v.spark, path).select("id")
+
+
 @query("S8_write_lineage", "SELECT document_id, 'run-1' AS run_id, 'nodes' AS artifact_type, count(*) AS row_count, TRUE AS hashed FROM v_nodes GROUP BY document_id")
 def s8(v):
     path = work_folder(v.spark, "lineage")
