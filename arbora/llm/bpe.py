@@ -278,7 +278,7 @@ _MADE: dict[tuple, object] = {}
 
 
 def _made(kind, *args):
-    """One encoder or decoder per task."""
+    """One encoder or decoder per worker, until it is dropped."""
     key = (kind.__name__, *args)
     if key not in _MADE:
         _MADE[key] = kind(read_ranks(args[0]), *args[1:])
@@ -290,7 +290,7 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=names)
 
 
-def _mapped(documents: DataFrame, source: str, name: str, kind: T.DataType, column) -> DataFrame:
+def _mapped(documents: DataFrame, source: str, name: str, kind: T.DataType, column, keep: bool) -> DataFrame:
     """Replace the last column of ``kept + source`` by ``column(values)``, a few rows at a time."""
     kept = [c for c in documents.columns if c.lower() != name.lower()]
     rows = documents.select(*kept, documents[source].alias("_source"))
@@ -301,15 +301,19 @@ def _mapped(documents: DataFrame, source: str, name: str, kind: T.DataType, colu
                 for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                     part = batch.slice(at, ROWS_AT_ONCE)
                     yield _with(part, name, column(part.column(part.num_columns - 1)))
-        finally:  # workers are used again by other steps
-            _MADE.clear()
-            release_memory()
+        finally:
+            if not keep:  # workers are used again by other steps
+                _MADE.clear()
+                release_memory()
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(name, kind)]))
 
 
-def encode(documents: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """The documents with ``ids``, the tokens of their whole texts."""
+def encode(documents: DataFrame, path: str, pattern: str, text: str = "text", keep: bool = False) -> DataFrame:
+    """The documents with ``ids``, the tokens of their whole texts.
+
+    ``keep``: workers hold the encoder for their later tasks, for jobs with no other heavy step.
+    """
 
     def ids(texts: pa.Array) -> pa.Array:
         encoder = _made(Encoder, path, pattern)
@@ -317,20 +321,20 @@ def encode(documents: DataFrame, path: str, pattern: str, text: str = "text") ->
         ends = np.cumsum([0, *(len(x) // 4 for x in encoded)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
 
-    return _mapped(documents, text, "ids", T.ArrayType(T.IntegerType()), ids)
+    return _mapped(documents, text, "ids", T.ArrayType(T.IntegerType()), ids, keep)
 
 
-def encode_packed(documents: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def encode_packed(documents: DataFrame, path: str, pattern: str, text: str = "text", keep: bool = False) -> DataFrame:
     """The documents with ``ids``, the tokens of their whole texts as 32-bit integers in bytes."""
 
     def ids(texts: pa.Array) -> pa.Array:
         encoder = _made(Encoder, path, pattern)
         return pa.array([encoder(value or "") for value in texts.to_pylist()], pa.binary())
 
-    return _mapped(documents, text, "ids", T.BinaryType(), ids)
+    return _mapped(documents, text, "ids", T.BinaryType(), ids, keep)
 
 
-def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: bool = False) -> DataFrame:
     """The rows with ``decoded``, the text of their token ids; null ids count as none."""
 
     def texts(column: pa.ListArray) -> pa.Array:
@@ -338,4 +342,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         none = np.zeros(0, np.int32)
         return pa.array([decoder(value.values.to_numpy() if value.is_valid else none) for value in column], pa.string())
 
-    return _mapped(encoded, ids, "decoded", T.StringType(), texts)
+    return _mapped(encoded, ids, "decoded", T.StringType(), texts, keep)
