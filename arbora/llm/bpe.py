@@ -3,12 +3,13 @@
 A sequence of tokens is the BPE encoding of its bytes exactly when every two neighbours are the encoding of their own
 concatenation. That makes encoding a rational relation: a nondeterministic transducer reads bytes along the trie of
 tokens and, where a token ends, may emit it if it goes with the token before. ``Transducer`` determinises it while
-texts are read: a state is the set of readings that are still open, each with the tokens it has not emitted yet, and
-what all readings agree on is emitted at once, so the lookahead is bounded by the longest token. Transitions are kept,
-and a piece seen before is looked up whole; both tables are emptied when full, which costs time and changes nothing.
+texts are read: a state is the set of readings that are still open, and the token that ends at each byte is noted. A note
+is final once the open readings agree on it, a few longest tokens later: at the end of a piece, and every ``BLOCK`` bytes
+of a longer one, what they agree on is emitted and its notes are let go. Transitions are kept, and a piece seen before is
+looked up whole; both tables are emptied when full, which costs time and changes nothing.
 
 Tasks read the rank file from its path parameter (a small public file that every machine holds). Null texts count as
-empty: no tokens, empty decoding. Very long texts and pieces take time in proportion to their length. Repeated rows are encoded alike;
+empty: no tokens, empty decoding. An empty table gives no rows. Very long texts and pieces take time in proportion to their length. Repeated rows are encoded alike;
 other columns stay, and ones named ``ids`` or ``decoded`` are replaced.
 """
 
@@ -27,8 +28,11 @@ from pyspark.sql import types as T
 
 from arbora.llm.common import release_memory
 
-#: States and pieces kept by one worker.
+#: States and pieces of an encoder that ends with its task, and of one that a worker keeps over tasks.
 MOST_STATES, MOST_PIECES = 40_000, 150_000
+KEPT_STATES, KEPT_PIECES = 120_000, 400_000
+#: Bytes of a piece between two emissions.
+BLOCK = 4_096
 ROWS_AT_ONCE = 64
 #: Later than every rank.
 LAST = 1 << 40
@@ -48,13 +52,15 @@ class Transducer:
         self.pieces = {rank: piece for piece, rank in ranks.items()}
         self.next: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
+        self.depth = array("i", [0])
         for piece, rank in ranks.items():
             node = 0
-            for byte in piece:
+            for depth, byte in enumerate(piece, 1):
                 node = self.next[node].setdefault(byte, len(self.next))
                 if node == len(self.next):
                     self.next.append({})
                     self.token.append(-1)
+                    self.depth.append(depth)
             self.token[node] = rank
         self.below: list[list[int]] = [[] for _ in self.next]
         for piece, rank in ranks.items():
@@ -64,7 +70,7 @@ class Transducer:
                 if len(self.below[node]) <= FEW:
                     self.below[node].append(rank)
         self.length = {rank: len(piece) for piece, rank in ranks.items()}
-        self.edges: dict[int, dict[int, list[bytes]]] = {0: {}, -1: {}}
+        self.edges: dict[int, dict[int, list[tuple[bytes, int]]]] = {0: {}, -1: {}}
         self.clear()
 
     def clear(self) -> None:
@@ -93,14 +99,18 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def edge(self, token: int, side: int) -> list[bytes]:
-        """What stands at one side (0: left, -1: right) of a token while it is merged, from its byte to the whole."""
+    def edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """What stands at one side (0: left, -1: right) of a token while it is merged, from its byte to the whole.
+
+        Each part comes with the rank of the merge that makes it the next one.
+        """
         found = self.edges[side].get(token)
         if found is None:
             piece = self.pieces[token]
-            found = [piece]
+            found = [(piece, LAST)]
             if len(piece) > 1:
-                found = [*self.edge(self.ranks[self.parts(piece)[side]], side), piece]
+                grown = self.edge(self.ranks[self.parts(piece)[side]], side)
+                found = [*grown[:-1], (grown[-1][0], token), *found]
             self.edges[side][token] = found
         return found
 
@@ -112,20 +122,21 @@ class Transducer:
         """
         if left < 0:
             return True
-        xs, ys, ranks = self.edge(left, -1), self.edge(right, 0), self.ranks
+        xs, ys, merge = self.edge(left, -1), self.edge(right, 0), self.ranks.get
+        (x, due_x), (y, due_y) = xs[0], ys[0]
         i = j = 0
         while True:
-            due_x = ranks[xs[i + 1]] if i + 1 < len(xs) else LAST
-            due_y = ranks[ys[j + 1]] if j + 1 < len(ys) else LAST
-            across = ranks.get(xs[i] + ys[j], LAST)
-            if across < due_x and across <= due_y and across < LAST:
+            across = merge(x + y, LAST)
+            if across < due_x and across <= due_y:
                 return False
-            if due_x == due_y == LAST:
-                return True
             if due_x <= due_y:
+                if due_x == LAST:
+                    return True
                 i += 1
+                x, due_x = xs[i]
             else:
                 j += 1
+                y, due_y = ys[j]
 
     def needed(self, node: int, last: int) -> int | None:
         """What a reading must remember of its last token: None if no token below fits it, -1 if all (of a few) do."""
@@ -154,31 +165,46 @@ class Transducer:
         found = self.moves[state][byte] = self.state(tuple(after), ended)
         return found
 
-    def encode(self, piece: bytes) -> list[int]:
-        """Read forward, noting the token that ends at each byte; then the tokens from the end back are the output.
-
-        A note is final once the readings open at that byte are closed, at most one longest token later.
-        """
-        if len(self.readings) > self.most_states:
-            self.clear()
-        state, ended, moves = 0, [], self.moves
-        for byte in piece:
-            after = moves[state].get(byte)
-            if after is None:
-                after = self.move(state, byte)
-                if len(moves) > 2 * self.most_states:  # a very long piece
-                    readings, last = self.readings[after], self.ended[after]
-                    self.clear()
-                    after, moves = self.state(readings, last), self.moves
-            state = after
-            ended.append(self.ended[state])
-        out, at = [], len(piece)
+    def settled(self, state: int, ended: list[int]) -> int:
+        """How many of the noted bytes no open reading can still change: where the readings' pasts meet."""
+        starts = {len(ended) - self.depth[node] for node, _ in self.readings[state]}
+        while len(starts) > 1:
+            latest = max(starts)
+            starts.remove(latest)
+            starts.add(latest - self.length[ended[latest - 1]])
+        return starts.pop()
+
+    def before(self, ended: list[int], at: int) -> list[int]:
+        """The tokens of the first ``at`` noted bytes."""
+        out = []
         while at:
             token = ended[at - 1]
             out.append(token)
             at -= self.length[token]
         return out[::-1]
 
+    def encode(self, piece: bytes) -> list[int]:
+        """Read forward, noting the token that ends at each byte; notes that are final are emitted."""
+        if len(self.readings) > self.most_states:
+            self.clear()
+        state, moves, ends = 0, self.moves, self.ended
+        out: list[int] = []
+        ended: list[int] = []
+        for start in range(0, len(piece), BLOCK):
+            if start:
+                final = self.settled(state, ended)
+                out += self.before(ended, final)
+                del ended[:final]
+                if len(moves) > self.most_states:
+                    readings, last = self.readings[state], ends[state]
+                    self.clear()
+                    state, moves, ends = self.state(readings, last), self.moves, self.ended
+            for byte in piece[start : start + BLOCK]:
+                after = moves[state].get(byte)
+                state = self.move(state, byte) if after is None else after
+                ended.append(ends[state])
+        return out + self.before(ended, len(ended))
+
 
 class Splitter:
     """The matches of a pattern in a text; a plainer equal pattern serves texts of ASCII and Latin-1 letters only."""
@@ -219,8 +245,8 @@ class Pieces(dict):
 class Encoder:
     """Texts to token ids, each piece of the pattern by itself."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = MOST_PIECES):
-        self.split, self.pieces = Splitter(pattern), Pieces(Transducer(ranks), most_pieces)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = MOST_PIECES, most_states: int = MOST_STATES):
+        self.split, self.pieces = Splitter(pattern), Pieces(Transducer(ranks, most_states), most_pieces)
 
     def __call__(self, text: str) -> bytes:
         """The ids as 32-bit integers in bytes."""
@@ -315,8 +341,10 @@ def encode(documents: DataFrame, path: str, pattern: str, text: str = "text", ke
     ``keep``: workers hold the encoder for their later tasks, for jobs with no other heavy step.
     """
 
+    limits = (KEPT_PIECES, KEPT_STATES) if keep else (MOST_PIECES, MOST_STATES)
+
     def ids(texts: pa.Array) -> pa.Array:
-        encoder = _made(Encoder, path, pattern)
+        encoder = _made(Encoder, path, pattern, *limits)
         encoded = [encoder(value or "") for value in texts.to_pylist()]
         ends = np.cumsum([0, *(len(x) // 4 for x in encoded)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
@@ -327,8 +355,10 @@ def encode(documents: DataFrame, path: str, pattern: str, text: str = "text", ke
 def encode_packed(documents: DataFrame, path: str, pattern: str, text: str = "text", keep: bool = False) -> DataFrame:
     """The documents with ``ids``, the tokens of their whole texts as 32-bit integers in bytes."""
 
+    limits = (KEPT_PIECES, KEPT_STATES) if keep else (MOST_PIECES, MOST_STATES)
+
     def ids(texts: pa.Array) -> pa.Array:
-        encoder = _made(Encoder, path, pattern)
+        encoder = _made(Encoder, path, pattern, *limits)
         return pa.array([encoder(value or "") for value in texts.to_pylist()], pa.binary())
 
     return _mapped(documents, text, "ids", T.BinaryType(), ids, keep)

@@ -40,6 +40,15 @@ def test_long_pieces():
         assert ids(encode(text)) == OTHER.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("block", [3, 50, 4_096])
+def test_tokens_leave_before_the_end_of_a_piece(monkeypatch, block):
+    monkeypatch.setattr(bpe, "BLOCK", block)
+    transducer, rng = bpe.Transducer(RANKS, 200), random.Random(block)
+    for letters in ("ab", "ethanors", "abcdefghijklmnopqrstuvwxyz"):
+        piece = "".join(rng.choices(letters, k=5_000))
+        assert transducer.encode(piece.encode()) == OTHER.encode_ordinary(piece)
+
+
 def test_stream_is_incremental():
     data = "aé漢😀z".encode()
     for size in (1, 2, 3, 5):
