@@ -74,6 +74,35 @@ def test_sharding(documents):
     assert sorted((str(r.doc_id), zlib.crc32((r.text or "").encode()), r.shard, r.slot) for r in rows) == sorted((str(r.doc_id), zlib.crc32((r.text or "").encode()), r.shard, r.slot) for r in again)
 
 
+def test_shards_are_runs_of_buckets(documents):
+    """Against a plain program: places by bucket, shards and slots by place."""
+    n, shards, of_bucket = documents.count(), 4, {}
+    total = sum(len((r.text or "").encode()) + 8 * len(documents.columns) for r in documents.collect())
+    buckets = -(-total // (1 << 14))
+    for r in sharding.scatter(documents, buckets, 7).collect():
+        assert r.bucket == r.record.place % buckets
+        of_bucket[r.record.row.doc_id, r.record.row.text] = r.bucket
+    held = Counter(of_bucket[r.doc_id, r.text] for r in documents.collect())
+    starts = {b: sum(held[x] for x in held if x < b) for b in held}
+    for r in sharding.shuffle_into_shards(documents, shards, bucket_bytes=1 << 14).collect():
+        place, b = -(-r.shard * n // shards) + r.slot, of_bucket[r.doc_id, r.text]
+        assert place * shards // n == r.shard and starts[b] <= place < starts[b] + held[b]
+
+
+def test_copies_of_a_record_spread(spark):
+    from pyspark.sql import functions as F
+
+    names = ["place", "row", "record", "bucket", "start", "i", "held", "copies", "number", "c0", "_place", "of"]
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("text").alias("text"), *(F.lit("kept").alias(c) for c in names))
+    sizes = {r.bucket: r["count"] for r in sharding.scatter(rows, 50, 7, hot_copies=100).groupBy("bucket").count().collect()}
+    assert sum(sizes.values()) == 30_000 and max(sizes.values()) < 900
+    sharded = sharding.shuffle_into_shards(rows, 6, bucket_bytes=1 << 17)
+    assert sharded.columns == [*rows.columns, "shard", "slot"]
+    assert sharded.filter("doc_id IS NULL").count() == 10_000 and sharded.filter("start = 'kept' AND c0 = 'kept'").count() == 30_000
+    assert sharded.select("shard", "slot").distinct().count() == 30_000
+    assert all(abs(r["count"] - 10_000 / 6) < 250 for r in sharded.filter("doc_id IS NULL").groupBy("shard").count().collect())
+
+
 def test_sharding_edges(empty, clashing, documents, tmp_path):
     assert sharding.shuffle_into_shards(empty, 4).count() == 0
     assert sharding.shuffle_into_shards(clashing, 4).filter("score = 'kept' AND slot >= 0").count() == clashing.count()
