@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from arbora.llm.common import release_memory
+from arbora.llm.common import release_memory, unused
 
 #: States and pieces of an encoder that ends with its task, and of one that a worker keeps over tasks.
 MOST_STATES, MOST_PIECES = 40_000, 150_000
@@ -319,7 +319,7 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
 def _mapped(documents: DataFrame, source: str, name: str, kind: T.DataType, column, keep: bool) -> DataFrame:
     """Replace the last column of ``kept + source`` by ``column(values)``, a few rows at a time."""
     kept = [c for c in documents.columns if c.lower() != name.lower()]
-    rows = documents.select(*kept, documents[source].alias("_source"))
+    rows = documents.select(*kept, documents[source].alias(*unused(kept, "_source")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -53,6 +53,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """``names`` for columns of an operator's own, each with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while any(n.lower() in taken for n in names):
+        names = tuple(n + "_" for n in names)
+    return list(names)
+
+
 def release_memory() -> None:
     """Give memory that is no longer used back to the system: Python workers live on between tasks and steps."""
     gc.collect()

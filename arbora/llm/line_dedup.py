@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import WORD, Powers, RunningSums, Words, cut, mixed
+from arbora.llm.common import WORD, Powers, RunningSums, Words, cut, mixed, unused
 
 LEAST_WORDS = 8
 _WORDS = re.compile(WORD).findall
@@ -181,21 +181,23 @@ def dedup_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     kept = [c for c in documents.columns if c.lower() not in ("lines", "removed_lines", text.lower())]
     version = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     keyed = documents.select(F.col(key).cast("long").alias("doc"), version.alias("version"), F.col(text).alias("text"))
-    numbers = removed_lines(keyed.filter("doc IS NOT NULL AND text IS NOT NULL")).toDF("_of", "_in", "_numbers")
+    numbers = removed_lines(keyed.filter("doc IS NOT NULL AND text IS NOT NULL"))
+    given, doc, ver, packed_text, of, within, gone = unused(kept, "_text", "_doc", "_version", "_packed", "_of", "_in", "_numbers")
+    numbers = numbers.toDF(of, within, gone)
 
-    rows = documents.select(*kept, F.col(text).alias("_text"), F.col(key).cast("long").alias("_doc"), version.alias("_version"))
-    pack = T.StructType([*(f for f in rows.schema.fields if f.name != "_text"), T.StructField("_packed", T.BinaryType())])
+    rows = documents.select(*kept, F.col(text).alias(given), F.col(key).cast("long").alias(doc), version.alias(ver))
+    pack = T.StructType([*(f for f in rows.schema.fields if f.name != given), T.StructField(packed_text, T.BinaryType())])
 
     def compress(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            i = batch.schema.get_field_index("_text")
+            i = batch.schema.get_field_index(given)
             packed = pa.array([None if t is None else squeeze(t.encode("utf-8", "replace")) for t in batch.column(i).to_pylist()], pa.binary())
             others = [j for j in range(batch.num_columns) if j != i]
-            yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in others), packed], names=[*(batch.schema.names[j] for j in others), "_packed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in others), packed], names=[*(batch.schema.names[j] for j in others), packed_text])
 
-    marked = rows.mapInArrow(compress, pack).join(numbers, (F.col("_doc") == F.col("_of")) & (F.col("_version") == F.col("_in")), "left")
-    marked = marked.select(*kept, "_packed", "_numbers")
+    marked = rows.mapInArrow(compress, pack).join(numbers, (F.col(doc) == F.col(of)) & (F.col(ver) == F.col(within)), "left")
+    marked = marked.select(*kept, packed_text, gone)
     fields = [f for f in marked.schema.fields if f.name in kept]
     out = T.StructType([*fields, T.StructField(text, T.StringType()), T.StructField("lines", T.LongType()), T.StructField("removed_lines", T.LongType())])
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.llm.common import cut, word_count
+from arbora.llm.common import cut, unused, word_count
 
 #: Weights by the order of source names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -61,11 +61,14 @@ def mix(documents: DataFrame, seed: int = 11, key: str = "doc_id", **rules) -> D
     """The documents with ``size``, ``source_size``, ``target``, ``rate`` and ``copies``, the times each is taken."""
     rates = cut(source_rates(documents, **rules))
     mine = documents.select(*[c for c in documents.columns if c.lower() not in ("source_size", "target", "rate", "size", "copies")])
-    joined = mine.join(rates, mine["source"].eqNullSafe(rates["_source"])).drop("_source")
+    (own,) = unused(mine.columns, "_source")
+    rates = rates.withColumnRenamed("_source", own)
+    joined = mine.join(rates, mine["source"].eqNullSafe(rates[own])).drop(own)
     extra = F.when(coin(seed, key) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return joined.withColumns({"size": word_count(F.col("text")), "copies": (F.floor("rate") + extra).cast("int")})
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each copy."""
-    return mixed.filter("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    (own,) = unused(columns, "_copy")
+    return mixed.filter("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(own)).drop(own)

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arbora.llm.common import unused
+
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -246,7 +248,7 @@ def find_personal_data(documents: DataFrame, text: str = "text", least: float =
     counted = count_patterns(documents, text).orderBy("kind", "votes", "shape").collect()  # one row per pattern
     weights = train([((r["kind"], tuple(r["votes"]), tuple(r["shape"])), r["n"]) for r in counted])
     kept = [c for c in documents.columns if c.lower() != "spans"]
-    rows = documents.select(*kept, documents[text].alias("_text"))
+    rows = documents.select(*kept, documents[text].alias(*unused(kept, "_text")))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("base", pa.bool_())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

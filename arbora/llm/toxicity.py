@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import by_bytes, release_memory
+from arbora.llm.common import by_bytes, release_memory, unused
 
 #: Text of so many bytes is scored at once; a longer text by itself.
 BYTES_AT_ONCE = 1 << 18
@@ -295,7 +295,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: st
 def score_toxicity(documents: DataFrame, model: Model, text: str = "text", keep_restored: bool = False) -> DataFrame:
     """The documents with ``score``, and ``restored`` if wanted."""
     kept = [c for c in documents.columns if c.lower() not in ("score", "restored")]
-    rows = documents.select(*kept, documents[text].alias("_text"))
+    rows = documents.select(*kept, documents[text].alias(*unused(kept, "_text")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()

@@ -25,6 +25,7 @@ SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
 ])
 EXTRA = ["size", "score", "shard", "slot", "ids", "spans", "lines", "n", "doc", "a", "component", "rate", "copies", "part"]
+EXTRA += ["_source", "_copy", "_text", "_doc", "_version", "_packed", "_of", "_in", "_numbers"]
 
 
 @pytest.fixture(scope="session", autouse=True)
