@@ -258,14 +258,19 @@ def page_text(items: DataFrame) -> DataFrame:
 
 
 def project_pages(items: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Page rows: text, number of items, component counts and page size."""
-    counted = items.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n_items"))
-    return (
-        sizes.select(*PAGE, "width", "height")
-        .join(counted, PAGE, "left")
-        .join(component_counts(items), PAGE, "left")
-        .join(page_text(items), PAGE, "left")
-        .withColumns({"text": F.coalesce("text", F.lit("")), "n_items": F.coalesce("n_items", F.lit(0))})
+    """Page rows: text, number of items, component counts and page size. The items are read once."""
+    shown = F.col("label").isin(*V.BODY_LABELS) & (F.col("text") != "")
+    kinds = items.groupBy(*PAGE, "label").agg(
+        F.count(F.lit(1)).alias("n"), F.collect_list(F.when(shown, F.struct("reading_order", "text"))).alias("__texts")
+    )
+    pages = kinds.groupBy(*PAGE).agg(
+        F.sum("n").alias("n_items"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("component_counts"),
+        F.sort_array(F.flatten(F.collect_list("__texts"))).alias("__texts"),
+    )
+    body = text.strip(F.array_join(F.transform("__texts", lambda r: r["text"]), "\n\n"))
+    return sizes.select(*PAGE, "width", "height").join(pages.withColumn("text", body).drop("__texts"), PAGE, "left").withColumns(
+        {"text": F.coalesce("text", F.lit("")), "n_items": F.coalesce("n_items", F.lit(0))}
     )
 
 

@@ -31,3 +31,16 @@ def test_summaries_of_small_groups_need_one_shuffle_and_large_ones_say_the_same(
     initial = small._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert initial.count("Exchange hashpartitioning") <= 2  # the sentences by group, for both readers of them
     assert plan(small).count("Join") == 1
+
+
+def test_project_pages_reads_the_items_once(spark, tmp_path):
+    rows = [("d", 1, 1, "PARAGRAPH", "b"), ("d", 1, 0, "TABLE", "a"), ("d", 1, 2, "PAGE_FOOTER", "f"), ("d", 1, 3, "PARAGRAPH", ""), ("d", 2, 0, "PAGE_FOOTER", "f")]
+    spark.createDataFrame(rows, f"{PAGE}, reading_order int, label string, text string").write.parquet(f"{tmp_path}/items")
+    sizes = spark.createDataFrame([("d", p, 1.0, 2.0) for p in (1, 2, 3)] + [(None, 1, 1.0, 2.0)], f"{PAGE}, width double, height double")
+    pages = layout.project_pages(spark.read.parquet(f"{tmp_path}/items"), sizes)
+    found = {(r["document_id"], r["page_number"]): (r["text"], r["n_items"], r["component_counts"]) for r in pages.collect()}
+    assert found == {
+        ("d", 1): ("a\n\nb", 4, {"PARAGRAPH": 2, "TABLE": 1, "PAGE_FOOTER": 1}), ("d", 2): ("", 1, {"PAGE_FOOTER": 1}),
+        ("d", 3): ("", 0, None), (None, 1): ("", 0, None),
+    }
+    assert plan(pages).count("Relation [") == 1
