@@ -33,6 +33,41 @@ def test_summaries_of_small_groups_need_one_shuffle_and_large_ones_say_the_same(
     assert plan(small).count("Join") == 1
 
 
+def test_nearest_rows_are_the_best_products_with_ties_to_the_earlier(monkeypatch):
+    monkeypatch.setattr(retrieval, "QUESTION_STRIP", 7)
+    monkeypatch.setattr(retrieval, "NODE_STRIP", 11)
+    random = np.random.default_rng(3)
+    for stored_rows, k in ((60, 5), (4, 5), (11, 11), (33, 12)):
+        stored = random.integers(-1, 2, (stored_rows, 3)).astype(float)
+        asked = random.integers(-1, 2, (20, 3)).astype(float)
+        rows, columns, scores = retrieval.nearest_rows(asked, stored, k)
+        every = asked @ stored.T
+        best = np.argsort(-np.round(every, 12), axis=1, kind="stable")[:, :k]
+        assert [list(columns[rows == i]) for i in range(20)] == best.tolist()
+        assert np.array_equal(scores, every[rows, columns])
+
+
+def test_blocks_are_large_for_narrow_vectors_and_bounded_for_wide_ones(spark, monkeypatch):
+    seen = {}
+
+    def note(questions, nodes, *rest):
+        seen["q"], seen["n"] = (df.agg(F.max(c)).first()[0] for df, c in ((questions, "__q_blocks"), (nodes, "__n_blocks")))
+        return spark.createDataFrame([], "question_id bigint, id string, node_type string, similarity double")
+
+    monkeypatch.setattr(retrieval, "_block_matches", note)
+
+    def blocks(n, width):
+        vector = F.array_repeat(F.lit(1.0).cast("float"), width)
+        asked = spark.range(n).select(F.col("id").alias("question_id"), F.lit("o").alias("owner_id"), vector.alias("question_embedding"))
+        stored = spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit("o").alias("owner_id"), F.lit("leaf").alias("node_type"), vector.alias("embedding"))
+        retrieval.best_matches(asked, stored, ["owner_id"], 3, False)
+        return seen["q"], seen["n"]
+
+    assert blocks(12_000, 2) == (1, 1)
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 2048 * 8 * 16)
+    assert blocks(12_000, 16) == (6, 6)
+
+
 def test_project_pages_reads_the_items_once(spark, tmp_path):
     rows = [("d", 1, 1, "PARAGRAPH", "b"), ("d", 1, 0, "TABLE", "a"), ("d", 1, 2, "PAGE_FOOTER", "f"), ("d", 1, 3, "PARAGRAPH", ""), ("d", 2, 0, "PAGE_FOOTER", "f")]
     spark.createDataFrame(rows, f"{PAGE}, reading_order int, label string, text string").write.parquet(f"{tmp_path}/items")
