@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from arbora.functions import fixed_values as V
 from arbora.functions import trees
 from arbora.operators.scan import grouped_segment, ordinal_segment, prefix_scan
-from arbora.session import cut_lineage
+from arbora.session import bound_batches, cut_lineage
 
 # Vectors in one task's matrix; how a document is cut into blocks does not change its fit.
 BLOCK_ROWS = 4096
@@ -117,6 +117,7 @@ def fit_mixtures(vectors_of: DataFrame, keys: Sequence[str], rounds: int = ROUND
     keeps its state and says ``converged = false``.
     """
     keys = list(keys)
+    bound_batches(vectors_of.sparkSession)  # a row is a block of vectors
     types = dict(vectors_of.dtypes)
     key_schema = ", ".join(f"`{c}` {types[c]}" for c in keys)
     placed = prefix_scan(vectors_of, keys, ["ord"], ordinal_segment("ord"), sums={"at": F.lit(1)}, totals={"n": F.lit(1)})

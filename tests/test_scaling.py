@@ -79,3 +79,15 @@ def test_project_pages_reads_the_items_once(spark, tmp_path):
         ("d", 3): ("", 0, None), (None, 1): ("", 0, None),
     }
     assert plan(pages).count("Relation [") == 1
+
+
+def test_mixture_fits_bound_arrow_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.set(name, str(1 << 30))
+        nodes = spark.createDataFrame([("d", str(i), i, [float(i % 2), 1.0]) for i in range(6)], "document_id string, id string, ord bigint, embedding array<float>")
+        clustering.cluster_embeddings(nodes, spark.createDataFrame([("d", 2)], "document_id string, target int"), block_rows=2)
+        assert int(spark.conf.get(name)) <= 4 << 20
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
