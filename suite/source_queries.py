@@ -133,7 +133,7 @@ def s7v(v):
 def s8(v):
     path = work_folder(v.spark, "lineage")
     lineage.write_lineage(lineage.lineage_records(v.nodes, "run-1", "nodes", ["id", "content"]), path)
-    again = lineage.lineage_records(v.nodes.repartition(3), "run-1", "nodes", ["id", "content"])
+    again = lineage.lineage_records(v.nodes.repartition("id"), "run-1", "nodes", ["id", "content"])
     stored = v.spark.read.parquet(path)
     same = again.select(DOC, c("content_hash").alias("again"))
     return stored.join(same, DOC).select(

@@ -91,3 +91,14 @@ def test_mixture_fits_bound_arrow_batches(spark):
         assert int(spark.conf.get(name)) <= 4 << 20
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_lineage_query_spreads_its_second_reading(spark, tmp_path):
+    import suite.all_queries  # noqa: F401
+    from suite.registry import QUERIES
+
+    spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0], i) for i in range(10)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    stored = QUERIES["S8_write_lineage"](spark, str(tmp_path))
+    assert sorted((r["document_id"], r["row_count"], r["hashed"]) for r in stored.collect()) == [("doc-0", 25, True), ("doc-1", 5, True)]
+    assert "Repartition 3" not in plan(stored)
