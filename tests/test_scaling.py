@@ -81,6 +81,18 @@ def test_project_pages_reads_the_items_once(spark, tmp_path):
     assert plan(pages).count("Relation [") == 1
 
 
+@pytest.mark.parametrize("text, hits", [("the", 1), ("bathe the", 1), ("bathe them", 0), ("éthe", 0), ("theé", 0), ("(the)", 1), ("the_", 0), ("", 0), ("THE end", 1)])
+def test_party_words_are_whole_words(spark, text, hits):
+    rule = ("P", ("the",), "", ("nothing",))
+    row = spark.createDataFrame([(text,)], "t string").select(parties.party_score(F.col("t"), rule).alias("n")).first()
+    assert row["n"] == hits
+
+
+def test_party_words_are_compared_before_their_boundaries(spark):
+    shown = str(parties.party_score(F.col("t"), ("P", ("the",), "", ("nothing",)))._jc.toString())
+    assert "(?U)the(?<=" in shown
+
+
 def test_mixture_fits_bound_arrow_batches(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name, None)
