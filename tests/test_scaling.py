@@ -105,6 +105,21 @@ def test_mixture_fits_bound_arrow_batches(spark):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def test_nodes_are_replaced_without_writing_them_twice(spark, tmp_path, monkeypatch):
+    calls = []
+    cut = N.cut_lineage
+    monkeypatch.setattr(N, "cut_lineage", lambda df: calls.append(df.columns) or cut(df))
+
+    def rows(*pairs):
+        return spark.createDataFrame(pairs, "document_id string, id string, owner_id string")
+
+    path = f"{tmp_path}/nodes"
+    N.replace_document_nodes(rows(("a", "1", "o"), ("b", "2", "o"), ("a", "3", "o"), (None, "4", "o")), path, buckets=1)
+    assert calls == []
+    N.replace_document_nodes(rows(("a", "5", "o"), (None, "6", "o")), path, buckets=1)
+    assert sorted(r["id"] for r in N.read_nodes(spark, path).collect()) == ["2", "4", "5", "6"]
+
+
 def test_lineage_query_spreads_its_second_reading(spark, tmp_path):
     import suite.all_queries  # noqa: F401
     from suite.registry import QUERIES
@@ -114,3 +129,10 @@ def test_lineage_query_spreads_its_second_reading(spark, tmp_path):
     stored = QUERIES["S8_write_lineage"](spark, str(tmp_path))
     assert sorted((r["document_id"], r["row_count"], r["hashed"]) for r in stored.collect()) == [("doc-0", 25, True), ("doc-1", 5, True)]
     assert "Repartition 3" not in plan(stored)
+
+
+def test_cut_rows_are_written_with_zstd(spark):
+    from arbora.session import cut_lineage
+
+    files = cut_lineage(spark.range(10)).inputFiles()
+    assert files and all(".zstd." in f for f in files)
