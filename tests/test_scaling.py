@@ -136,3 +136,14 @@ def test_cut_rows_are_written_with_zstd(spark):
 
     files = cut_lineage(spark.range(10)).inputFiles()
     assert files and all(".zstd." in f for f in files)
+
+
+def test_node_texts_are_joined_last(spark, tmp_path):
+    from suite.views import Views
+
+    spark.createDataFrame([(i, f"text {i}") for i in range(4)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0], i) for i in range(6)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sources = Views(spark, str(tmp_path)).node_sources
+    assert sorted((r["node_no"], r["text"], r["label"]) for r in sources.collect()) == [(i, f"text {i % 4}", i) for i in range(6)]
+    shown = plan(sources)
+    assert shown.index("Relation [vec_id") < shown.index("Relation [doc_id")
