@@ -330,7 +330,7 @@ def extraction_quality(blocks: DataFrame, warnings: DataFrame | None = None) ->
     quality = by_source.groupBy("document_id").agg(
         F.sum("n").alias("block_count"),
         F.sum("empty").alias("empty_blocks"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("source_counts"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n")))).alias("source_counts"),
         (F.sum("confidence") / F.sum("n")).alias("confidence"),
     )
     if warnings is None:
@@ -356,6 +356,6 @@ def blocks_to_pages(blocks: DataFrame) -> DataFrame:
     """Chunker page text from the body blocks of each page."""
     body = blocks.where(F.col("block_type").isin(*V.BODY_BLOCK_TYPES) & (F.col("text") != ""))
     grouped = body.groupBy(*PAGE).agg(
-        F.array_sort(F.collect_list(F.struct("reading_order", "text"))).alias("__texts")
+        F.sort_array(F.collect_list(F.struct("reading_order", "text"))).alias("__texts")
     )
     return grouped.select(*PAGE, F.array_join(F.transform("__texts", lambda r: r["text"]), "\n\n").alias("text"))

@@ -138,7 +138,7 @@ def word_windows(
         .select("*", "__p.*")
     )
     gathered = cut.groupBy(*keys, "fragment").agg(
-        F.array_sort(F.collect_list(F.struct(*order, "piece"))).alias("__pieces"),
+        F.sort_array(F.collect_list(F.struct(*order, "piece"))).alias("__pieces"),
         F.bool_or("__whole").alias("__whole"),
         F.min("page_number").alias("page_start"),
         F.max("page_number").alias("page_end"),

@@ -126,7 +126,7 @@ def fit_mixtures(vectors_of: DataFrame, keys: Sequence[str], rounds: int = ROUND
     seed = F.floor((at + 1) * spread / n) > F.floor(at * spread / n)
     marked = placed.select(*keys, "id", "ord", "embedding", k.cast("int").alias("k"), n.cast("bigint").alias("n"), F.floor(at / block_rows).alias("block"), seed.alias("seed"))
     row = F.struct("ord", "id", F.col("embedding").cast("array<double>").alias("v"), "seed")
-    packed = marked.groupBy(*keys, "k", "n", "block").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    packed = marked.groupBy(*keys, "k", "n", "block").agg(F.sort_array(F.collect_list(row)).alias("r"))
     fields = {"ids": "id", "ords": "ord", "vectors": "v", "seeds": "seed"}
     blocks = cut_lineage(packed.select(*keys, "k", "n", "block", *(F.col(f"r.{f}").alias(name) for name, f in fields.items())))
 
@@ -183,7 +183,7 @@ def _first_states(blocks: DataFrame, keys: list[str], key_schema: str) -> DataFr
     parts = blocks.mapInPandas(moments, f"{key_schema}, k int, n bigint, block bigint, sums array<double>, seeds array<double>")
     total = parts.groupBy(*keys, "k", "n").agg(
         vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "seeds"))), lambda b: b["seeds"])).alias("seeds"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "seeds"))), lambda b: b["seeds"])).alias("seeds"),
     )
     return total.mapInPandas(start, f"{key_schema}, k int, n bigint, state array<double>")
 

@@ -24,7 +24,7 @@ def group_words_into_lines(words: DataFrame, tolerance: float = V.LINE_TOLERANCE
     running state is only the list of line starts.
     """
     placed = words.groupBy(*PAGE).agg(
-        F.array_sort(F.collect_list(F.struct("top", "x0", "x1", "bottom", "text"))).alias("ws")
+        F.sort_array(F.collect_list(F.struct("top", "x0", "x1", "bottom", "text"))).alias("ws")
     ).withColumn("tops", F.transform("ws", lambda w: w["top"]))
 
     def middle(start: Column, size: Column) -> Column:
@@ -46,7 +46,7 @@ def group_words_into_lines(words: DataFrame, tolerance: float = V.LINE_TOLERANCE
     def each(name: str) -> Column:
         return F.transform("ws", lambda w: w[name])
 
-    by_x = F.array_sort(F.transform("ws", lambda w: F.struct(w["x0"], w["top"], w["text"])))
+    by_x = F.sort_array(F.transform("ws", lambda w: F.struct(w["x0"], w["top"], w["text"])))
     joined = F.array_join(F.transform(by_x, lambda w: w["text"]), " ")
     return lines.select(
         *PAGE,
@@ -223,7 +223,7 @@ def assemble_paragraphs(lines: DataFrame, tables: DataFrame, order: tuple[str, .
     )
     items = islands.groupBy(*PAGE, "reading_order").agg(
         F.first("label").alias("label"),
-        F.array_sort(F.collect_list(F.struct("event_no", "text"))).alias("__lines"),
+        F.sort_array(F.collect_list(F.struct("event_no", "text"))).alias("__lines"),
         F.max(F.when(F.col("label") == "SECTION_HEADER", F.col("__level"))).alias("section_level"),
         *geometry.merge_bboxes(),
     )
@@ -245,14 +245,14 @@ def component_counts(items: DataFrame) -> DataFrame:
     """Label counts of each page as a map."""
     counts = items.groupBy(*PAGE, "label").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(*PAGE).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("component_counts")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("component_counts")
     )
 
 
 def page_text(items: DataFrame) -> DataFrame:
     """Body texts of a page in reading order, separated by blank lines."""
     texts = body_items(items).where(F.col("text") != "").groupBy(*PAGE).agg(
-        F.array_sort(F.collect_list(F.struct("reading_order", "text"))).alias("__texts")
+        F.sort_array(F.collect_list(F.struct("reading_order", "text"))).alias("__texts")
     )
     return texts.select(*PAGE, text.strip(F.array_join(F.transform("__texts", lambda r: r["text"]), "\n\n")).alias("text"))
 

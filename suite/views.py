@@ -99,7 +99,7 @@ class Views:
         return self.raw_lines.groupBy("document_id", "page_number").agg(
             F.array_join(
                 F.transform(
-                    F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"]
+                    F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"]
                 ),
                 "\n",
             ).alias("text")
@@ -139,7 +139,7 @@ class Views:
         )
         return rows.groupBy("document_id", "page_number").agg(
             F.lit(0).alias("table_index"),
-            F.transform(F.array_sort(F.collect_list("r")), lambda r: r["cells"]).alias("rows"),
+            F.transform(F.sort_array(F.collect_list("r")), lambda r: r["cells"]).alias("rows"),
             F.lit(60.0).alias("x0"),
             F.lit(270.0).alias("top"),
             F.lit(560.0).alias("x1"),

@@ -81,6 +81,13 @@ def test_project_pages_reads_the_items_once(spark, tmp_path):
     assert plan(pages).count("Relation [") == 1
 
 
+def test_words_into_lines_sorts_without_a_lambda(spark):
+    words = spark.createDataFrame([("d", 1, "b", 5.0, 6.0, 1.0, 2.0), ("d", 1, "a", 1.0, 2.0, 2.0, 3.0), ("d", 1, "c", 1.0, 2.0, 30.0, 31.0)], f"{PAGE}, text string, x0 double, x1 double, top double, bottom double")
+    lines = layout.group_words_into_lines(words)
+    assert sorted((r["line_no"], r["text"]) for r in lines.collect()) == [(0, "a b"), (1, "c")]
+    assert "array_sort" not in plan(lines)
+
+
 @pytest.mark.parametrize("text, hits", [("the", 1), ("bathe the", 1), ("bathe them", 0), ("éthe", 0), ("theé", 0), ("(the)", 1), ("the_", 0), ("", 0), ("THE end", 1)])
 def test_party_words_are_whole_words(spark, text, hits):
     rule = ("P", ("the",), "", ("nothing",))
