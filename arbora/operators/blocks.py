@@ -26,10 +26,9 @@ def page_profile(
     def per_page(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*PAGE).agg(F.count(F.lit(1)).alias(name))
 
-    columns = words.groupBy(*PAGE).agg(
-        F.count(F.lit(1)).alias("word_count"),
-        F.countDistinct(F.bround(F.col("x0") / V.COLUMN_WIDTH)).alias("n_columns"),
-    )
+    # words are counted per column first: both sums combine map side, and no word is shuffled
+    places = words.groupBy(*PAGE, F.bround(F.col("x0") / V.COLUMN_WIDTH).alias("__column")).agg(F.count(F.lit(1)).alias("n"))
+    columns = places.groupBy(*PAGE).agg(F.sum("n").alias("word_count"), F.count("__column").alias("n_columns"))
     joined = pages.select(*PAGE).distinct().join(columns, PAGE, "left")
     for df, name in ((chars, "n_chars"), (images, "n_images"), (tables, "n_tables")):
         joined = joined.join(per_page(df, name), PAGE, "left")
@@ -105,10 +104,9 @@ def line_blocks(lines: DataFrame, order: str = "line_no") -> DataFrame:
 
 
 def table_blocks(tables: DataFrame, lines: DataFrame) -> DataFrame:
-    """Table rows follow the page's lines in reading order."""
+    """Table rows follow the page's lines in reading order. Lines of other pages do not matter."""
     counts = lines.groupBy(*PAGE).agg(F.count(F.lit(1)).cast("int").alias("__lines"))
-    rendered = tables.withColumn("text", layout.render_table(F.col("rows"))).where(F.col("text") != "")
-    return rendered.join(counts, PAGE, "left").select(
+    return layout.rendered_tables(tables).join(counts, PAGE, "left").select(
         *PAGE,
         "text",
         geometry.box(F.col("x0"), F.col("top"), F.col("x1"), F.col("bottom")).alias("bbox"),
@@ -173,15 +171,15 @@ def extract_pages(
     kept = layout.lines_outside_tables(page_lines, page_tables) if dedupe_tables else page_lines
     blocks = (
         line_blocks(kept, line_order)
-        .unionByName(table_blocks(page_tables, page_lines))
+        .unionByName(table_blocks(page_tables, lines))
         .unionByName(ocr_blocks(whole.where(F.col("method") == V.METHOD_OCR)))
     )
     if failed is None:
         return blocks
     some = failed.select("document_id").distinct()
-    items = layout.assemble_paragraphs(
-        lines.join(some, "document_id", "left_semi"), tables.join(some, "document_id", "left_semi"), (line_order,)
-    )
+    # the lines of failed documents are read several times: written once
+    own_lines, own_tables = (cut_lineage(df.join(some, "document_id", "left_semi")) for df in (lines, tables))
+    items = layout.assemble_paragraphs(own_lines, own_tables, (line_order,))
     return blocks.unionByName(item_blocks(items))
 
 

@@ -100,6 +100,12 @@ def render_table(rows: Column) -> Column:
     return text.strip(F.array_join(F.transform(kept, lambda r: F.array_join(r, " | ")), "\n"))
 
 
+def rendered_tables(tables: DataFrame) -> DataFrame:
+    """Tables with their ``text``, those without any dropped. Exploded, since a plain filter would render each table twice."""
+    shown = F.filter(F.array(render_table(F.col("rows"))), lambda t: t != "")
+    return tables.select(*(c for c in tables.columns if c != "text"), F.explode(shown).alias("text"))
+
+
 def table_cells(tables: DataFrame) -> DataFrame:
     """One row per non-empty cell with its grid position."""
     rows = tables.select(*PAGE, "table_index", F.posexplode("rows").alias("row_start", "row"))
@@ -133,7 +139,7 @@ def lines_outside_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
 
 def order_page_events(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """Tables and lines of a page in one order by (top, x0); tables first on ties."""
-    kinds = tables.withColumns({"event": F.lit("table"), "text": render_table(F.col("rows"))}).where(F.col("text") != "")
+    kinds = rendered_tables(tables).withColumn("event", F.lit("table"))
     events = lines.withColumn("event", F.lit("line")).unionByName(
         kinds.select(*PAGE, "table_index", "event", "text", *BOX), allowMissingColumns=True
     )
@@ -166,15 +172,14 @@ def repeated_furniture_keys(lines: DataFrame) -> DataFrame:
 def classify_furniture(lines: DataFrame, keys: DataFrame) -> DataFrame:
     """``furniture``: PAGE_HEADER or PAGE_FOOTER for repeated edge lines and page numbers."""
     zone = geometry.line_zone(F.col("top"), F.col("bottom"), F.col("height"))
-    # Lines outside the zones never match; their page spreads them over the join.
-    key = F.when(zone.isNotNull(), text.furniture_key(F.col("text"))).otherwise(
-        F.concat(F.lit("|"), F.col("page_number").cast("string"))
-    )
-    zoned = lines.withColumns({"__zone": zone, "furniture_key": key})
-    known = keys.select("document_id", "furniture_key", F.lit(True).alias("__repeated"))
-    matched = zoned.join(known, ["document_id", "furniture_key"], "left")
-    hit = F.col("__repeated").isNotNull() | text.is_page_number(F.col("text"))
-    return matched.withColumn("furniture", F.when(hit, F.col("__zone"))).drop("__zone", "__repeated", "furniture_key")
+    key = text.furniture_key(F.col("text"))
+    # the repeated keys of a page come to its lines, so that the lines stay dealt by page
+    edge = lines.where(zone.isNotNull()).select(*PAGE, key.alias("furniture_key")).distinct()
+    known = edge.join(keys.select("document_id", "furniture_key"), ["document_id", "furniture_key"])
+    matched = lines.join(known.groupBy(*PAGE).agg(F.collect_set("furniture_key").alias("__repeated")), PAGE, "left")
+    repeated = F.when(zone.isNotNull() & F.col("__repeated").isNotNull(), F.array_contains("__repeated", key))
+    hit = F.coalesce(repeated, F.lit(False)) | text.is_page_number(F.col("text"))
+    return matched.withColumn("furniture", F.when(hit, zone)).drop("__repeated")
 
 
 # --- paragraphs ---------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from arbora.functions import fixed_values as FV
 from arbora.operators import blocks as B
 from arbora.operators import layout as Y
 from arbora.operators import validation as VAL
+from arbora.session import cut_lineage
 from suite import sql_exprs as S
 from suite.registry import query
 from suite.sql_views import view
@@ -88,7 +89,7 @@ view(
 
 @query("F34_classify_furniture", f"SELECT {PAGE}, line_index, furniture FROM v_classified")
 def f34(v):
-    lines = marked_lines(v)
+    lines = marked_lines(v.with_stored_lines())
     return Y.classify_furniture(lines, Y.repeated_furniture_keys(lines)).select(*LINE, "furniture")
 
 
@@ -157,6 +158,7 @@ def f41(v):
 
 
 def items_of(v):
+    v = v.with_stored_lines()
     lines = marked_lines(v).withColumnRenamed("line_index", "line_no")
     return Y.assemble_paragraphs(lines, v.tables)
 
@@ -301,8 +303,14 @@ view(
 BLOCK = "document_id, page_number, text, btop AS top, source, block_type, font_size, is_bold, confidence, reading_order"
 
 
+def routed_of(v):
+    """Routed pages, written once: extraction reads them for lines, tables and OCR pages."""
+    return cut_lineage(B.route_page(profile_of(v)))
+
+
 def raw_blocks(v):
-    routed = B.route_page(profile_of(v))
+    v = v.with_stored_lines()
+    routed = routed_of(v)
     return B.extract_pages(routed, marked_lines(v), v.tables, line_order="line_index")
 
 
@@ -332,7 +340,8 @@ def c23w(v):
           CAST(NULL AS DOUBLE) AS font_size, FALSE AS is_bold, CAST(0.85 AS DOUBLE) AS confidence, reading_order FROM v_items""",
 )
 def c23f(v):
-    routed = B.route_page(profile_of(v))
+    v = v.with_stored_lines()
+    routed = routed_of(v)
     failed = routed.select("document_id").distinct()
     return flat(B.extract_pages(routed, marked_lines(v), v.tables, line_order="line_index", failed=failed))
 
@@ -386,7 +395,7 @@ view(
 
 @query("J3_remove_repeated_furniture", f"SELECT {BLOCK} FROM v_kept_blocks")
 def j3(v):
-    return flat(B.remove_repeated_furniture(raw_blocks(v)))
+    return flat(B.remove_repeated_furniture(cut_lineage(raw_blocks(v))))
 
 
 view(
@@ -395,9 +404,14 @@ view(
 )
 
 
+def ordered_blocks(v):
+    """Extracted once and rid of furniture once: furniture and order each read their rows twice."""
+    return B.resolve_reading_order(cut_lineage(B.remove_repeated_furniture(cut_lineage(raw_blocks(v)))))
+
+
 @query("W4_resolve_reading_order", f"SELECT {BLOCK} FROM v_ordered")
 def w4(v):
-    return flat(B.resolve_reading_order(B.remove_repeated_furniture(raw_blocks(v))))
+    return flat(ordered_blocks(v))
 
 
 view(
@@ -408,7 +422,7 @@ view(
 
 @query("G5_document_body_font", "SELECT * FROM v_body_font")
 def g5(v):
-    return B.document_body_font(B.remove_repeated_furniture(raw_blocks(v)))
+    return B.document_body_font(B.remove_repeated_furniture(cut_lineage(raw_blocks(v))))
 
 
 view(
@@ -431,7 +445,7 @@ def c20(v):
 
 @query("W15_assign_table_ids", "SELECT document_id, reading_order, 'table-' || page_number || '-' || reading_order AS table_id FROM v_ordered WHERE block_type = 'table'")
 def w15(v):
-    ordered = B.resolve_reading_order(B.remove_repeated_furniture(raw_blocks(v)))
+    ordered = ordered_blocks(v)
     return B.assign_table_ids(ordered).where("table_id IS NOT NULL").select("document_id", "reading_order", "table_id")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions import text as X
 from arbora.functions.parties import simple_rules
+from arbora.session import cut_lineage
 from suite.sql_views import view
 
 FIXTURE_RULES = simple_rules(
@@ -62,6 +63,21 @@ class Views:
 
     # --- layout -----------------------------------------------------------------
 
+    @cached_property
+    def line_pages(self) -> DataFrame:
+        """The pages of ``raw_lines``, from the number of lines of each document."""
+        counts = self.documents.where(F.col("text").isNotNull()).select(
+            F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"), F.size(F.split("text", "\n")).alias("n")
+        )
+        longest = counts.groupBy("document_id").agg(F.max("n").alias("n"))
+        return longest.select("document_id", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / 10).cast("int"))).alias("page_number"))
+
+    def with_stored_lines(self) -> Views:
+        """The same views over lines that are derived and written once."""
+        stored = Views(self.spark, self.sf_dir)
+        stored.lines = cut_lineage(self.lines)
+        return stored
+
     @cached_property
     def lines(self) -> DataFrame:
         """Layout lines with geometry, plus one running header per page."""
@@ -79,7 +95,7 @@ class Views:
             F.when(F.col("n") <= 4, 14.0).otherwise(10.0).alias("font_size"),
             (F.col("n") <= 4).alias("bold"),
         )
-        header = self.raw_lines.select("document_id", "page_number").distinct().select(
+        header = self.line_pages.select(
             "document_id",
             "page_number",
             F.lit(0).alias("line_index"),
