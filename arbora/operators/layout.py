@@ -67,18 +67,23 @@ def gap_before(lines: DataFrame, order: tuple[str, ...] = ("line_no",)) -> DataF
 
 
 def line_font_features(lines: DataFrame, chars: DataFrame, line_key: str = "line_no") -> DataFrame:
-    """Median size and boldness of the glyphs under each line."""
+    """Median size and boldness of the glyphs under each line.
+
+    Glyphs are streamed past the boxes of their page's lines, which are hashed, and are never sorted. Sizes are counted
+    per line before the median, which then sees a row per distinct size.
+    """
+    heavy = F.lower(F.coalesce("fontname", F.lit(""))).rlike(V.BOLD_FONT)
     line_box = tuple(F.col(f"l.{n}") for n in BOX)
     char_box = tuple(F.col(f"c.{n}") for n in BOX)
     same_page = (F.col("l.document_id") == F.col("c.document_id")) & (F.col("l.page_number") == F.col("c.page_number"))
     touched = (
-        lines.select(*PAGE, line_key, *BOX).alias("l")
-        .join(chars.select(*PAGE, *BOX, "size", "fontname").alias("c"), same_page & geometry.boxes_overlap(line_box, char_box))
-        .select(*[F.col(f"l.{k}").alias(k) for k in (*PAGE, line_key)], "c.size", "c.fontname")
+        chars.select(*PAGE, *BOX, "size", heavy.alias("heavy")).alias("c")
+        .join(lines.select(*PAGE, line_key, *BOX).hint("shuffle_hash").alias("l"), same_page & geometry.boxes_overlap(line_box, char_box))
+        .select(*[F.col(f"l.{k}").alias(k) for k in (*PAGE, line_key)], "c.size", "c.heavy")
     )
-    features = touched.groupBy(*PAGE, line_key).agg(
-        F.median("size").alias("font_size"),
-        F.bool_or(F.lower(F.coalesce("fontname", F.lit(""))).rlike(V.BOLD_FONT)).alias("bold"),
+    sizes = touched.groupBy(*PAGE, line_key, "size").agg(F.count(F.lit(1)).alias("n"), F.max("heavy").alias("heavy"))
+    features = sizes.groupBy(*PAGE, line_key).agg(
+        F.percentile("size", F.lit(0.5), F.col("n")).alias("font_size"), F.max("heavy").alias("bold")
     )
     kept = [c for c in lines.columns if c not in ("font_size", "bold")]
     return lines.select(*kept).join(features, [*PAGE, line_key], "left").withColumn(
