@@ -5,8 +5,11 @@ concatenation. That makes encoding a rational relation: a nondeterministic trans
 tokens and, where a token ends, may emit it if it goes with the token before. ``Transducer`` determinises it while
 texts are read: a state is the set of readings that are still open, and the token that ends at each byte is noted. A note
 is final once the open readings agree on it, a few longest tokens later: at the end of a piece, and every ``BLOCK`` bytes
-of a longer one, what they agree on is emitted and its notes are let go. Transitions are kept, and a piece seen before is
-looked up whole; both tables are emptied when full, which costs time and changes nothing.
+of a longer one, what they agree on is emitted and its notes are let go. Transitions are kept in a table.
+
+Texts are taken in blocks of some ``TEXT_BYTES``. The pieces of a block are cut and told apart all at once; those
+not seen before go through the transducer side by side, a byte each at a time, and are kept with their tokens. Kept states are
+dropped when there are too many, and so is the half of the kept pieces that was not met for longest: that costs time and changes nothing.
 
 Tasks read the rank file from its path parameter (a small public file that every machine holds). Null texts count as
 empty: no tokens, empty decoding. An empty table gives no rows. Very long texts and pieces take time in proportion to their length. Repeated rows are encoded alike;
@@ -16,9 +19,9 @@ other columns stay, and ones named ``ids`` or ``decoded`` are replaced.
 from __future__ import annotations
 
 import base64
-import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +29,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from arbora.llm.common import release_memory, unused
+from arbora.llm.common import by_bytes, mixed, release_memory, unused
 
 #: States and pieces of an encoder that ends with its task, and of one that a worker keeps over tasks.
 MOST_STATES, MOST_PIECES = 40_000, 150_000
-KEPT_STATES, KEPT_PIECES = 120_000, 400_000
+KEPT_STATES, KEPT_PIECES = 120_000, 200_000
 #: Bytes of a piece between two emissions.
 BLOCK = 4_096
+#: Bytes (of one text: characters) that are cut into pieces at once.
+TEXT_BYTES = 1 << 21
+#: Bytes of pieces that are read side by side: at most so many states are made before they are counted again.
+SIDE_BYTES = 1 << 16
+#: Pieces of more bytes are not kept.
+KEPT_BYTES = 39
+#: Pieces of more bytes are read alone.
+LONG = 1_024
 ROWS_AT_ONCE = 64
 #: Later than every rank.
 LAST = 1 << 40
@@ -46,6 +57,64 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
+class Numbers:
+    """Numbers by key, from 0 on: an open hash table in two arrays, asked for many keys at once."""
+
+    MIX = 0x1E3779B97F4A7C15
+
+    def __init__(self, places: int = 1 << 12):
+        self.size, self.keys, self.numbers = 0, np.full(places, -1, np.int64), np.empty(places, np.int32)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the keys, -1 for unknown ones."""
+        most = len(self.keys) - 1
+        at = keys * self.MIX >> 32 & most
+        held = self.keys[at]
+        found = np.where(held == keys, self.numbers[at], np.int32(-1))
+        others = np.flatnonzero((held != keys) & (held >= 0))
+        while len(others):
+            at[others] = after = (at[others] + 1) & most
+            held = self.keys[after]
+            same = held == keys[others]
+            found[others[same]] = self.numbers[after[same]]
+            others = others[~same & (held >= 0)]
+        return found
+
+    def get_one(self, key: int) -> int:
+        most = len(self.keys) - 1
+        at = key * self.MIX >> 32 & most
+        while (held := self.keys.item(at)) >= 0:
+            if held == key:
+                return self.numbers.item(at)
+            at = (at + 1) & most
+        return -1
+
+    def put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Of new keys; of equal ones, one stays."""
+        while 5 * (self.size + len(keys)) > 2 * len(self.keys):
+            held = self.keys >= 0
+            old = self.keys[held], self.numbers[held]
+            self.__init__(2 * len(self.keys))
+            self.put(*old)
+        self.size, most = self.size + len(keys), len(self.keys) - 1
+        at = keys * self.MIX >> 32 & most
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            here = self.keys[at] == keys
+            self.numbers[at[here]] = numbers[here]
+            keys, numbers, at = keys[~here], numbers[~here], (at[~here] + 1) & most
+
+    def put_one(self, key: int, number: int) -> None:
+        if 5 * self.size >= 2 * len(self.keys):
+            return self.put(np.array([key]), np.array([number], np.int32))
+        self.size, most = self.size + 1, len(self.keys) - 1
+        at = key * self.MIX >> 32 & most
+        while self.keys.item(at) >= 0:
+            at = (at + 1) & most
+        self.keys[at], self.numbers[at] = key, number
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
         self.ranks, self.most_states = ranks, most_states
@@ -70,6 +139,8 @@ class Transducer:
                 if len(self.below[node]) <= FEW:
                     self.below[node].append(rank)
         self.length = {rank: len(piece) for piece, rank in ranks.items()}
+        self.lengths = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        self.lengths[list(self.length)] = list(self.length.values())
         self.edges: dict[int, dict[int, list[tuple[bytes, int]]]] = {0: {}, -1: {}}
         self.clear()
 
@@ -77,8 +148,8 @@ class Transducer:
         """Forget determinised states; the start has one reading, at the trie's root."""
         self.number: dict[tuple, int] = {}
         self.readings: list[tuple] = []
-        self.moves: list[dict[int, int]] = []
-        self.ended: list[int] = []  # the token that ends where the state is, if any does
+        self.moves = Numbers()  # the state after a state and a byte (256 * state + byte)
+        self.ended = np.full(256, -1, np.int32)  # the token that ends where the state is, if any does
         self.state(((0, -1),), -1)
 
     def state(self, readings: tuple, ended: int) -> int:
@@ -86,9 +157,10 @@ class Transducer:
         found = self.number.get(key)
         if found is None:
             found = self.number[key] = len(self.readings)
+            if found == len(self.ended):
+                self.ended = np.append(self.ended, np.full(found, -1, np.int32))
             self.readings.append(readings)
-            self.moves.append({})
-            self.ended.append(ended)
+            self.ended[found] = ended
         return found
 
     def parts(self, piece: bytes) -> list[bytes]:
@@ -162,7 +234,8 @@ class Transducer:
                     after.append((node, last))
         if ended >= 0:
             after.append((0, ended))
-        found = self.moves[state][byte] = self.state(tuple(after), ended)
+        found = self.state(tuple(after), ended)
+        self.moves.put_one(state << 8 | byte, found)
         return found
 
     def settled(self, state: int, ended: list[int]) -> int:
@@ -187,7 +260,7 @@ class Transducer:
         """Read forward, noting the token that ends at each byte; notes that are final are emitted."""
         if len(self.readings) > self.most_states:
             self.clear()
-        state, moves, ends = 0, self.moves, self.ended
+        state = 0
         out: list[int] = []
         ended: list[int] = []
         for start in range(0, len(piece), BLOCK):
@@ -195,51 +268,225 @@ class Transducer:
                 final = self.settled(state, ended)
                 out += self.before(ended, final)
                 del ended[:final]
-                if len(moves) > self.most_states:
-                    readings, last = self.readings[state], ends[state]
+                if len(self.readings) > self.most_states:
+                    readings, last = self.readings[state], self.ended.item(state)
                     self.clear()
-                    state, moves, ends = self.state(readings, last), self.moves, self.ended
+                    state = self.state(readings, last)
             for byte in piece[start : start + BLOCK]:
-                after = moves[state].get(byte)
-                state = self.move(state, byte) if after is None else after
-                ended.append(ends[state])
+                after = self.moves.get_one(state << 8 | byte)
+                state = self.move(state, byte) if after < 0 else after
+                ended.append(self.ended.item(state))
         return out + self.before(ended, len(ended))
 
+    def step(self, states: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
+        """The states after a byte each; unknown transitions are determinised once."""
+        keys = states.astype(np.int64) << 8 | bytes_
+        after = self.moves.get(keys)
+        if after.min() < 0:
+            unknown = after < 0
+            for key in np.unique(keys[unknown]).tolist():
+                self.move(key >> 8, key & 255)
+            after[unknown] = self.moves.get(keys[unknown])
+        return after
+
+    def encode_many(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of at least a byte, read side by side: the tokens of all, and how many each has."""
+        if len(self.readings) > self.most_states:
+            self.clear()
+        order = np.argsort(-length, kind="stable")  # those that have ended are behind the others
+        first, at = start[order], length[order]
+        longer = np.searchsorted(-at, -np.arange(at[0])).tolist()
+        states, ended = np.zeros(len(order), np.int32), np.empty((len(longer), len(order)), np.int32)
+        for place, n in enumerate(longer):
+            states = self.step(states[:n], data[first[:n] + place])
+            ended[place, :n] = self.ended[states]
+        found, count, open_ = [], np.zeros(len(order), np.int64), np.arange(len(order))
+        while len(open_):  # back from the ends, a token each at a time
+            tokens = ended[at[open_] - 1, open_]
+            if tokens.min() < 0:
+                raise KeyError("a byte that no token has")
+            found.append((open_, tokens))
+            count[open_] += 1
+            at[open_] -= self.lengths[tokens]
+            open_ = open_[at[open_] > 0]
+        counts = np.empty_like(count)
+        counts[order] = count
+        last, out = np.cumsum(counts)[order] - 1, np.empty(count.sum(), np.int32)
+        for back, (pieces, tokens) in enumerate(found):
+            out[last[pieces] - back] = tokens
+        return out, counts
+
+
+LETTER, NUMBER, SPACE, OTHER = range(4)
+
+
+@cache
+def character_kinds() -> np.ndarray:
+    """The kind of each code point, as the pattern module has it."""
+    kinds = np.full(0x110000, OTHER, np.uint8)
+    characters = np.arange(0x110000, dtype="<u4")
+    characters[0xD800:0xE000] = ord("?")  # surrogates are none
+    text = characters.tobytes().decode("utf-32-le")
+    for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for run in regex.finditer(name, text):
+            kinds[run.start() : run.end()] = kind
+    return kinds
+
 
 class Splitter:
-    """The matches of a pattern in a text; a plainer equal pattern serves texts of ASCII and Latin-1 letters only."""
+    """The matches of a pattern in texts, in order: their UTF-8 bytes, and how many precede each text and the end.
+
+    For the pattern that most byte-level vocabularies use, a block of texts is cut at once by the kinds of its
+    characters; other patterns are matched text by text.
+    """
 
-    PLAIN = r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+"
-    PLAIN_TEXT = r"[\t-\r\x20-\x7EÀ-ÖØ-öø-ÿ]*"
     GENERAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, pattern: str):
-        self.general = regex.compile(pattern).findall
-        self.plain = re.compile(self.PLAIN).findall if pattern == self.GENERAL else self.general
-        self.is_plain = re.compile(self.PLAIN_TEXT).fullmatch
+        self.matches = regex.compile(pattern).findall
+        self.kinds = character_kinds() if pattern == self.GENERAL else None
+        self.gap = regex.compile(r"(?<=\S)\s")
+
+    def __call__(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        if self.kinds is None:
+            found = [[m for m in self.matches(text) if m] for text in texts]
+            return pa.array([m.encode("utf-8", "replace") for f in found for m in f], pa.binary()), np.cumsum([0, *map(len, found)])
+        text = "".join(texts)
+        data = text.encode("utf-8", "replace")
+        begins, where = self.begins(np.frombuffer(text.encode("utf-32-le", "replace"), "<u4"), np.cumsum([0, *map(len, texts)]))
+        if len(data) > len(text):
+            begins = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[begins]
+        offsets = np.append(begins, len(data)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), where
+
+    def begins(self, points: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where matches begin in texts that follow each other, and how many do before each edge of a text."""
+        n, kind = len(points), self.kinds[points]
+        edge = np.zeros(n + 3, bool)
+        edge[edges] = True
+        begin = edge.copy()
+        begin[1:n] |= kind[1:] != kind[:-1]
+        space = kind == SPACE
+        last = np.flatnonzero(space[:-1] & ~space[1:] & ~edge[1:n])  # white space before another character: a match
+        begin[last] = True
+        begin[last[points[last] == 0x20] + 1] = False  # or, if it is a blank, with what follows
+        quote = np.flatnonzero(points == ord("'"))
+        quote = quote[begin[quote] & ~edge[quote + 1]]
+        after = np.append(points, np.zeros(2, points.dtype))
+        one, two = after[quote + 1], after[quote + 2]
+        short = (one == ord("s")) | (one == ord("t")) | (one == ord("m")) | (one == ord("d"))
+        long = (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))) & ~edge[quote + 2]
+        begin[quote[short | long] + 1] = False
+        begin[quote[short] + 2] = True
+        begin[quote[long] + 3] = True
+        found = np.flatnonzero(begin[:n])
+        return found, np.searchsorted(found, edges)
+
+    def stretches(self, text: str) -> Iterator[str]:
+        """A long text in stretches, each from white space that follows another character: no match goes over that."""
+        at = 0
+        while self.kinds is not None and len(text) - at > 2 * TEXT_BYTES:
+            gap = self.gap.search(text, at + TEXT_BYTES)
+            if gap is None:
+                break
+            yield text[at : gap.start()]
+            at = gap.start()
+        yield text[at:]
 
-    def __call__(self, text: str) -> list[str]:
-        return self.plain(text) if self.is_plain(text) else self.general(text)
 
+def runs(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``begin`` and hold ``count`` places, one run after the other."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + count, count)
 
-class Pieces(dict):
-    """Token ids of pieces, as 32-bit integers in bytes; made when first asked for, in two generations."""
 
-    def __init__(self, transducer: Transducer, most: int):
-        self.transducer, self.most, self.older = transducer, most // 2, {}
+class Pieces:
+    """Token ids of pieces; each short piece met is kept with its tokens and the turn in which it was met last."""
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece)
-        if found is None:
-            found = array("i", self.transducer.encode(piece.encode("utf-8", "replace"))).tobytes()
-        if len(piece) <= 40:
-            self[piece] = found
+    WORDS = KEPT_BYTES // 8 + 1
+    FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+    def __init__(self, transducer: Transducer, most: int):
+        self.transducer, self.most, self.turn, self.number = transducer, most, 0, Numbers()
+        self.tokens, self.begin, self.count, self.met = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))
+        self.words = np.zeros((0, self.WORDS), np.uint64)
+
+    def spelled(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Short pieces as numbers of eight bytes each; the last byte is the length, so that different pieces differ."""
+        eights = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+        out = np.zeros((len(start), self.WORDS), np.uint64)
+        for word in range(self.WORDS):
+            left = length - 8 * word
+            has = np.flatnonzero(left > 0)
+            out[has, word] = eights[start[has] + 8 * word] & self.FIRST[np.minimum(left[has], 8)]
+        out[:, -1] |= length.astype(np.uint64) << np.uint64(56)
+        return out
+
+    def keys(self, words: np.ndarray) -> np.ndarray:
+        return (mixed(*words.T) >> np.uint64(1)).astype(np.int64)
+
+    def __call__(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all pieces, and how many each has."""
+        coded = pieces.dictionary_encode()
+        own, of = coded.dictionary, coded.indices.to_numpy()
+        if not len(own):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        offsets = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64)
+        data, start, length = np.frombuffer(own.buffers()[2], np.uint8), offsets[:-1], np.diff(offsets)
+        number, others = np.empty(len(own), np.int64), np.ones(len(own), bool)
+        short = np.flatnonzero(length <= KEPT_BYTES)
+        words = self.spelled(data, start[short], length[short])
+        keys = self.keys(words)
+        found = self.number.get(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = len(self.count) + np.arange(len(new))
+            self.number.put(keys[new], found[new])
+            self.keep(self.encoded(data, start, length, short[new]), words[new])
+        same = (self.words[found] == words).all(axis=1)  # not so where keys of two pieces are equal
+        self.turn += 1
+        self.met[found[same]] = self.turn
+        number[short], others[short[same]] = found, False
+        begin, count, tokens = self.begin, self.count, self.tokens
+        if others.any():  # they stand behind those kept for this time only
+            others = np.flatnonzero(others)
+            others = others[np.argsort(length[others] > LONG, kind="stable")]
+            parts = self.encoded(data, start, length, others)
+            counts = np.concatenate([counts for _, counts in parts])
+            number[others] = len(count) + np.arange(len(others))
+            begin, count = np.append(begin, len(tokens) + np.cumsum(counts) - counts), np.append(count, counts)
+            tokens = np.concatenate([tokens, *(ids for ids, _ in parts)])
+        number = number[of]
+        counts = count[number]
+        out = tokens[runs(begin[number], counts)]
+        self.age()
+        return out, counts
+
+    def encoded(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, pieces: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Tokens and their numbers of pieces, in groups of some ``SIDE_BYTES`` bytes; long ones, which come last, alone."""
+        many, alone = pieces[length[pieces] <= LONG], pieces[length[pieces] > LONG]
+        groups = np.split(many, np.flatnonzero(np.diff(np.cumsum(length[many]) // SIDE_BYTES)) + 1)
+        found = [self.transducer.encode_many(data, start[g], length[g]) for g in groups if len(g)]
+        for i in alone.tolist():
+            ids = self.transducer.encode(data[start[i] : start[i] + length[i]].tobytes())
+            found.append((np.array(ids, np.int32), np.array([len(ids)])))
         return found
 
+    def keep(self, parts: list[tuple[np.ndarray, np.ndarray]], words: np.ndarray) -> None:
+        self.tokens = np.concatenate([self.tokens, *(tokens for tokens, _ in parts)])
+        self.count = np.concatenate([self.count, *(count for _, count in parts)])
+        self.begin = np.cumsum(self.count) - self.count
+        self.met = np.append(self.met, np.zeros(len(words), np.int64))
+        self.words = np.concatenate([self.words, words])
+
     def age(self) -> None:
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
+        if len(self.count) > self.most:
+            kept = np.sort(np.argsort(-self.met, kind="stable")[: self.most // 2])
+            self.tokens = self.tokens[runs(self.begin[kept], self.count[kept])]
+            self.count, self.met, self.words = self.count[kept], self.met[kept], self.words[kept]
+            self.begin = np.cumsum(self.count) - self.count
+            self.number = Numbers()
+            self.number.put(self.keys(self.words), np.arange(len(kept), dtype=np.int32))
 
 
 class Encoder:
@@ -250,9 +497,16 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """The ids as 32-bit integers in bytes."""
-        ids = b"".join(map(self.pieces.__getitem__, self.split(text)))
-        self.pieces.age()
-        return ids
+        return self.many([text])[0].tobytes()
+
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after the other, and how many precede each text and the end."""
+        if len(texts) == 1 and len(texts[0]) > 2 * TEXT_BYTES:
+            ids = np.concatenate([self.pieces(self.split([part])[0])[0] for part in self.split.stretches(texts[0])])
+            return ids, np.array([0, len(ids)])
+        pieces, where = self.split(texts)
+        ids, counts = self.pieces(pieces)
+        return ids, np.append(0, np.cumsum(counts))[where]
 
 
 class Utf8Stream:
@@ -316,17 +570,25 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=names)
 
 
-def _mapped(documents: DataFrame, source: str, name: str, kind: T.DataType, column, keep: bool) -> DataFrame:
+def _by_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
+def _by_text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return by_bytes(batches, TEXT_BYTES)
+
+
+def _mapped(documents: DataFrame, source: str, name: str, kind: T.DataType, column: Callable[[pa.Array], pa.Array], keep: bool, parts=_by_rows) -> DataFrame:
     """Replace the last column of ``kept + source`` by ``column(values)``, a few rows at a time."""
     kept = [c for c in documents.columns if c.lower() != name.lower()]
     rows = documents.select(*kept, documents[source].alias(*unused(kept, "_source")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                    part = batch.slice(at, ROWS_AT_ONCE)
-                    yield _with(part, name, column(part.column(part.num_columns - 1)))
+            for part in parts(batches):
+                yield _with(part, name, column(part.column(part.num_columns - 1)))
         finally:
             if not keep:  # workers are used again by other steps
                 _MADE.clear()
@@ -335,33 +597,32 @@ def _mapped(documents: DataFrame, source: str, name: str, kind: T.DataType, colu
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(name, kind)]))
 
 
+def _ids(texts: pa.Array, path: str, pattern: str, keep: bool) -> tuple[np.ndarray, np.ndarray]:
+    limits = (KEPT_PIECES, KEPT_STATES) if keep else (MOST_PIECES, MOST_STATES)
+    return _made(Encoder, path, pattern, *limits).many([text or "" for text in texts.to_pylist()])
+
+
 def encode(documents: DataFrame, path: str, pattern: str, text: str = "text", keep: bool = False) -> DataFrame:
     """The documents with ``ids``, the tokens of their whole texts.
 
     ``keep``: workers hold the encoder for their later tasks, for jobs with no other heavy step.
     """
 
-    limits = (KEPT_PIECES, KEPT_STATES) if keep else (MOST_PIECES, MOST_STATES)
-
     def ids(texts: pa.Array) -> pa.Array:
-        encoder = _made(Encoder, path, pattern, *limits)
-        encoded = [encoder(value or "") for value in texts.to_pylist()]
-        ends = np.cumsum([0, *(len(x) // 4 for x in encoded)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
+        found, ends = _ids(texts, path, pattern, keep)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found))
 
-    return _mapped(documents, text, "ids", T.ArrayType(T.IntegerType()), ids, keep)
+    return _mapped(documents, text, "ids", T.ArrayType(T.IntegerType()), ids, keep, _by_text)
 
 
 def encode_packed(documents: DataFrame, path: str, pattern: str, text: str = "text", keep: bool = False) -> DataFrame:
     """The documents with ``ids``, the tokens of their whole texts as 32-bit integers in bytes."""
 
-    limits = (KEPT_PIECES, KEPT_STATES) if keep else (MOST_PIECES, MOST_STATES)
-
     def ids(texts: pa.Array) -> pa.Array:
-        encoder = _made(Encoder, path, pattern, *limits)
-        return pa.array([encoder(value or "") for value in texts.to_pylist()], pa.binary())
+        found, ends = _ids(texts, path, pattern, keep)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(found)])
 
-    return _mapped(documents, text, "ids", T.BinaryType(), ids, keep)
+    return _mapped(documents, text, "ids", T.BinaryType(), ids, keep, _by_text)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: bool = False) -> DataFrame:

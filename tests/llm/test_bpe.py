@@ -34,6 +34,58 @@ def test_encoder_on_random_texts(most_states):
         assert decode(np.array(found, np.int32)) == text
 
 
+def ids_of_block(encode, texts):
+    found, ends = encode.many(texts)
+    return [found[a:b].tolist() for a, b in zip(ends, ends[1:])]
+
+
+@pytest.mark.parametrize("most_pieces, most_states", [(20, 30), (100_000, 100_000)])
+def test_blocks_of_texts(most_pieces, most_states):
+    """No match goes from a text to the next, and pieces are as they are alone, whatever is kept of others."""
+    encode, rng = bpe.Encoder(RANKS, public_tokenizers.PATTERN, most_pieces, most_states), random.Random(5)
+    parts = ["'", "s", "'s", "'re", "'ll", "l", "'v", "e", "'S", " ", "  ", "\n", "\t ", "a", "word", "12", "²", "é", "漢字", "😀", "\0", "\u3000", "\x1f", "!", "?'", "m"]
+    for _ in range(150):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(rng.randrange(30))]
+        assert ids_of_block(encode, texts) == [OTHER.encode_ordinary(t) for t in texts]
+    long = ["".join(rng.choices("ethan漢", k=n)) for n in (*range(36, 44), *range(1_020, 1_030)) for _ in range(2)]
+    texts = ["a", "a\0", "\0", "\0" * 39, "\0" * 40, "", *long]
+    for block in (texts, texts[::-1], [" ".join(texts)] * 2):
+        assert ids_of_block(encode, block) == [OTHER.encode_ordinary(t) for t in block]
+
+
+def test_pieces_with_equal_keys(monkeypatch):
+    monkeypatch.setattr(bpe.Pieces, "keys", lambda self, words: (words[:, 0] & np.uint64(3)).astype(np.int64))
+    encode, texts = bpe.Encoder(RANKS, public_tokenizers.PATTERN), [f"word{i} x{i % 7} end" for i in range(200)]
+    for _ in range(3):
+        assert ids_of_block(encode, texts) == [OTHER.encode_ordinary(t) for t in texts]
+
+
+def test_a_long_text_is_cut_where_matches_begin(monkeypatch):
+    monkeypatch.setattr(bpe, "TEXT_BYTES", 20)
+    encode, rng = bpe.Encoder(RANKS, public_tokenizers.PATTERN), random.Random(6)
+    for n in range(200):
+        text = "".join(rng.choices("ab's  \n\t\u3000 é", k=rng.randrange(300)))
+        assert ids(encode(text)) == OTHER.encode_ordinary(text)
+        assert "".join(encode.split.stretches(text)) == text
+    assert max(map(len, encode.split.stretches("ab " * 500))) < 50
+
+
+def test_other_patterns():
+    encode = bpe.Encoder(RANKS, r"[a-z]*")
+    assert ids_of_block(encode, ["ab, cd", "", "!"]) == [OTHER.encode_ordinary("ab") + OTHER.encode_ordinary("cd"), [], []]
+
+
+def test_pieces_are_read_side_by_side(monkeypatch):
+    """A block takes as many steps as its longest piece has bytes, not as all have; nothing is read twice."""
+    encode, steps = bpe.Encoder(RANKS, public_tokenizers.PATTERN), []
+    step = bpe.Transducer.step
+    monkeypatch.setattr(bpe.Transducer, "step", lambda self, *given: steps.append(1) or step(self, *given))
+    texts = [f"qu{i} wor{chr(97 + i % 26)}d{chr(97 + i // 26)}" for i in range(600)]
+    assert ids_of_block(encode, texts) == [OTHER.encode_ordinary(t) for t in texts]
+    assert 0 < len(steps) <= 8
+    assert ids_of_block(encode, texts[::-1]) == [OTHER.encode_ordinary(t) for t in texts[::-1]] and len(steps) <= 8
+
+
 def test_long_pieces():
     encode = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
     for text in ("ab" * 20_000, "é" * 9_000, " " * 5_000):
