@@ -194,7 +194,8 @@ class Transducer:
         """
         if left < 0:
             return True
-        xs, ys, merge = self.edge(left, -1), self.edge(right, 0), self.ranks.get
+        xs, ys = self.edges[-1].get(left) or self.edge(left, -1), self.edges[0].get(right) or self.edge(right, 0)
+        merge = self.ranks.get
         (x, due_x), (y, due_y) = xs[0], ys[0]
         i = j = 0
         while True:
@@ -217,8 +218,11 @@ class Transducer:
             return None
         if last < 0 or len(below) > FEW:
             return last
-        fit = [self.goes_with(last, token) for token in below]
-        return -1 if all(fit) else last if any(fit) else None
+        fits = self.goes_with(last, below[0])
+        for token in below[1:]:
+            if self.goes_with(last, token) != fits:
+                return last
+        return -1 if fits else None
 
     def move(self, state: int, byte: int) -> int:
         """Determinise one transition."""
@@ -300,7 +304,7 @@ class Transducer:
         for place, n in enumerate(longer):
             states = self.step(states[:n], data[first[:n] + place])
             ended[place, :n] = self.ended[states]
-        found, count, open_ = [], np.zeros(len(order), np.int64), np.arange(len(order))
+        found, count, open_ = [], np.zeros(len(order), np.int32), np.arange(len(order))
         while len(open_):  # back from the ends, a token each at a time
             tokens = ended[at[open_] - 1, open_]
             if tokens.min() < 0:
@@ -394,10 +398,15 @@ class Splitter:
         yield text[at:]
 
 
+def begins(count: np.ndarray) -> np.ndarray:
+    """Where runs of so many places begin that follow each other."""
+    return np.cumsum(count, dtype=count.dtype) - count
+
+
 def runs(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The places of runs that begin at ``begin`` and hold ``count`` places, one run after the other."""
-    ends = np.cumsum(count)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + count, count)
+    ends = np.cumsum(count, dtype=count.dtype)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=count.dtype) + np.repeat(begin - ends + count, count)
 
 
 class Pieces:
@@ -408,7 +417,7 @@ class Pieces:
 
     def __init__(self, transducer: Transducer, most: int):
         self.transducer, self.most, self.turn, self.number = transducer, most, 0, Numbers()
-        self.tokens, self.begin, self.count, self.met = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))
+        self.tokens, self.begin, self.count, self.met = (np.zeros(0, np.int32) for _ in range(4))
         self.words = np.zeros((0, self.WORDS), np.uint64)
 
     def spelled(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -430,10 +439,10 @@ class Pieces:
         coded = pieces.dictionary_encode()
         own, of = coded.dictionary, coded.indices.to_numpy()
         if not len(own):
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
         offsets = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64)
         data, start, length = np.frombuffer(own.buffers()[2], np.uint8), offsets[:-1], np.diff(offsets)
-        number, others = np.empty(len(own), np.int64), np.ones(len(own), bool)
+        number, others = np.empty(len(own), np.int32), np.ones(len(own), bool)
         short = np.flatnonzero(length <= KEPT_BYTES)
         words = self.spelled(data, start[short], length[short])
         keys = self.keys(words)
@@ -454,11 +463,12 @@ class Pieces:
             parts = self.encoded(data, start, length, others)
             counts = np.concatenate([counts for _, counts in parts])
             number[others] = len(count) + np.arange(len(others))
-            begin, count = np.append(begin, len(tokens) + np.cumsum(counts) - counts), np.append(count, counts)
+            begin, count = np.append(begin, len(tokens) + begins(counts)), np.append(count, counts)
             tokens = np.concatenate([tokens, *(ids for ids, _ in parts)])
-        number = number[of]
-        counts = count[number]
-        out = tokens[runs(begin[number], counts)]
+        own_counts = count[number]
+        own_tokens = tokens[runs(begin[number], own_counts)]
+        counts = own_counts[of]
+        out = own_tokens[runs(begins(own_counts)[of], counts)]
         self.age()
         return out, counts
 
@@ -469,14 +479,14 @@ class Pieces:
         found = [self.transducer.encode_many(data, start[g], length[g]) for g in groups if len(g)]
         for i in alone.tolist():
             ids = self.transducer.encode(data[start[i] : start[i] + length[i]].tobytes())
-            found.append((np.array(ids, np.int32), np.array([len(ids)])))
+            found.append((np.array(ids, np.int32), np.array([len(ids)], np.int32)))
         return found
 
     def keep(self, parts: list[tuple[np.ndarray, np.ndarray]], words: np.ndarray) -> None:
         self.tokens = np.concatenate([self.tokens, *(tokens for tokens, _ in parts)])
         self.count = np.concatenate([self.count, *(count for _, count in parts)])
-        self.begin = np.cumsum(self.count) - self.count
-        self.met = np.append(self.met, np.zeros(len(words), np.int64))
+        self.begin = begins(self.count)
+        self.met = np.append(self.met, np.zeros(len(words), np.int32))
         self.words = np.concatenate([self.words, words])
 
     def age(self) -> None:
@@ -484,7 +494,7 @@ class Pieces:
             kept = np.sort(np.argsort(-self.met, kind="stable")[: self.most // 2])
             self.tokens = self.tokens[runs(self.begin[kept], self.count[kept])]
             self.count, self.met, self.words = self.count[kept], self.met[kept], self.words[kept]
-            self.begin = np.cumsum(self.count) - self.count
+            self.begin = begins(self.count)
             self.number = Numbers()
             self.number.put(self.keys(self.words), np.arange(len(kept), dtype=np.int32))
 

@@ -75,10 +75,14 @@ SEGMENTS = "doc_id long, part int, parts int, pool int, data binary"
 PACKED = "pool int, row int, n_tokens int, doc_ids array<long>, parts array<int>, of_parts array<int>, cumulative array<int>, ids binary, positions binary"
 
 
-def pack(documents: DataFrame, ids: str, end: int, pad: int, width: int = 4, row: int = ROW, key: str = "doc_id", pool_tokens: int = POOL_TOKENS) -> DataFrame:
-    """Packed rows: ``ids`` and ``positions`` hold ``row`` 32-bit integers each."""
+def pack(documents: DataFrame, ids: str, end: int, pad: int, width: int = 4, row: int = ROW, key: str = "doc_id", pool_tokens: int = POOL_TOKENS, size: str | None = None) -> DataFrame:
+    """Packed rows: ``ids`` and ``positions`` hold ``row`` 32-bit integers each.
+
+    ``size``: a column with the bytes of the ids; of a stored table, ids are then not read to be counted.
+    """
     given = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(ids).alias("data"))
-    tokens = given.agg(F.sum(F.coalesce(F.octet_length("data"), F.lit(0)) / F.lit(width) + 1)).first()[0] or 0
+    sizes = documents.select((F.octet_length(ids) if size is None else F.col(size)).alias("bytes"))
+    tokens = sizes.agg(F.sum(F.coalesce("bytes", F.lit(0)) / F.lit(width) + 1)).first()[0] or 0
     pools = max(1, int(-(-tokens // pool_tokens)))
     kind = np.dtype(f"<u{width}")
 

@@ -155,3 +155,11 @@ def test_packing_is_lossless(documents, empty, clashing):
     assert found == want
     assert packing.pack(data(empty), "data", 256, 257, width=1).count() == 0
     assert packing.pack(data(clashing), "data", 256, 257, width=1).count() > 0
+
+
+def test_stored_sizes_pack_alike(documents):
+    from pyspark.sql import functions as F
+
+    data = documents.select("doc_id", F.encode("text", "UTF-8").alias("data"), F.octet_length("text").alias("bytes"))
+    rows = [sorted(packing.pack(data, "data", 256, 257, width=1, row=512, pool_tokens=1 << 16, **given).collect(), key=str) for given in ({}, {"size": "bytes"})]
+    assert rows[0] == rows[1]
